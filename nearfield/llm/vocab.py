@@ -55,7 +55,7 @@ class Pieces:
     def encode(self, texts: list[list]) -> list[bytes]:
         """Per text, given as its pieces (str, or UTF-8 bytes), the ids of all its pieces."""
         known = self.known
-        new = list(set().union(*texts) - known.keys())
+        new = [x for x in set().union(*texts) if x not in known]
         if len(known) + len(new) > self.most:
             known.clear()
             new = list(set().union(*texts))
