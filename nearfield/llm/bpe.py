@@ -27,7 +27,7 @@ class ByteBPE:
 
     def __init__(self, path: str, pattern: str):
         ranks = read_ranks(path)
-        self.pieces = Pieces(rank_tokenizer(ranks, pattern))
+        self.pieces = Pieces(rank_tokenizer(ranks, pattern), pattern, lower=False)
         self.bytes_of: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             self.bytes_of[r] = t

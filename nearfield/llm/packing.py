@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from nearfield.llm.base import map_batches
-from nearfield.llm.vocab import Pieces, file_tokenizer
+from nearfield.llm.vocab import Pieces, file_pattern, file_tokenizer
 
 #: Tokens that are packed together; a task holds no more than these and one batch.
 WINDOW_TOKENS = 1 << 21
@@ -192,7 +192,7 @@ def pack_documents(docs: DataFrame, path: str, end: int = 2, limits: Limits = Li
 
     def run(batches):
         if path not in _pieces:
-            _pieces[path] = Pieces(file_tokenizer(path))
+            _pieces[path] = Pieces(file_tokenizer(path), file_pattern(path), lower=True)
         pieces, packer, stop = _pieces[path], _Packer(limits), np.array([end], "<u4").tobytes()
 
         def out(rows) -> pa.RecordBatch:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import bpe, langid, media, neardup, packing, sharding, toxicity
+from nearfield.llm import bpe, html, langid, media, neardup, packing, sharding, topk, toxicity
 from nearfield.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,28 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
 FROM cut"""
 
 
+@query
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_components(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors.where("key % 100 = 0"), vectors, 10)
+
+
+ORACLE_SQL["op6_exact_top_k"] = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
+
+
+@query
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.sound_columns(table(spark, sf_dir, "documents"))

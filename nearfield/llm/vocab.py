@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import base64
+import json
 import os
+import re
+import unicodedata
 
 import numpy as np
 
@@ -12,7 +15,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers  # noqa: E402
 
 #: Pieces of text whose ids a worker remembers; then it starts anew.
-MEMORY = 300_000
+MEMORY = 400_000
 
 
 def byte_characters() -> list[str]:
@@ -40,28 +43,79 @@ def rank_tokenizer(ranks: dict[bytes, int], pattern: str) -> Tokenizer:
     return out
 
 
+def file_pattern(path: str) -> str:
+    """The pattern that splits words in a file whose normalizer only composes, unifies space and lowers case."""
+    with open(path) as f:
+        first = json.load(f)["pre_tokenizer"]["pretokenizers"][0]
+    return first["pattern"]["Regex"]
+
+
 def file_tokenizer(path: str) -> Tokenizer:
     out = Tokenizer.from_file(path)
     out.encode_special_tokens = True  # their strings in a text are ordinary text
     return out
 
 
-class Pieces:
-    """Ids of pieces as little-endian 32-bit bytes. Each new piece goes to the tokenizer once, a batch at a time."""
+def latin_pattern(pattern: str) -> re.Pattern:
+    """The pattern for texts of characters under U+0100, where its classes are plain sets of characters."""
+    chars = [chr(c) for c in range(256)]
+    space = "".join(c for c in chars if c in "\t\n\v\f\r \x85\xa0")
+    sets = {r"\p{L}": [c for c in chars if unicodedata.category(c)[0] == "L"], r"\p{N}": [c for c in chars if unicodedata.category(c)[0] == "N"], r"\s": space}
+    written = {k: "".join(map(re.escape, v)) for k, v in sets.items()}
+
+    def inside(m: re.Match) -> str:
+        out = m[0]
+        for k, v in written.items():
+            out = out.replace(k, v)
+        return out
 
-    def __init__(self, tokenizer: Tokenizer, most: int = MEMORY):
-        self.tokenizer, self.most, self.known = tokenizer, most, {}
+    out = re.sub(r"\[[^\]]*\]", inside, pattern)
+    for k, v in written.items():
+        out = out.replace(k, f"[{v}]")
+    return re.compile(out.replace(r"\S", f"[^{written[chr(92) + 's']}]"))
+
+
+class Pieces:
+    """Ids of pieces as little-endian 32-bit bytes; each new piece goes to the tokenizer once.
+
+    Where all characters are under U+0100 the normalizer is lower-casing at most and the pattern one of plain sets, so
+    a piece is split here and its words go straight to the tokenizer's model; other pieces take the whole way.
+    """
+
+    def __init__(self, tokenizer: Tokenizer, pattern: str, lower: bool, most: int = MEMORY):
+        self.tokenizer, self.model, self.split, self.lower = tokenizer, tokenizer.model, latin_pattern(pattern), lower
+        self.most, self.known, self.words = most, {}, {}
+        self.written = dict(enumerate(byte_characters()))
+
+    def _plain(self, text: str) -> bytes:
+        out = []
+        for w in self.split.findall(text.lower() if self.lower else text):
+            if w not in self.words:
+                ids = self.model.tokenize(w.encode().decode("latin-1").translate(self.written))
+                self.words[w] = np.array([t.id for t in ids], "<u4").tobytes()
+            out.append(self.words[w])
+        return b"".join(out)
+
+    def _learn(self, new: list) -> None:
+        other = []
+        for k in new:
+            text = k.decode() if isinstance(k, bytes) else k
+            if text.isascii() or max(text) < "\u0100":
+                self.known[k] = self._plain(text)
+            else:
+                other.append((k, text))
+        for i in range(0, len(other), 10_000):
+            some = other[i : i + 10_000]
+            encoded = self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)
+            self.known.update((k, np.array(e.ids, "<u4").tobytes()) for (k, _), e in zip(some, encoded, strict=True))
 
     def encode(self, texts: list[list]) -> list[bytes]:
         """Per text, given as its pieces (str, or UTF-8 bytes), the ids of all its pieces."""
+        if len(self.known) > self.most:
+            self.known.clear()
+        if len(self.words) > self.most:
+            self.words.clear()
         known = self.known
-        new = [x for x in set().union(*texts) if x not in known]
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = list(set().union(*texts))
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            asked = [x.decode() if isinstance(x, bytes) else x for x in some]
-            known.update((k, np.array(e.ids, "<u4").tobytes()) for k, e in zip(some, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False), strict=True))
+        self._learn([x for x in set().union(*texts) if x not in known])
         get = known.__getitem__
         return [b"".join(map(get, t)) for t in texts]
