@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import bpe, html, langid, media, neardup, packing, sharding, topk, toxicity
+from nearfield.llm import bpe, html, langid, lmscore, media, neardup, packing, sharding, topk, toxicity
 from nearfield.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +101,11 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.sound_columns(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0"))
+
+
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
