@@ -1,6 +1,402 @@
-"""All queries by name, with the SQL that gives the same rows."""
+"""All queries by name, with the DuckDB SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nearfield.functions import bloom, distance, hashing
+from nearfield.operators import graph, knn, search
+from nearfield.shared import fresh_path, materialize
+from nearfield.sources import vectors as files
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+_built: dict[tuple, DataFrame] = {}
+
+#: Vectors of different lengths, so that the three metrics rank differently.
+SCALED = "scaled AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE * (1 + label)) AS v FROM embeddings)"
+COS = "CASE WHEN list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v) = 0 THEN 0 ELSE -list_inner_product(a.v, b.v) * abs(list_inner_product(a.v, b.v)) / list_inner_product(a.v, a.v) / list_inner_product(b.v, b.v) END"
+SQL_DISTANCE = {"l2": "pow(list_distance(a.v, b.v), 2)", "ip": "-list_inner_product(a.v, b.v)", "cos": COS, "hamming": "list_sum(list_transform(list_zip(a.v, b.v), lambda p: bit_count(xor(p[1], p[2]))))"}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir).withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("label"))))
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries use, written once for each session and input."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _built:
+        _built[key] = materialize(make(), name)
+    return _built[key]
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("dist", F.round("dist", 6))
+
+
+# --- distances -----------------------------------------------------------------------------------
+
+
+def _from_first(metric: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        v = _scaled(spark, sf_dir)
+        first = v.orderBy("vec_id").select("embedding").first()["embedding"]
+        at = F.array(*[F.lit(x) for x in first])
+        return v.select("vec_id", F.round(distance.distance(metric, at, "embedding"), 6).alias("dist"))
+
+    run.__name__ = f"dist_{metric}"
+    return run
+
+
+for _m in ("l2", "ip", "cos"):
+    query(f"WITH {SCALED} SELECT b.vec_id, round({SQL_DISTANCE[_m]}, 6) AS dist FROM scaled a, scaled b WHERE a.vec_id = (SELECT min(vec_id) FROM scaled)")(_from_first(_m))
+
+
+@query(f"WITH {SCALED} SELECT vec_id, round(list_inner_product(v, v), 6) AS norm2 FROM scaled")
+def vec_norm2(spark, sf_dir):
+    return _scaled(spark, sf_dir).select("vec_id", F.round(distance.norm2("embedding"), 6).alias("norm2"))
+
+
+# --- exact neighbours ----------------------------------------------------------------------------
+
+
+def _knn(metric: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        v = _scaled(spark, sf_dir)
+        return _rounded(knn.knn(v, v, 10, metric))
+
+    run.__name__ = f"knn_{metric}"
+    return run
+
+
+def _knn_sql(metric: str, k: int, where: str = "true", base: str = SCALED, table: str = "scaled") -> str:
+    return f"""WITH {base}, d AS (SELECT a.vec_id AS query_id, b.vec_id, {SQL_DISTANCE[metric]} AS dist FROM {table} a, {table} b WHERE {where}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id)::INT AS rank FROM d)
+SELECT query_id, rank, vec_id, round(dist, 6) AS dist FROM r WHERE rank <= {k}"""
+
+
+for _m in ("l2", "ip", "cos"):
+    query(_knn_sql(_m, 10))(_knn(_m))
+
+
+@query(f"WITH {SCALED} SELECT a.vec_id AS query_id, round(min({SQL_DISTANCE['l2']}), 6) AS dist FROM scaled a JOIN scaled b ON a.vec_id <> b.vec_id GROUP BY ALL")
+def real_nn(spark, sf_dir):
+    v = _scaled(spark, sf_dir)
+    return _rounded(knn.real_nn(v, v))
+
+
+# --- files ---------------------------------------------------------------------------------------
+
+_COMPONENTS = "SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INT AS idx, round(unnest(embedding)::DOUBLE, 6) AS val FROM embeddings"
+
+
+def _components(df: DataFrame) -> DataFrame:
+    return df.select("vec_id", F.posexplode("embedding").alias("idx", "x")).select("vec_id", "idx", F.round(F.col("x").cast("double"), 6).alias("val"))
+
+
+@query(_COMPONENTS)
+def libsvm_parse(spark, sf_dir):
+    """Vectors written as LIBSVM lines and parsed again."""
+    lines = files.libsvm_lines(_vectors(spark, sf_dir))
+    pairs = lines.select("vec_id", F.explode(files.sparse_pairs("value")).alias("p"))
+    return pairs.select("vec_id", "p.idx", F.round(F.col("p.val").cast("double"), 6).alias("val"))
+
+
+@query(_COMPONENTS)
+def dense_parse(spark, sf_dir):
+    return _components(files.dense_lines(_vectors(spark, sf_dir)).select("vec_id", files.dense_values("value").alias("embedding")))
+
+
+@query("SELECT vec_id, i::INT AS idx, CASE WHEN i < len(embedding) AND embedding[i + 1] > 0 THEN round(embedding[i + 1]::DOUBLE, 6) ELSE 0.0 END AS val FROM embeddings, range(80) t(i)")
+def densify(spark, sf_dir):
+    """The positive components alone, filled up with zeros to 80."""
+    pairs = F.filter(F.transform("embedding", lambda x, i: F.struct(i.alias("idx"), x.alias("val"))), lambda p: p["val"] > 0)
+    return _components(_vectors(spark, sf_dir).select("vec_id", files.densify(pairs, 80).alias("embedding")))
+
+
+@query(_COMPONENTS)
+def bin_vectors_roundtrip(spark, sf_dir):
+    path = fresh_path(spark, "vectors") + ".data"
+    v = _vectors(spark, sf_dir)
+    files.write_raw_vectors(v, path)
+    return _components(files.read_raw_vectors(spark, path, v.agg(F.max(F.size("embedding")).alias("d")).first()["d"]))
+
+
+# --- codes ---------------------------------------------------------------------------------------
+
+BITS = 256
+
+
+def _weights(bits: int) -> str:
+    return f"""x AS (SELECT b.i AS bit, j.i AS j, (b.i * d.n + j.i) * 12 + t.i + 1 AS x FROM (SELECT max(len(embedding)) AS n FROM embeddings) d, range({bits}) b(i), range(d.n) j(i), range(12) t(i)),
+h1 AS (SELECT *, 48271 * x % 2147483647 AS h FROM x), h2 AS (SELECT *, (h * h + 16807 * x) % 2147483647 AS g FROM h1),
+w AS (SELECT bit, j, sum(((g * g + h) % 2147483647)::DOUBLE / 2147483647) - 6 AS w FROM h2 GROUP BY ALL),
+parts AS (SELECT vec_id, unnest(embedding)::DOUBLE AS c, generate_subscripts(embedding, 1) - 1 AS j FROM embeddings),
+bits AS (SELECT vec_id, bit::INT AS bit, (sum(c * w) >= 0)::INT AS value FROM parts JOIN w USING (j) GROUP BY ALL)"""
+
+
+_WORDS = "words AS (SELECT vec_id, (bit // 32)::INT AS word, bit_or((value::BIGINT << (bit % 32)))::BIGINT AS bits FROM bits GROUP BY ALL)"
+_CODES = "codes AS (SELECT vec_id, list(bits ORDER BY word) AS v FROM words GROUP BY ALL)"
+
+
+def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir, "codes", lambda: hashing.codes(_vectors(spark, sf_dir), BITS))
+
+
+@query(f"WITH {_weights(BITS)} SELECT * FROM bits")
+def bithash_bits(spark, sf_dir):
+    return hashing.as_bits(hashing.codes(_vectors(spark, sf_dir), BITS), BITS)
+
+
+@query(f"WITH {_weights(8)} SELECT vec_id, bit_or(value << bit)::INT AS code FROM bits GROUP BY ALL")
+def bithash_u8(spark, sf_dir):
+    return hashing.uint8(_vectors(spark, sf_dir))
+
+
+@query(f"WITH {_weights(BITS)}, {_WORDS} SELECT * FROM words")
+def bithash_words(spark, sf_dir):
+    return hashing.as_words(hashing.codes(_vectors(spark, sf_dir), BITS))
+
+
+@query(f"WITH {_weights(BITS)}, {_WORDS}, {_CODES} SELECT b.vec_id, {SQL_DISTANCE['hamming']}::INT AS dist FROM codes a, codes b WHERE a.vec_id = (SELECT min(vec_id) FROM codes)")
+def dist_hamming(spark, sf_dir):
+    c = _codes(spark, sf_dir)
+    first = c.orderBy("vec_id").select("words").first()["words"]
+    return c.select("vec_id", distance.hamming(F.array(*[F.lit(x) for x in first]), "words").alias("dist"))
+
+
+@query(_knn_sql("hamming", 10, base=f"{_weights(BITS)}, {_WORDS}, {_CODES}", table="codes"))
+def knn_hamming(spark, sf_dir):
+    c = _codes(spark, sf_dir)
+    return knn.knn(c, c, 10, "hamming", vector="words")
+
+
+# --- filter sizes --------------------------------------------------------------------------------
+
+TOPKS = [1, 10, 50, 100, 200, 500, 1000, 20000, 30000]
+_TOPKS = f"unnest({TOPKS}) t(topk)"
+
+
+@query(f"""WITH e AS (SELECT topk, i, 64 * pow(2, i) / (topk * 12.897) AS r FROM {_TOPKS}, range(1, 16) g(i)),
+k AS (SELECT *, floor(ln(2) * r + 0.5) AS k FROM e), p AS (SELECT *, pow(1 - exp(-k / r), k) AS p FROM k),
+b AS (SELECT topk, min(i) AS i FROM p WHERE p < 0.03 OR i = 15 GROUP BY topk)
+SELECT topk::BIGINT AS topk, pow(2, i)::INT AS words, i::INT AS power, k::INT AS hashes, round(p, 6) AS p FROM p JOIN b USING (topk, i)""")
+def bloom_autotune(spark, sf_dir):
+    return bloom.autotune(spark, TOPKS)
+
+
+@query(f"""WITH e AS (SELECT topk::BIGINT AS topk, topk * 12.897 AS n, 64.0 * topk * 4 AS m, 0.01 AS p, 5.0 AS k FROM {_TOPKS})
+SELECT topk, ceil(n * ln(p) / ln(1 / pow(2, ln(2))))::DOUBLE AS m_from_np, ceil(m * ln(pow(0.5, ln(2))) / ln(p))::DOUBLE AS n_from_mp,
+round(pow(1 - exp(-k / (m / n)), k), 9) AS p_from_kmn, ceil(m / (-k / ln(1 - exp(ln(p) / k))))::DOUBLE AS n_from_kmp, ceil(n * (-k / ln(1 - exp(ln(p) / k))))::DOUBLE AS m_from_knp,
+floor(ln(2) * (m / n) + 0.5)::DOUBLE AS k_from_mn FROM e""")
+def bloom_solvers(spark, sf_dir):
+    t = spark.createDataFrame([(k,) for k in TOPKS], "topk long")
+    n, m, p, k = F.col("topk") * 12.897, F.col("topk") * 256.0, F.lit(0.01), F.lit(5.0)
+    return t.select(
+        "topk", bloom.m_from_np(n, p).alias("m_from_np"), bloom.n_from_mp(m, p).alias("n_from_mp"), F.round(bloom.p_from_kmn(k, m, n), 9).alias("p_from_kmn"), bloom.n_from_kmp(k, m, p).alias("n_from_kmp"), bloom.m_from_knp(k, n, p).alias("m_from_knp"), bloom.k_from_r(m / n).alias("k_from_mn")
+    )
+
+
+# --- graphs --------------------------------------------------------------------------------------
+
+PLAIN = "plain AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)"
+
+
+def _edges_sql(metric: str, base: str, table: str, degree: int = 15) -> str:
+    return f"""{base}, dists AS (SELECT a.vec_id AS src, b.vec_id AS dst, {SQL_DISTANCE[metric]} AS dist FROM {table} a JOIN {table} b ON a.vec_id <> b.vec_id),
+near AS (SELECT src, dst, dist FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS r FROM dists) WHERE r <= {degree}),
+once AS (SELECT src, dst, min(dist) AS dist FROM (SELECT * FROM near UNION ALL SELECT dst, src, dist FROM near) GROUP BY ALL),
+edges AS (SELECT src, rank, dst, dist FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst)::INT AS rank FROM once) WHERE rank <= {2 * degree + 1})"""
+
+
+def _bulk(spark: SparkSession, sf_dir: str, metric: str = "l2") -> DataFrame:
+    v = _codes(spark, sf_dir) if metric == "hamming" else _vectors(spark, sf_dir)
+    return _once(spark, sf_dir, f"bulk_{metric}", lambda: graph.build_bulk(v, metric, vector="words" if metric == "hamming" else "embedding"))
+
+
+_L2_EDGES = _edges_sql("l2", PLAIN, "plain")
+_DEGREES = "degrees AS (SELECT vec_id, count(e.src) AS degree FROM embeddings LEFT JOIN edges e ON e.src = vec_id GROUP BY ALL)"
+
+
+@query(f"WITH {_L2_EDGES} SELECT src, rank, dst, round(dist, 6) AS dist FROM edges")
+def graph_bulk_edges(spark, sf_dir):
+    return _rounded(graph.build_bulk(_vectors(spark, sf_dir)))
+
+
+@query(f"WITH {_L2_EDGES} SELECT src, dst, round(dist, 6) AS dist FROM edges")
+def graph_edge_distances(spark, sf_dir):
+    return _rounded(graph.edge_distances(_bulk(spark, sf_dir).drop("dist"), _vectors(spark, sf_dir)))
+
+
+@query(f"WITH {_L2_EDGES} SELECT src, rank, dst, round(dist, 6) AS dist FROM edges WHERE src < 10")
+def graph_edges_head(spark, sf_dir):
+    return _rounded(graph.head(_bulk(spark, sf_dir)))
+
+
+@query(f"WITH {_L2_EDGES}, {_DEGREES} SELECT degree, count(*) AS vertices FROM degrees GROUP BY ALL")
+def graph_degree_hist(spark, sf_dir):
+    return graph.degree_histogram(_vectors(spark, sf_dir), _bulk(spark, sf_dir))
+
+
+@query(f"WITH {_L2_EDGES}, {_DEGREES} SELECT count(*) AS vertices, sum(degree)::BIGINT AS edges, round(avg(degree), 6) AS avg_degree, count(*) FILTER (degree <> 15) AS other_degree FROM degrees")
+def graph_stats(spark, sf_dir):
+    return graph.statistics(_vectors(spark, sf_dir), _bulk(spark, sf_dir))
+
+
+@query(f"WITH {_L2_EDGES} SELECT src, rank, dst FROM edges")
+def bin_graph_roundtrip(spark, sf_dir):
+    path = fresh_path(spark, "edges") + ".graph"
+    files.write_raw_graph(_vectors(spark, sf_dir), _bulk(spark, sf_dir), path)
+    return files.read_raw_graph(spark, path)
+
+
+def _sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir, "sequential", lambda: graph.build_sequential(_vectors(spark, sf_dir)))
+
+
+@query()
+def graph_build_seq(spark, sf_dir):
+    return _rounded(graph.build_sequential(_vectors(spark, sf_dir)).drop("shard"))
+
+
+@query("SELECT * FROM (VALUES ('self loop', 0::BIGINT), ('repeated edge', 0), ('over the cap', 0), ('no edge', 0)) t(rule, n)")
+def graph_build_seq_violations(spark, sf_dir):
+    """A weak check: of the graph built vertex by vertex, only what must always hold."""
+    return graph.violations(_vectors(spark, sf_dir), _sequential(spark, sf_dir))
+
+
+# --- graph search --------------------------------------------------------------------------------
+
+
+def _walk_sql(metric: str, edges: str, table: str) -> str:
+    d = SQL_DISTANCE[metric]
+    return f"""WITH RECURSIVE {edges},
+firsts AS (SELECT min(vec_id) AS f FROM {table}),
+walk AS (
+  SELECT a.vec_id AS query_id, b.vec_id, {d} AS dist, 0 AS moves FROM {table} a, {table} b, firsts WHERE b.vec_id = f
+  UNION ALL
+  SELECT query_id, vec_id, dist, moves FROM (
+    SELECT w.query_id, b.vec_id, {d} AS dist, w.moves + 1 AS moves, w.dist AS old, row_number() OVER (PARTITION BY w.query_id ORDER BY {d}, e.rank) AS r
+    FROM walk w JOIN edges e ON e.src = w.vec_id JOIN {table} b ON b.vec_id = e.dst JOIN {table} a ON a.vec_id = w.query_id) WHERE r = 1 AND dist < old)
+SELECT query_id, vec_id, round(dist, 6) AS dist, moves::BIGINT AS moves FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY moves DESC) AS last FROM walk) WHERE last = 1"""
+
+
+@query(_walk_sql("l2", _L2_EDGES, "plain"))
+def greedy_walk_l2(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return _rounded(search.greedy_walk(v, v, _bulk(spark, sf_dir)))
+
+
+_CODE_EDGES = _edges_sql("hamming", f"{_weights(BITS)}, {_WORDS}, {_CODES}", "codes")
+
+
+@query(_walk_sql("hamming", _CODE_EDGES, "codes"))
+def greedy_walk_hamming(spark, sf_dir):
+    c = _codes(spark, sf_dir)
+    return _rounded(search.greedy_walk(c, c, _bulk(spark, sf_dir, "hamming"), "hamming", vector="words"))
+
+
+#: A search with room for every vertex finds the exact neighbours among those that can be reached from the first one.
+ALL = 1 << 20
+
+
+def _ann(metric: str, kind: str, options: Callable, vector: str = "embedding") -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = _codes(spark, sf_dir) if metric == "hamming" else _vectors(spark, sf_dir)
+        # The graph may be of another metric than the search: its edges only say where to look.
+        edges = _bulk(spark, sf_dir, "hamming" if metric == "hamming" else "l2")
+        asked = base if metric == "hamming" else _scaled(spark, sf_dir)
+        return _rounded(search.search(asked, base, edges, options(metric, ALL), 10, vector=vector))
+
+    run.__name__ = f"ann_search_{kind}_{metric}" if metric != "hamming" else "ann_search_hamming"
+    return run
+
+
+def _ann_sql(metric: str) -> str:
+    """Exact neighbours of scaled queries among plain vectors, of those that can be reached."""
+    edges = _CODE_EDGES if metric == "hamming" else f"{SCALED}, {_L2_EDGES}"
+    a, b = ("codes", "codes") if metric == "hamming" else ("scaled", "plain")
+    return f"""WITH RECURSIVE {edges},
+reached AS (SELECT min(vec_id) AS x FROM embeddings UNION SELECT e.dst FROM reached JOIN edges e ON e.src = x),
+d AS (SELECT a.vec_id AS query_id, b.vec_id, {SQL_DISTANCE[metric]} AS dist FROM {a} a, {b} b WHERE b.vec_id IN (SELECT x FROM reached)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id)::INT AS rank FROM d)
+SELECT query_id, rank, vec_id, round(dist, 6) AS dist FROM r WHERE rank <= 10"""
+
+
+for _m in ("l2", "ip", "cos"):
+    query(_ann_sql(_m))(_ann(_m, "cpu", search.unbounded))
+    query(_ann_sql(_m))(_ann(_m, "bounded", search.bounded))
+query(_ann_sql("hamming"))(_ann("hamming", "", search.bounded, "words"))
+
+#: Searches with little room, which find most of the neighbours but not all.
+SMALL = {
+    "cpu": search.unbounded("l2", 50),
+    "bounded": search.bounded("l2", 50),
+    "bloom": search.Options("l2", 50, bounded=True, visited="bloom"),
+    "blocked_bloom": search.Options("l2", 50, bounded=True, visited="blocked_bloom"),
+    "cuckoo": search.bounded("l2", 50, visited="cuckoo"),
+    "list": search.Options("l2", 50, bounded=True, visited="list", on_insert=True),
+    "multi_probe": search.bounded("l2", 50, probes=4, finish=4),
+}
+
+
+def _small(name: str, options: search.Options) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        v = _vectors(spark, sf_dir)
+        return _rounded(search.search(v, v, _sequential(spark, sf_dir), options, 10))
+
+    run.__name__ = f"ann_search_small_{name}"
+    return run
+
+
+for _n, _o in SMALL.items():
+    query()(_small(_n, _o))
+
+
+@query()
+def search_explore_stats(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    e = search.explored(v, v, _sequential(spark, sf_dir), search.unbounded("l2", 50))
+    return e.agg(F.count(F.lit(1)).alias("queries"), F.sum("n_expanded").alias("expanded"), F.round(F.avg("n_expanded"), 6).alias("avg_expanded"))
+
+
+@query()
+def search_stage_metrics(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return search.stage_metrics(v, v, _sequential(spark, sf_dir), search.bounded("l2", 100))
+
+
+@query()
+def recall_at_k(spark, sf_dir):
+    v, out = _vectors(spark, sf_dir), None
+    exact = _once(spark, sf_dir, "exact10", lambda: knn.knn(v, v, 10))
+    for pq in (10, 50, 100, 200):
+        found = search.search(v, v, _sequential(spark, sf_dir), search.bounded("l2", pq), 10)
+        row = graph.recall(found, exact, 10).withColumn("pq", F.lit(pq))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(f"WITH {PLAIN}, d AS (SELECT a.vec_id AS query_id, b.vec_id, {SQL_DISTANCE['l2']} AS dist FROM plain a, plain b), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank FROM d) SELECT query_id, string_agg(vec_id::VARCHAR || ' ', '' ORDER BY rank) AS value FROM r WHERE rank <= 10 GROUP BY ALL")
+def result_lines(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return files.result_lines(knn.knn(v, v, 10), 10)
