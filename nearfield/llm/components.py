@@ -32,11 +32,13 @@ def components(edges: DataFrame) -> DataFrame:
     of one round; the number of rounds grows with the logarithm of the vertices.
     """
     links = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    seen = None
-    while True:
-        state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_000_007), F.sum(F.xxhash64("b", "a") % 998_244_353)).first()
-        if state == seen or not state[0]:
-            break
-        seen = state
+    while not _is_stars(links):
         links = materialize(_small(_large(links).distinct()).distinct(), "links")
     return links.select(F.col("a").alias("v"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("v"), F.col("b").alias("component")).distinct())
+
+
+def _is_stars(links: DataFrame) -> bool:
+    """Whether every vertex but the least of its component points to that one, and nowhere else."""
+    above = links.select(F.col("b").alias("a")).join(links.select("a"), "a", "left_semi")
+    twice = links.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
+    return above.limit(1).unionByName(twice.limit(1)).isEmpty()

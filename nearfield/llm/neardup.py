@@ -25,11 +25,13 @@ from nearfield.llm.components import components
 #: Minwise functions, trees, choices of a node, and the level down to which all nodes branch.
 TOKENS, TREES, BRANCHES, START = 64, 4, 2, 2
 #: A node compared at once; the deepest level; what part of a node must be like its first member to end branching.
-NODE, DEEPEST, ALIKE = 1024, 12, 0.5
+NODE, DEEPEST, ALIKE = 4096, 12, 0.5
 #: How far below the threshold an estimate may be: five standard deviations of TOKENS draws.
 SLACK = 5.0
-#: Shingles of the sets that one task compares at once.
-CLUSTER_SHINGLES = 4 << 20
+#: Shingles of the sets, and sets, that one task compares at once.
+CLUSTER_SHINGLES, CLUSTER = 4 << 20, 1024
+#: Members of clusters that are sent to all executors (some 30 bytes each); beyond, texts are dealt out to meet them.
+BROADCAST_MEMBERS = 500_000
 
 _A = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 64, TOKENS, dtype=np.uint64) | np.uint64(1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -253,10 +255,11 @@ def confirmed(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np
 def _confirm(docs: DataFrame, classes: DataFrame, candidates: DataFrame, words: int, percent: int) -> DataFrame:
     """Links confirmed on full sets, which are made anew for the members of clusters only."""
     cluster = materialize(components(candidates).join(classes.select("v", "n"), "v"), "clusters")
-    size = cluster.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / NODE, F.sum("n") / CLUSTER_SHINGLES)).cast("int").alias("b"))
+    size = cluster.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CLUSTER, F.sum("n") / CLUSTER_SHINGLES)).cast("int").alias("b"))
     # Two blocks meet in a task; a single one needs no other.
     member = cluster.join(size.withColumn("b", F.when(F.col("b") > 1, 2 * F.col("b")).otherwise(1)), "component")
-    text = docs.select(F.col("doc_id").alias("v"), "text").join(member, "v")
+    few = cluster.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS
+    text = docs.select(F.col("doc_id").alias("v"), "text").join(F.broadcast(member) if few else member, "v")
 
     def make():
         def run(b: pa.RecordBatch):
@@ -298,10 +301,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = inside.groupBy("d1", "d2").agg(F.min("doc_id").alias("v"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     classes = materialize(classes, "classes")
     links = _confirm(docs, classes, _candidates(classes.dropDuplicates(["v"]), percent), words, percent)
-    # Rows of one doc_id with different texts belong to classes of their own, joined by that doc_id.
-    same = inside.join(classes.select("d1", "d2", "v"), ["d1", "d2"]).where("doc_id <> v").select(F.col("doc_id").alias("a"), F.col("v").alias("b"))
     doubled = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("r")).where("r > 1").select(F.col("doc_id").alias("a"))
-    links = links.unionByName(same.join(doubled, "a"))
+    if not doubled.isEmpty():  # rows of one doc_id with different texts are in classes of their own, joined by that doc_id
+        same = inside.join(classes.select("d1", "d2", "v"), ["d1", "d2"]).where("doc_id <> v").select(F.col("doc_id").alias("a"), F.col("v").alias("b"))
+        links = links.unionByName(same.join(doubled, "a"))
     root = components(links)
     of_class = classes.select("d1", "d2", "v").join(root, "v", "left").select("d1", "d2", F.coalesce("component", "v").alias("component_id"))
     linked = inside.join(of_class, ["d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
