@@ -186,3 +186,23 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         return run
 
     return map_batches(docs.select("doc_id", (~training_part()).alias("held_out"), "text"), make, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text has letters, so that it gets a language."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text = docs.columns.index("text")
+
+    def make():
+        model = shared.value
+
+        def run(b: pa.RecordBatch):
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                texts = part.column(text).to_pylist()
+                keep = [x[0] != "und" for x in model.predict(texts)] if model.languages else [bool(t) and any(map(str.isalpha, t)) for t in texts]
+                yield part.filter(pa.array(keep))
+
+        return run
+
+    return map_batches(docs, make, docs.schema)

@@ -310,3 +310,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     linked = inside.join(of_class, ["d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are the least of their near copies.
+
+    Of repeated rows of one doc_id a single one stays; rows without a doc_id stay.
+    """
+    found = materialize(near_duplicates(docs, words, percent), "near")
+    out = docs
+    if not found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("r")).where("r > 1").isEmpty():
+        out = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    gone = found.where("NOT kept").select("doc_id").distinct()
+    few = gone.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS
+    return out.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)

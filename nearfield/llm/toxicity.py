@@ -247,3 +247,20 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
         return run
 
     return map_batches(docs.select("doc_id", "text"), make, "doc_id long, " + ", ".join(f"{c} double" for c in chain.categories) + ", flagged boolean")
+
+
+def unflagged(docs: DataFrame, chain: Chain) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``score`` would not flag."""
+    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    toxic, text = chain.categories.index("toxic"), docs.columns.index("text")
+
+    def make():
+        chain = shared.value
+
+        def run(b: pa.RecordBatch):
+            p = chain.predict([t or "" for t in b.column(text).to_pylist()])[:, toxic]
+            yield b.filter(pa.array(p <= chain.thresholds[toxic]))
+
+        return run
+
+    return map_batches(docs, make, docs.schema)
