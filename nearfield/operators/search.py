@@ -203,20 +203,23 @@ def _run(queries: DataFrame, vectors: DataFrame, edges: DataFrame, o: Options, q
     e = edges.select((F.lit(0) if shard is None else F.col(shard)).cast("int").alias("shard"), "src", "rank", "dst")
     out = None
     for n, shared in query_batches(asked):
-
-        def run(left, right, shared=shared):
-            keys, q = shared.value
-            left, right = left.combine_chunks(), right.combine_chunks()
-            m = matrix(left["v"].chunk(0), metric) if left.num_rows else np.zeros((0, 0))
-            graph = Graph.of(left["vec_id"].to_numpy(), m, *(right[c].to_numpy() for c in ("src", "rank", "dst")))
-            return pa.table(dict(zip(["query_id", "vec_id", "dist", "n_expanded"], _found(keys, q, _visitor(graph, o, walk)), strict=True)))
-
-        one = v.groupBy("shard").cogroup(e.groupBy("shard")).applyInArrow(run, FOUND)
+        one = v.groupBy("shard").cogroup(e.groupBy("shard")).applyInArrow(_in_shard(shared, o, walk), FOUND)
         one = materialize(one, "search") if n > 1 else one
         out = one if out is None else out.unionByName(one)
     return out if out is not None else spark.createDataFrame([], FOUND)
 
 
+def _in_shard(shared, o: Options, walk: bool):
+    def run(left, right):
+        keys, q = shared.value
+        left, right = left.combine_chunks(), right.combine_chunks()
+        m = matrix(left["v"].chunk(0), o.metric) if left.num_rows else np.zeros((0, 0))
+        graph = Graph.of(left["vec_id"].to_numpy(), m, *(right[c].to_numpy() for c in ("src", "rank", "dst")))
+        return pa.table(dict(zip(["query_id", "vec_id", "dist", "n_expanded"], _found(keys, q, _visitor(graph, o, walk)), strict=True)))
+
+    return run
+
+
 def search(queries: DataFrame, vectors: DataFrame, edges: DataFrame, options: Options, k: int | None = None, query_key: str = "vec_id", vector: str = "embedding", shard: str | None = None) -> DataFrame:
     """(query_id, rank, vec_id, dist): what best-first search finds, ``k`` rows at most; fewer where fewer are reached."""
     return ranked(_run(queries, vectors, edges, options, query_key, vector, shard, False), k or options.pq)
