@@ -101,7 +101,8 @@ class Model:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and score; ``und`` and 0 for null, for texts without letters and if no language was learned.
 
-        The score is the part of the next best language's cost that the best one saves; ties go to the first in order.
+        The score is the part of the next best language's cost that the best one saves, 0 for a text of symbols never
+        seen in training; ties go to the first in order.
         """
         whole = [t if t and any(map(str.isalpha, t)) else "" for t in texts]
         if not self.languages:
@@ -112,7 +113,7 @@ class Model:
         least = cost[np.arange(len(cost)), best]
         cost[np.arange(len(cost)), best] = np.inf
         second = cost.min(1)
-        score = np.where(np.isfinite(second) & (second > 0), 1 - least / np.where(second > 0, second, 1), 1.0)
+        score = np.where(np.isfinite(second), 1 - least / np.where(second > 0, second, 1), 1.0) * (second > 0)
         return [(self.languages[b], float(s)) if w else ("und", 0.0) for w, b, s in zip(whole, best.tolist(), score.tolist(), strict=True)]
 
 

@@ -229,28 +229,28 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
-    """Per row: doc_id, a probability for each category, and ``flagged``: toxic beyond the threshold.
+    """Per row: doc_id, ``toxic`` (beyond the threshold), and p_<category>, a probability for each category.
 
     Null and empty texts have no words and the base rates. Repeated rows stay; other columns are left out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # WIDTH places and fewer weights: bounded
     toxic = chain.categories.index("toxic")
-    names = ["doc_id", *chain.categories, "flagged"]
+    names = ["doc_id", "toxic", *[f"p_{c}" for c in chain.categories]]
 
     def make():
         chain = shared.value
 
         def run(b: pa.RecordBatch):
             p = chain.predict([t or "" for t in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c) for c in p.T], pa.array(p[:, toxic] > chain.thresholds[toxic])], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p[:, toxic] > chain.thresholds[toxic]), *[pa.array(c) for c in p.T]], names=names)
 
         return run
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, " + ", ".join(f"{c} double" for c in chain.categories) + ", flagged boolean")
+    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, toxic boolean, " + ", ".join(f"p_{c} double" for c in chain.categories))
 
 
 def unflagged(docs: DataFrame, chain: Chain) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``score`` would not flag."""
+    """The rows of ``docs``, with all their columns, that ``score`` would not call toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     toxic, text = chain.categories.index("toxic"), docs.columns.index("text")
 

@@ -1,0 +1,150 @@
+"""Toxicity, language identification, language-model scoring."""
+
+from __future__ import annotations
+
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from nearfield.llm import langid, lmscore, queries, toxicity
+from nearfield.llm.base import table
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_automaton_knows_all_factors():
+    text = [1, 2, 1, 1, 2, 3, 1, 2]
+    move = langid.suffix_automaton(text)
+
+    def walk(s):
+        at = 0
+        for c in s:
+            if c not in move[at]:
+                return False
+            at = move[at][c]
+        return True
+
+    assert all(walk(text[i:j]) for i in range(8) for j in range(i, 9))
+    assert not walk([3, 3]) and not walk([2, 2])
+
+
+def phrases(train: str, text: str) -> int:
+    n = i = 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i : j + 1] in train:
+            j += 1
+        n, i = n + 1, j
+    return n
+
+
+def test_parse_counts_longest_matches():
+    model = langid.build({"x": ["abab cdab"], "y": ["dcba dcc"]})
+    got, n = model.parse(["abcd dcba", "zz", "Ab  ab!"])
+    for row, t in zip(got, ["abcd dcba ", "", "ab ab "], strict=True):  # z was never seen: it only separates
+        assert row[0] == phrases("abab cdab", t) and row[1] == phrases("dcba dcc", t)
+    assert n.tolist() == [10, 0, 6]
+    assert model.predict(["zz"])[0][1] == 0
+
+
+def test_language_on_held_out_rows(spark):
+    docs = table(spark, SF, "documents")
+    rows = queries.QUERIES["op4_language_id"](spark, SF).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in rows if r["held_out"]]
+    assert len(rows) == 1000 and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+    assert np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.98 and all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_language_of_odd_texts(spark):
+    model = langid.build({"en": ["the cat sat on the mat"], "de": ["der hund und die katze"]})
+    df = spark.createDataFrame([(1, None, "en"), (2, "", "x"), (3, "123 !?", None), (None, "der hund", "de"), (5, "the mat " * 9000, "a")], "doc_id long, text string, score string")
+    got = {r["doc_id"]: (r["lang_pred"], r["held_out"]) for r in langid.identify(df, model).collect()}
+    assert [got[k][0] for k in (1, 2, 3, None, 5)] == ["und", "und", "und", "de", "en"] and got[None][1] is False
+    assert {r["doc_id"] for r in langid.identified(df, model).collect()} == {None, 5}
+    none = langid.train(df.withColumn("lang", df.text).limit(0))
+    assert none.languages == [] and none.predict(["a"]) == [("und", 0.0)]
+    assert langid.identify(df.limit(0), model).count() == 0
+
+
+def test_toxicity_on_rows_left_out(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    chain = toxicity.train(docs, labels.where("doc_id % 2 = 0"))
+    assert chain.categories == toxicity.CATEGORIES and len(chain.models[2].earlier) == 2
+    left = labels.where("doc_id % 2 = 1")
+    got = toxicity.score(docs, chain).join(left.selectExpr("doc_id", "toxic = 1 AS real"), "doc_id").collect()
+    hit = sum(r["toxic"] and r["real"] for r in got)
+    assert hit / sum(r["toxic"] for r in got) > 0.9 and hit / sum(r["real"] for r in got) > 0.8
+    kept = toxicity.unflagged(docs, chain)
+    assert kept.columns == docs.columns and kept.count() == 10000 - toxicity.score(docs, chain).where("toxic").count()
+
+
+def test_toxicity_of_odd_rows(spark):
+    rows = [(i, "bad word here" if i % 3 == 0 else "fine words here") for i in range(60)] + [(None, "bad"), (61, None), (62, ""), (62, "x"), (63, "bad " * 50000)]
+    docs = spark.createDataFrame([(k, t, True) for k, t in rows], "doc_id long, text string, toxic boolean")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(60)] + [(None, 1, 1), (61, None, 1), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    got = {(r["doc_id"], r["toxic"]) for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    assert {(0, True), (1, False), (63, True), (61, False)} <= got
+    for chain in (toxicity.train(docs, labels.limit(0)), toxicity.train(docs.limit(0), labels)):
+        assert toxicity.score(docs, chain).count() == 65 and toxicity.score(docs, chain).where("toxic").count() == 0
+
+
+def test_folds_do_not_see_their_rows():
+    """Labels without any relation to the words can't be predicted out of fold, so the next model can't lean on them."""
+    rnd = np.random.default_rng(1)
+    words = [np.unique(rnd.integers(0, 400, 30)).astype(np.int32) for _ in range(300)]
+    y = np.zeros((300, 2))
+    y[:, 0] = rnd.integers(0, 2, 300)
+    y[:, 1] = y[:, 0]
+    assert abs(toxicity.fit_chain(words, y, ("a", "b")).models[1].earlier[0]) < 0.5
+
+
+def plain_scores(rows, target):
+    def seq(t):
+        return ["<s>", *(t or "").encode().lower().split(), "</s>"]
+
+    pairs, firsts, own, n = [Counter(), Counter()], [Counter(), Counter()], {}, Counter()
+    for d, t in rows:
+        s = seq(t)
+        p, u = own.setdefault(d, (Counter(), Counter()))
+        p.update(zip(s, s[1:], strict=False))
+        u.update(s[:-1])
+        n[d] += len(s) - 1
+    for d, (p, u) in own.items():
+        for m in (0, 1) if d in target else (0,):
+            pairs[m].update(p)
+            firsts[m].update(u)
+    a, wide, out = lmscore.ADDED, lmscore.ADDED * (len(firsts[0]) + 1), {}
+    for d, (p, u) in own.items():
+        loss = []
+        for m in (1, 0):
+            less = 1 if m == 0 or d in target else 0
+            loss.append((sum(-c * math.log(pairs[m][k] - less * c + a) for k, c in p.items()) + sum(c * math.log(firsts[m][k] - less * c + wide) for k, c in u.items())) / n[d])
+        out[d] = (n[d], *loss)
+    return out
+
+
+@pytest.mark.parametrize("meet,ids", [(8 << 20, 4 << 20), (500, 4 << 20), (8 << 20, 0)])
+def test_scores_are_the_plain_ones(spark, monkeypatch, meet, ids):
+    monkeypatch.setattr(lmscore, "MEET", meet)
+    monkeypatch.setattr(lmscore, "BROADCAST_IDS", ids)
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    good = table(spark, "/root/testdata/sf0.001", "labels").where("quality = 1")
+    want = plain_scores([(r["doc_id"], r["text"]) for r in docs.collect()], {r["doc_id"] for r in good.collect()})
+    got = lmscore.cross_entropy_difference(docs, good).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert (r["n_tokens"], r["target_loss"], r["background_loss"]) == pytest.approx(want[r["doc_id"]], abs=1e-6)
+        assert r["score"] == pytest.approx(r["target_loss"] - r["background_loss"], abs=1e-6)
+
+
+def test_scores_of_odd_rows(spark):
+    rows = [(1, "a b c"), (2, None), (3, ""), (4, "a b " * 20000), (5, "a b c"), (6, "z")]
+    docs = spark.createDataFrame([(d, t, 0.5) for d, t in [*rows, (None, "q r"), (1, "b c")]], "doc_id long, text string, score double")
+    target = spark.createDataFrame([(1,), (1,), (None,), (99,)], "doc_id long")
+    got = {r["doc_id"]: r for r in lmscore.cross_entropy_difference(docs, target).collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 6, None} and got[1]["n_tokens"] == 7 and got[2]["n_tokens"] == 1
+    assert lmscore.cross_entropy_difference(docs.limit(0), target).count() == 0
+    assert lmscore.cross_entropy_difference(docs, target.limit(0)).count() == 7
