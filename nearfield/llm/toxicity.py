@@ -199,7 +199,9 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     order = np.argsort(-p)
     hit = np.cumsum(y[order])
     f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
-    return max(LEAST_SURE, float(p[order][int(f1.argmax())]) - 1e-9)
+    at = int(f1.argmax())
+    below = p[order][at + 1] if at + 1 < len(p) else 0.0
+    return max(LEAST_SURE, float(p[order][at] + below) / 2)  # halfway to the next row
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Chain:
