@@ -23,10 +23,13 @@ from pyspark.sql import functions as F
 from nearfield.llm.base import materialize, mix, utf8, word_hashes
 
 #: Added count; bytes of text that are packed together and documents at most; bytes of text for a range of keys; keys of documents that one task meets.
-ADDED, TOGETHER, MOST_DOCS, RANGE_BYTES, MEET = 0.05, 8 << 20, 50_000, 16 << 20, 8 << 20
+ADDED, TOGETHER, MOST_DOCS, RANGE_BYTES, MEET = 0.05, 5 << 20, 50_000, 16 << 20, 8 << 20
 #: Target documents whose ids are sent to all tasks; beyond, documents are joined with them.
 BROADCAST_IDS = 4 << 20
 BITS = 48
+#: Ranges at most: with more, the keys that some thousand documents have in one range would be too few to pack. Beyond
+#: MOST_RANGES * RANGE_BYTES of text the ranges grow, and with them what a task holds.
+MOST_RANGES = 32_768
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _START, _END = np.uint64(0x51A7), np.uint64(0xE0D)
 _NONE = np.iinfo(np.int64).min  # stands for a null doc_id
@@ -58,6 +61,7 @@ def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     low = np.uint64((1 << BITS) - 2)
     word = mix(first + _ODD) >> np.uint64(64 - BITS) & low
     pair = mix(mix(first * _ODD) + seq) >> np.uint64(64 - BITS) & low | np.uint64(1)
+    owner = owner.astype(np.int32)
     return np.concatenate([word, pair]), np.concatenate([owner, owner]), n + 1
 
 
@@ -127,25 +131,26 @@ def _summed(key, group):
 def _dealing(n: int, shared):
     def run(batches):
         for ids, marks, tokens, key, doc, count in _packs(batches, shared and shared.value):
+            pack = int(mix(np.sum(mix(ids.view(np.uint64) + tokens.astype(np.uint64) * _ODD), keepdims=True, dtype=np.uint64)).view(np.int64)[0])
             rows = []
             for r, a, b in _ranges(key, n):
                 at = _firsts(key[a:b])
                 some, short = np.unique(doc[a:b], return_inverse=True)
-                rows.append((r, planes(np.diff(key[a:b][at], prepend=np.uint64(0))), planes(np.diff(np.append(at, b - a))), planes(short), planes(count[a:b]), ids[some].tobytes(), marks[some].tobytes(), r * 1_000_003 + int(key[a]) % 1_000_003))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 6, pa.int64()], strict=True)], names=["part", "keys", "docs", "doc", "count", "ids", "marks", "pick"])
+                rows.append((r, planes(np.diff(key[a:b][at], prepend=np.uint64(0))), planes(np.diff(np.append(at, b - a))), planes(short), planes(count[a:b]), ids[some].tobytes(), marks[some].tobytes(), pack))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 6, pa.int64()], strict=True)], names=["part", "keys", "docs", "doc", "count", "ids", "marks", "pack"])
 
     return run
 
 
 def _losses(vocabulary: int):
-    """Of one range and one share of its documents: summed log terms for each document."""
+    """Of one range and one share of its packs: for each pack the documents' ids and their summed log terms."""
     wide = ADDED * vocabulary
 
     def run(left, right):
         known = np.cumsum(unplanes(right["keys"][0].as_py()), dtype=np.uint64) if right.num_rows else np.zeros(0, np.uint64)
         total, mine = (unplanes(right[c][0].as_py()).astype(np.int64) if right.num_rows else np.zeros(0, np.int64) for c in ("total", "mine"))
         out = []
-        for keys, docs, doc, count, ids, marks in zip(*(left[c].to_pylist() for c in ("keys", "docs", "doc", "count", "ids", "marks")), strict=True):
+        for pack, keys, docs, doc, count, ids, marks in zip(*(left[c].to_pylist() for c in ("pack", "keys", "docs", "doc", "count", "ids", "marks")), strict=True):
             key = np.repeat(np.cumsum(unplanes(keys), dtype=np.uint64), unplanes(docs).astype(np.int64))
             doc, count = unplanes(doc).astype(np.int64), unplanes(count).astype(np.int64)
             ids, marks = np.frombuffer(ids, np.int64), np.frombuffer(marks, bool)
@@ -157,13 +162,24 @@ def _losses(vocabulary: int):
             good[there] = mine[at[there]] - count[there] * marks[doc[there]]
             pair = (key & np.uint64(1)).astype(bool)
             sign, base = np.where(pair, -1.0, 1.0) * count, np.where(pair, ADDED, wide)
-            out.append((ids, np.bincount(doc, weights=sign * np.log(good + base), minlength=len(ids)), np.bincount(doc, weights=sign * np.log(rest + base), minlength=len(ids))))
-        d, t, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
-        return pa.table({"doc_id": d, "t": t, "b": b})
+            # In whole billionths, so that later sums are the same in any order.
+            t, b = (np.rint(1e9 * np.bincount(doc, weights=sign * np.log(x + base), minlength=len(ids))).astype(np.int64) for x in (good, rest))
+            out.append((pack, ids.tobytes(), t.tobytes(), b.tobytes()))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, [pa.int64(), *[pa.binary()] * 3], strict=True)], names=["pack", "ids", "t", "b"])
 
     return run
 
 
+def _joined(key, group):
+    """A pack's documents and their terms over all ranges: as much as the pack's own keys at most."""
+    ids, t, b = (np.frombuffer(b"".join(group[c].to_pylist()), np.int64) for c in ("ids", "t", "b"))
+    own, at = np.unique(ids, return_inverse=True)
+    out = np.zeros((2, len(own)), np.int64)
+    np.add.at(out[0], at, t)
+    np.add.at(out[1], at, b)
+    return pa.table({"doc_id": own, "t": out[0], "b": out[1]})
+
+
 def _tokens(docs: DataFrame) -> DataFrame:
     """Words and the end sign of each row's text."""
 
@@ -192,7 +208,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
         marked = ids.withColumn("m", F.lit(True)).hint("shuffle_hash")
         rows = docs.select("doc_id", "text").join(marked, "doc_id", "left").select("doc_id", "text", F.coalesce("m", F.lit(False)).alias("marked"))
     whole = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    n = int(max(8, -(-whole // RANGE_BYTES)))
+    n = int(min(MOST_RANGES, max(8, -(-whole // RANGE_BYTES))))
     counted = rows.mapInArrow(_counting(n, shared), "part int, keys binary, total binary, mine binary, docs binary")
     model = counted.groupBy("part").applyInArrow(_summed, "part int, keys binary, total binary, mine binary, words long, postings long")
     model = materialize(model, "ngrams")
@@ -200,16 +216,16 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     # Shares of a range: one, but for ranges with a key of very many documents.
     shares = F.ceil(F.col("postings") / MEET).cast("int")
     split = model.where(F.col("postings") > MEET).select("part", shares.alias("shares"))
-    dealt = rows.mapInArrow(_dealing(n, shared), "part int, keys binary, docs binary, doc binary, count binary, ids binary, marks binary, pick long")
+    dealt = rows.mapInArrow(_dealing(n, shared), "part int, keys binary, docs binary, doc binary, count binary, ids binary, marks binary, pack long")
     if split.isEmpty():
         dealt, entries = dealt.withColumn("share", F.lit(0)), model.withColumn("share", F.lit(0))
     else:
-        dealt = dealt.join(split, "part", "left").withColumn("share", F.coalesce(F.pmod(F.xxhash64("pick", F.length("keys"), F.length("doc")), F.col("shares")).cast("int"), F.lit(0)))
+        dealt = dealt.join(split, "part", "left").withColumn("share", F.coalesce(F.pmod(F.xxhash64("pack"), F.col("shares")).cast("int"), F.lit(0)))
         entries = model.withColumn("share", F.explode(F.sequence(F.lit(0), F.greatest(shares, F.lit(1)) - 1)))
-    met = dealt.groupBy("part", "share").cogroup(entries.select("part", "share", "keys", "total", "mine").groupBy("part", "share")).applyInArrow(_losses(vocabulary), "doc_id long, t double, b double")
-    parts = met.select("doc_id", "t", "b", F.lit(0).cast("long").alias("n")).unionByName(_tokens(docs).select("doc_id", F.lit(0.0).alias("t"), F.lit(0.0).alias("b"), "n"))
-    # Sums in whole billionths: the same in any order.
-    exact = [F.sum(F.round(F.col(c) * 1e9).cast("decimal(20,0)")).cast("double").alias(c) for c in ("t", "b")]
+    met = dealt.groupBy("part", "share").cogroup(entries.select("part", "share", "keys", "total", "mine").groupBy("part", "share")).applyInArrow(_losses(vocabulary), "pack long, ids binary, t binary, b binary")
+    met = met.groupBy("pack").applyInArrow(_joined, "doc_id long, t long, b long")
+    parts = met.select("doc_id", "t", "b", F.lit(0).cast("long").alias("n")).unionByName(_tokens(docs).select("doc_id", F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("b"), "n"))
+    exact = [F.sum(c).cast("double").alias(c) for c in ("t", "b")]
     out = parts.groupBy("doc_id").agg(*exact, F.sum("n").alias("n_tokens"))
     of = F.when(F.col("doc_id") != _NONE, F.col("doc_id")).alias("doc_id")
     loss = [F.round(F.col(c) / 1e9 / F.col("n_tokens"), 9) for c in ("t", "b")]
