@@ -159,6 +159,17 @@ def test_template_of_a_host_goes(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+def test_boxes_that_all_articles_share_go():
+    page = "<body><div>Site</div><article><h1>Same</h1><p>First {0}</p><div>Share this</div><p>Same</p></article></body>"
+    trees = [html.skeleton(html.parse(page.format(i))) for i in range(4)]
+    t = trees[0]
+    for x in trees[1:]:
+        t = html.fold(t, x)
+    assert html.extract(page.format(7), t) == "Same\nFirst 7\nSame"
+    copies = html.fold(html.fold(trees[0], trees[0]), trees[0])
+    assert html.extract(page.format(0), copies) == html.extract(page.format(0), None) == "Same\nFirst 0\nShare this\nSame"
+
+
 def test_templates_joined_by_host_are_the_same(spark, monkeypatch):
     df = table(spark, SF, "pages")
     want = {tuple(r) for r in html.main_text(df).collect()}
