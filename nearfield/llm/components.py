@@ -15,7 +15,8 @@ def _to_least(links: DataFrame) -> DataFrame:
 
 def _large(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = _to_least(both).withColumn("m", F.least("a", "m"))
+    # Written first, so that the join below deals out both sides itself and can split a vertex with very many neighbours.
+    least = materialize(_to_least(both).withColumn("m", F.least("a", "m")), "least")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
