@@ -28,7 +28,7 @@ LEAST_SURE = 0.35
 #: A word's beginnings of these lengths are features as well: inflected and compounded words share them.
 STEMS = (3, 4, 5, 7)
 #: Words that a worker remembers; beyond so many it starts anew.
-KNOWN = 500_000
+KNOWN = 250_000
 #: The chain, in order: from what the labels (quality, toxic) say.
 CATEGORIES = ("low_quality", "toxic", "toxic_low_quality")
 _WORD = re.compile(r"[^\W\d_]+|[^\w\s]+")

@@ -15,7 +15,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers  # noqa: E402
 
 #: Pieces of text whose ids a worker remembers; then it starts anew.
-MEMORY = 400_000
+MEMORY = 250_000
 
 
 def byte_characters() -> list[str]:
