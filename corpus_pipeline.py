@@ -18,7 +18,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text has a language among those learned from ``docs``; all columns stay.
 
-    Null texts and texts without letters go. If no language can be learned, nothing goes for want of one but those.
+    Null texts, texts without letters and those that the parse finds in no learned language go. If no language can be learned, nothing goes for want of one but those.
     """
     return langid.identified(docs, langid.train(docs))
 

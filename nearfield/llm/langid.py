@@ -2,11 +2,13 @@
 
 A text is parsed, from the left, into the longest phrases that occur in a language's training text; the fewer phrases
 a text needs for its length, the nearer the language. Phrases of a language weigh log2 of its training length, the
-bits that point to a place in it.
+bits that point to a place in it. A text that the best language's phrases make longer than its symbols written one by
+one is in no language that was learned.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +22,8 @@ from nearfield.llm.base import map_batches
 DOCS_PER_LANGUAGE, BYTES_PER_DOC = 96, 320
 #: Symbols of a segment; a parse starts anew at each segment, so that segments of all texts are parsed side by side.
 SEGMENT = 512
+#: Phrases that tell nothing of a text's language: the first, which starts at any place, and the last, which the end cuts.
+EDGES = 2
 _FLAG, _STATE = np.uint32(1 << 31), np.uint32((1 << 31) - 1)
 
 
@@ -98,23 +102,40 @@ class Model:
             out[:, k] = np.bincount(owner, weights=found, minlength=len(texts))
         return out, n
 
+    def strange(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Letters of each text that have a byte never seen in training, and whether it has no others."""
+        seen = {b for b in range(256) if self.symbol[b]}
+        plain = bytes(b for b in range(256) if b in seen or b < 128 and not chr(b).isalpha())
+        count, only = np.zeros(len(texts)), np.zeros(len(texts), bool)
+        for i, t in enumerate(texts):
+            if _letters(t).translate(None, plain):
+                letters = {c: k for c, k in Counter(t.lower()).items() if c.isalpha()}
+                count[i] = sum(k for c, k in letters.items() if not seen.issuperset(c.encode()))
+                only[i] = count[i] == sum(letters.values())
+        return count, only
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and score; ``und`` and 0 for null, for texts without letters and if no language was learned.
 
+        So it is for texts in none of the languages: where the best one's phrases, but for EDGES, take more bits than
+        the symbols written one by one, or no letter was seen in training. A strange letter counts as a phrase.
         The score is the part of the next best language's cost that the best one saves, 0 for a text of symbols never
         seen in training; ties go to the first in order.
         """
         whole = [t if t and any(map(str.isalpha, t)) else "" for t in texts]
         if not self.languages:
             return [("und", 0.0)] * len(texts)
-        phrases, _ = self.parse(whole)
+        phrases, n = self.parse(whole)
         cost = phrases * np.array(self.bits)
         best = cost.argmin(1)
         least = cost[np.arange(len(cost)), best]
+        strange, only = self.strange(whole)
+        spelled = (n + strange) * (np.log2(self.width) + 1)  # a bit says that no phrase follows but a symbol
+        known = ~only & (least + (strange - EDGES) * np.array(self.bits)[best] <= spelled)
         cost[np.arange(len(cost)), best] = np.inf
         second = cost.min(1)
         score = np.where(np.isfinite(second), 1 - least / np.where(second > 0, second, 1), 1.0) * (second > 0)
-        return [(self.languages[b], float(s)) if w else ("und", 0.0) for w, b, s in zip(whole, best.tolist(), score.tolist(), strict=True)]
+        return [(self.languages[b], float(s)) if w and k else ("und", 0.0) for w, k, b, s in zip(whole, known.tolist(), best.tolist(), score.tolist(), strict=True)]
 
 
 def build(samples: dict[str, list[str]]) -> Model:
@@ -190,7 +211,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text has letters, so that it gets a language."""
+    """The rows of ``docs``, with all their columns, whose text ``identify`` would give a language; if none was learned, those with
+    letters."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text = docs.columns.index("text")
 

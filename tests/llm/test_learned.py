@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -69,6 +70,21 @@ def test_language_of_odd_texts(spark):
     assert langid.identify(df.limit(0), model).count() == 0
 
 
+def test_texts_in_no_learned_language_go(spark):
+    docs = table(spark, SF, "documents")
+    model = langid.train(docs)
+    rnd = random.Random(4)
+    noise = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz     ", k=k)) for k in (60, 300, 3000)]
+    other = ["Съешь же ещё этих мягких французских булок, да выпей чаю. " * 9, "я", "これは学習されていない言語の文章です。", "Αυτό το κείμενο είναι στα ελληνικά."]
+    rows = docs.select("doc_id", "text").limit(50).collect()
+    df = spark.createDataFrame([(-i, t) for i, t in enumerate(noise + other, 1)] + [(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string")
+    assert {r["doc_id"] for r in langid.identified(df, model).collect()} == {r["doc_id"] for r in rows}
+    assert {r["lang_pred"] for r in langid.identify(df.where("doc_id < 0"), model).collect()} == {"und"}
+    assert langid.identified(docs, model).count() == docs.count()
+    mixed = "The α and β of " + rows[0]["text"]
+    assert model.predict([mixed])[0][0] != "und"
+
+
 def test_toxicity_on_rows_left_out(spark):
     docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     chain = toxicity.train(docs, labels.where("doc_id % 2 = 0"))
