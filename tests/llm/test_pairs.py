@@ -170,6 +170,24 @@ def test_boxes_that_all_articles_share_go():
     assert html.extract(page.format(0), copies) == html.extract(page.format(0), None) == "Same\nFirst 0\nShare this\nSame"
 
 
+def template(pages: list[str]) -> html.Node:
+    t, *rest = [html.skeleton(html.parse(x)) for x in pages]
+    for x in rest:
+        t = html.fold(t, x)
+    return html.Node.load(t.dump())
+
+
+def test_text_that_few_pages_fill_stays():
+    inner = "<article><div class='entry'>{1}<p>Text {0}</p></div></article>"
+    outer = "<body><h2>Site</h2><div class='entry'>{1}<p>Text {0}</p></div><div>{2}</div></body>"
+    for page in (inner, outer):
+        pages = [page.format(i, "Only here" if i == 2 else "", "Closed today" if i == 1 else "") for i in range(5)]
+        t = template(pages)
+        assert html.extract(pages[2], t) == "Only here\nText 2"
+        assert html.extract(pages[1], t) == ("Text 1\nClosed today" if page == outer else "Text 1")
+        assert html.extract(pages[0], template([pages[0], pages[2], pages[2], pages[1], pages[3]])) == "Text 0"
+
+
 def test_templates_joined_by_host_are_the_same(spark, monkeypatch):
     df = table(spark, SF, "pages")
     want = {tuple(r) for r in html.main_text(df).collect()}
