@@ -188,6 +188,33 @@ def test_text_that_few_pages_fill_stays():
         assert html.extract(pages[0], template([pages[0], pages[2], pages[2], pages[1], pages[3]])) == "Text 0"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='has-sidebar'><p>Text {0}</p></body>",
+        "<html class='no-ads header'><body class='search'><p>Text {0}</p></body></html>",
+        "<div id='content' class='ad-free'><p>Text {0}</p></div>",
+        "<div id='content' class='share-ready'><h3>Site</h3><p>Text {0}</p></div><div class='related'><i>{0}</i></div>",
+        "<article class='post no-comments tags-x'><p>Text {0}</p></article>",
+        "<main class='search'><p>Text {0}</p></main><div>{0}</div>",
+        "<div class='social header'><main><p>Text {0}</p></main></div>",
+        "<div class='header-x'><article class='tags'><p>Text {0}</p></article></div><div class='related'><article>{0}</article></div>",
+        "<article><div class='tags-x'><p>Text {0}</p></div></article>",
+        "<div class='widget'><div class='search'><p>Text {0}</p></div></div>",
+    ],
+)
+def test_a_name_does_not_take_the_article(page):
+    shell = "<div>Shared</div>{0}<nav class='menu'><p>Menu {1} and more of it</p></nav><div class='comments'><p>{1}</p></div>"
+    pages = [shell.format(page.format(f"{i}."), i) if "<body" not in page else page.format(f"{i}.") for i in range(4)]
+    assert html.extract(pages[1], template(pages)) == "Text 1."
+
+
+def test_named_boxes_beside_an_article_go():
+    page = "<div class='comments'><article class='comment'><p>Nice {0}</p></article></div><article><h1>Title</h1><p>Text number {0}</p><div class='share'>To {0}</div></article>"
+    pages = [page.format(i) for i in range(4)]
+    assert html.extract(pages[1], template(pages)) == "Title\nText number 1"
+
+
 def test_templates_joined_by_host_are_the_same(spark, monkeypatch):
     df = table(spark, SF, "pages")
     want = {tuple(r) for r in html.main_text(df).collect()}
