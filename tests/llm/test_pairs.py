@@ -209,6 +209,12 @@ def test_a_name_does_not_take_the_article(page):
     assert html.extract(pages[1], template(pages)) == "Text 1."
 
 
+@pytest.mark.parametrize("drawn", ["<svg width='9'/>", "<math/>", "<svg/><b>and</b><svg><text>no</text></svg>", "<SVG />"])
+def test_drawings_that_close_themselves(drawn):
+    want = "One and two" if "and" in drawn else "One two"
+    assert html.extract(f"<p>One {drawn} two</p><p>Three</p>", None) == want + "\nThree"
+
+
 def test_named_boxes_beside_an_article_go():
     page = "<div class='comments'><article class='comment'><p>Nice {0}</p></article></div><article><h1>Title</h1><p>Text number {0}</p><div class='share'>To {0}</div></article>"
     pages = [page.format(i) for i in range(4)]
