@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.base import map_batches
 
-#: Labelled documents to fit on (those of the least hashed doc_id), and the features of each that count for fitting.
-SAMPLE, SAMPLE_FEATURES = 6000, 4000
+#: Labelled documents to fit on (those of the least hashed doc_id), each with all its features.
+SAMPLE = 6000
 #: Hash space, documents that a feature must be in, features that a model keeps, folds, steps and the penalty of the fit.
 WIDTH, LEAST_DOCS, KEPT, FOLDS, STEPS, PENALTY = 1 << 20, 3, 3000, 3, 60, 1.0
 #: A row is never flagged below this probability.
@@ -218,16 +218,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
         def run(b: pa.RecordBatch):
             b = b.filter(pa.compute.is_in(b.column(0), value_set=wanted))
             if b.num_rows:
-                words = [hashed_words(t or "") for t in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([w[:: -(-len(w) // SAMPLE_FEATURES) or 1] for w in words], pa.list_(pa.int32()))], names=["doc_id", "words"])
+                words = [hashed_words(t or "").astype(">i4").tobytes() for t in b.column(1).to_pylist()]  # sorts as the numbers do
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.binary())], names=["doc_id", "words"])
 
         return run
 
-    rows = sorted((r["doc_id"], r["words"]) for r in map_batches(docs.select("doc_id", "text"), make, "doc_id long, words array<int>").collect())
-    seen: dict[int, list[int]] = dict(reversed(rows))
+    rows = sorted((r["doc_id"], bytes(r["words"])) for r in map_batches(docs.select("doc_id", "text"), make, "doc_id long, words binary").collect())
+    seen: dict[int, bytes] = dict(reversed(rows))
     keys = sorted(seen, key=lambda k: (zlib.crc32(str(k).encode()), k))
     y = np.array([(q, t, q and t) for q, t in map(label.get, keys)], float).reshape(-1, len(CATEGORIES))
-    return fit_chain([np.array(seen[k], np.int32) for k in keys], y, CATEGORIES)
+    return fit_chain([np.frombuffer(seen[k], ">i4").astype(np.int32) for k in keys], y, CATEGORIES)
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:

@@ -107,6 +107,19 @@ def test_toxicity_of_odd_rows(spark):
         assert toxicity.score(docs, chain).count() == 65 and toxicity.score(docs, chain).where("toxic").count() == 0
 
 
+def test_long_labelled_texts_are_fitted_whole(spark, monkeypatch):
+    rnd = random.Random(7)
+    long = " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(3000))
+    assert len(toxicity.hashed_words(long)) > 8000
+    docs = spark.createDataFrame([(1, long), (2, "short text"), (2, "a short one"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in (1, 2, 3)], "doc_id long, quality int, toxic int")
+    got = []
+    monkeypatch.setattr(toxicity, "fit_chain", lambda words, *_: got.extend(w.tolist() for w in words))
+    toxicity.train(docs, labels)
+    want = [toxicity.hashed_words(t).tolist() for t in (long, "short text", "a short one", "")]
+    assert sorted(got) == sorted([want[0], min(want[1:3]), want[3]])
+
+
 def test_folds_do_not_see_their_rows():
     """Labels without any relation to the words can't be predicted out of fold, so the next model can't lean on them."""
     rnd = np.random.default_rng(1)
