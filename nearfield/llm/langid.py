@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.base import map_batches
 
-#: Documents and bytes of each that a language's training text takes at most: those of the least hashed doc_id.
-DOCS_PER_LANGUAGE, BYTES_PER_DOC = 96, 320
+#: Distinct texts that a language is learned from at most, those of the least hash, and the bytes of all of them together.
+DOCS_PER_LANGUAGE, BYTES_PER_LANGUAGE = 96, 1 << 16
 #: Symbols of a segment; a parse starts anew at each segment, so that segments of all texts are parsed side by side.
 SEGMENT = 512
 #: Phrases that tell nothing of a text's language: the first, which starts at any place, and the last, which the end cuts.
@@ -166,20 +166,46 @@ def training_part() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4, F.lit(0)) != 2
 
 
+def share(sizes: list[int], total: int) -> int:
+    """The greatest part of each size, or the whole of smaller ones, that come to ``total`` at most."""
+    left = total
+    for i, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - i) > left:
+            return left // (len(sizes) - i)
+        left -= n
+    return max(sizes, default=0)
+
+
 def train(docs: DataFrame) -> Model:
-    """Learn every language of ``lang`` from bounded text: DOCS_PER_LANGUAGE documents each, BYTES_PER_DOC of each.
+    """Learn every language of ``lang`` from bounded text: DOCS_PER_LANGUAGE distinct texts with letters each, whole where
+    together they are within BYTES_PER_LANGUAGE; else the longest ones are cut to one length, about their middles.
 
-    The ranking keeps so many rows of a language in each task before any shuffle.
+    Copies become one in each task before the shuffle; the ranking keeps so many rows of a language in each task.
     """
-    own = docs.where(training_part() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = [r["doc_id"] for r in own.withColumn("r", rank).where(F.col("r") <= DOCS_PER_LANGUAGE).select("doc_id").collect()]
-    # Text from the middle of a document, where headings and shared first lines are past.
-    part = F.substring("text", F.greatest(F.lit(1), (F.length("text") - BYTES_PER_DOC) / 2).cast("int"), F.lit(BYTES_PER_DOC))
-    rows = docs.where(F.col("doc_id").isin(ids) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", part.alias("part")) if ids else None
+    own = docs.where(training_part() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    distinct = own.groupBy("lang", F.xxhash64("text").alias("h")).agg(
+        F.min("doc_id").alias("doc_id"), F.min(F.octet_length("text")).alias("bytes"), F.min(F.length("text")).alias("chars")
+    )
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    picked = distinct.withColumn("r", rank).where(F.col("r") <= DOCS_PER_LANGUAGE).drop("r").collect()
+    if not picked:
+        return build({})
+    by_lang: dict[str, list] = {}
+    for p in picked:
+        by_lang.setdefault(p["lang"], []).append(p)
+    chars = {lang: max(1, share([p["bytes"] for p in ps], BYTES_PER_LANGUAGE) * sum(p["chars"] for p in ps) // sum(p["bytes"] for p in ps)) for lang, ps in by_lang.items()}
+    for lang, ps in by_lang.items():
+        if sum(p["bytes"] for p in ps) <= BYTES_PER_LANGUAGE:
+            chars[lang] = max(p["chars"] for p in ps)
+    most = F.create_map(*[F.lit(x) for item in chars.items() for x in item])[F.col("lang")]
+    # Text from the middle of a document that is cut, where headings and shared first lines are past.
+    part = F.substring(F.col("text"), F.greatest(F.lit(1), F.floor((F.length("text") - most) / 2) + 1).cast("int"), most)
+    rows = docs.where(F.col("doc_id").isin([p["doc_id"] for p in picked]) & F.col("lang").isin(list(chars)) & F.col("text").isNotNull())
+    wanted = {(p["lang"], p["h"], p["doc_id"]) for p in picked}
+    parts = {(r["lang"], r["h"], r["doc_id"]): r["part"] for r in rows.select("lang", F.xxhash64("text").alias("h"), "doc_id", part.alias("part")).collect()}
     samples: dict[str, list[str]] = {}
-    for r in sorted(rows.collect()) if rows is not None else []:
-        samples.setdefault(r["lang"], []).append(r["part"])
+    for key in sorted(wanted & parts.keys()):
+        samples.setdefault(key[0], []).append(parts[key])
     return build(samples)
 
 

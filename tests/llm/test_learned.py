@@ -70,6 +70,21 @@ def test_language_of_odd_texts(spark):
     assert langid.identify(df.limit(0), model).count() == 0
 
 
+def test_training_takes_distinct_whole_texts(spark, monkeypatch):
+    """Nulls, texts without letters and copies do not take the places of texts to learn from."""
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    short = {f"word{chr(97 + i % 26)} {chr(97 + i // 26) * 3} " * 50 for i in range(60)}
+    xx = [None] * 500 + ["12 34!"] * 100 + ["the same text"] * 300 + sorted(short)
+    rows = [(i, t, "xx") for i, t in zip(ids, xx, strict=False)] + [(5000 + i, "lang" + "abcdefgh"[i % 8] * 9000, "yy") for i in range(40)]
+    assert len(rows) == len(xx) + 40
+    got = {}
+    monkeypatch.setattr(langid, "build", got.update)
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    assert sorted(got["xx"]) == sorted(short | {"the same text"})
+    assert len(got["yy"]) == 8 and 8 * 8000 < sum(map(len, got["yy"])) <= 1 << 16
+    assert langid.share([5, 100, 100], 65) == 30 and langid.share([5, 6], 65) == 6 and langid.share([], 9) == 0
+
+
 def test_texts_in_no_learned_language_go(spark):
     docs = table(spark, SF, "documents")
     model = langid.train(docs)
