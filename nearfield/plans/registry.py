@@ -20,7 +20,7 @@ _built: dict[tuple, DataFrame] = {}
 #: Vectors of different lengths, so that the three metrics rank differently.
 SCALED = "scaled AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE * (1 + label)) AS v FROM embeddings)"
 COS = "CASE WHEN list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v) = 0 THEN 0 ELSE -list_inner_product(a.v, b.v) * abs(list_inner_product(a.v, b.v)) / list_inner_product(a.v, a.v) / list_inner_product(b.v, b.v) END"
-SQL_DISTANCE = {"l2": "pow(list_distance(a.v, b.v), 2)", "ip": "-list_inner_product(a.v, b.v)", "cos": COS, "hamming": "list_sum(list_transform(list_zip(a.v, b.v), lambda p: bit_count(xor(p[1], p[2]))))"}
+SQL_DISTANCE = {"l2": "pow(list_distance(a.v, b.v), 2)", "ip": "-list_inner_product(a.v, b.v)", "cos": COS, "hamming": "list_sum(list_transform(list_zip(a.v, b.v), lambda p: bit_count(xor(p[1], p[2]))))::DOUBLE"}
 
 
 def query(sql: str | None = None):

@@ -18,12 +18,17 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, ``spark.checkpoint.dir``; only where it is unset, a temporary one of this process."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master has a temporary folder of its own, removed at exit; on a cluster that is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own:
-        _own.append(tempfile.mkdtemp(prefix="nearfield-index-"))
+        _own.append(tempfile.mkdtemp(prefix="nearfield-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
     return f"file://{_own[0]}"
 
@@ -32,11 +37,35 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again; the lineage ends there."""
-    path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _written(df, fresh_path(df.sparkSession, tag))
+
+
+class Scratch:
+    """Tables in a folder of their own under the shared one, which goes when their work is done.
+
+    ``with Scratch(spark) as s:`` writes intermediate tables by ``s.write``; what is to stay is materialized before the end.
+    """
+
+    def __init__(self, spark: SparkSession, tag: str = "scratch"):
+        self.spark, self.path, self.made = spark, fresh_path(spark, tag), 0
+
+    def write(self, df: DataFrame, tag: str) -> DataFrame:
+        self.made += 1
+        return _written(df, f"{self.path}/{self.made}-{tag}")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def number_lines(lines: DataFrame, name: str) -> DataFrame:
