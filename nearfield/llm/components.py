@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.base import materialize
+from nearfield.llm.base import Scratch, materialize
 
 
 def _to_least(links: DataFrame) -> DataFrame:
@@ -13,10 +13,10 @@ def _to_least(links: DataFrame) -> DataFrame:
     return links.groupBy("a").agg(F.min("b").alias("m"))
 
 
-def _large(links: DataFrame) -> DataFrame:
+def _large(links: DataFrame, write) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     # Written first, so that the join below deals out both sides itself and can split a vertex with very many neighbours.
-    least = materialize(_to_least(both).withColumn("m", F.least("a", "m")), "least")
+    least = write(_to_least(both).withColumn("m", F.least("a", "m")), "least")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
@@ -26,15 +26,17 @@ def _small(links: DataFrame) -> DataFrame:
     return others.unionByName(least.select("a", F.col("m").alias("b")))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``edges`` (a, b: long) to (v, component): every vertex of an edge and the least vertex that it reaches.
 
     Self-links and null ends take no part. Each round is written to the shared folder, so a lost executor costs a part
-    of one round; the number of rounds grows with the logarithm of the vertices.
+    of one round; the number of rounds grows with the logarithm of the vertices. With ``scratch`` what is written goes
+    with that, so the result must be used before.
     """
-    links = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    write = scratch.write if scratch else materialize
+    links = write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     while not _is_stars(links):
-        links = materialize(_small(_large(links).distinct()).distinct(), "links")
+        links = write(_small(_large(links, write).distinct()).distinct(), "links")
     return links.select(F.col("a").alias("v"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("v"), F.col("b").alias("component")).distinct())
 
 

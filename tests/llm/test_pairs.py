@@ -79,19 +79,30 @@ def copies(rnd, base, n, changes):
     return out
 
 
-def test_large_groups_and_deep_nodes(spark, monkeypatch):
-    """Small limits, so that nodes branch, alike ones are cut into blocks and clusters meet block by block."""
+@pytest.mark.parametrize("limits", [{"NODE": 4}, {"NODE": 2, "TASK_NODE": 8, "BROADCAST_MEMBERS": 5}, {"CLUSTER": 8, "PIVOTS": 2}, {"CLUSTER": 4, "PIVOT_ROUNDS": 1, "TASK_NODE": 16, "PIVOT_BYTES": 0}])
+def test_large_groups_and_deep_nodes(spark, monkeypatch, limits):
+    """Small limits, so that nodes branch in a task and before it, alike ones are cut into blocks and clusters meet block by block."""
     rnd = random.Random(4)
     a, b = ([f"{p}{rnd.randint(0, 400)}" for _ in range(120)] for p in "ab")
     same_start = [" ".join(["one", "two", *[f"t{rnd.random()}" for _ in range(6)]]) for _ in range(60)]
     rows = list(enumerate(copies(rnd, a, 60, 2) + copies(rnd, b, 40, 6) + same_start + [" ".join(a)] * 30))
-    for name, value in (("NODE", 8), ("CLUSTER", 8), ("BROADCAST_MEMBERS", 5)):
+    for name, value in limits.items():
         monkeypatch.setattr(neardup, name, value)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, 2).collect()}
     assert got == plain(rows, 2)
 
 
+def test_rows_of_one_doc_id_with_near_copies(spark):
+    """Each text of a doc_id has its own links, and the doc_id joins them."""
+    rnd = random.Random(8)
+    base = [[f"{p}{i}" for i in range(60)] for p in "abcd"]
+    rows = [(3, " ".join(base[0])), (3, " ".join(base[1])), (11, copies(rnd, base[1], 1, 2)[0]), (10, copies(rnd, base[0], 1, 2)[0]), (7, " ".join(base[2])), (20, copies(rnd, base[2], 1, 2)[0]), (20, " ".join(base[3])), (20, " ".join(base[3])), (21, copies(rnd, base[3], 1, 1)[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(df, 2).collect())
+    assert got == [(3, 3), (3, 3), (7, 7), (10, 3), (11, 3), (20, 7), (20, 7), (20, 7), (21, 7)]
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(5, "a b c d e"), (3, "A b  C d e"), (9, "x"), (8, "X"), (1, None), (2, ""), (7, " \t"), (None, "x"), (4, "long " * 30000), (6, "long " * 30000), (3, "other text of three"), (10, "Other text of three")]
     df = spark.createDataFrame([(d, t, 1, True) for d, t in rows], "doc_id long, text string, n int, kept boolean")
@@ -114,17 +125,35 @@ def test_components_of_chains_and_stars(spark):
     assert cc.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_recall_of_trees():
-    """Pairs at 0.8 meet at the bottom of a tree nine times out of ten, of all trees practically always."""
+@pytest.mark.parametrize("crowd", [0, 4000])
+def test_recall_of_trees(monkeypatch, crowd):
+    """Pairs at 0.8 stay together in nodes that branch: at the first level, and where a crowd shares most tokens."""
     rnd = np.random.default_rng(6)
-    met, one = 0, 0
-    for _ in range(300):
-        x = rnd.integers(0, 1 << 63, 180).astype(np.uint64)
-        a, b = neardup.minwise(x[:160]), neardup.minwise(x[20:])
-        na, nb = neardup.start_nodes(np.stack([a, b]))
-        met += bool(set(na.tolist()) & set(nb.tolist()))
-        one += len(set(na.tolist()) & set(nb.tolist())) > 1
-    assert met >= 299 and one > 280
+    monkeypatch.setattr(neardup, "NODE", 2)
+    pairs = [np.stack([neardup.minwise(x[:160]), neardup.minwise(x[20:])]) for x in (rnd.integers(0, 1 << 63, 180).astype(np.uint64) for _ in range(300))]
+    tokens = np.concatenate([*pairs, rnd.integers(0, 8, (crowd, neardup.TOKENS)).astype(np.uint8)])
+    if crowd:
+        tokens[:600] %= 8  # eight values a token: all share nodes with hundreds of others
+    nodes = neardup.first_nodes(tokens)
+    met = set()
+    for k in range(nodes.shape[1]):
+        a, b = neardup.links_below(nodes[:, k], np.full(len(tokens), 160), tokens, 80)
+        met |= {int(min(x, y)) for x, y in zip(a, b, strict=True) if abs(int(x) - int(y)) == 1 and min(x, y) % 2 == 0 and max(x, y) < 600}
+    assert len(met) >= 298
+
+
+def test_links_below_are_those_of_every_pair():
+    """Of all trees: what looks similar is connected, and nothing else, whether a node is small, alike, or branches on."""
+    rnd = np.random.default_rng(9)
+    base = rnd.integers(0, 256, (40, neardup.TOKENS)).astype(np.uint8)
+    tokens = base[rnd.integers(0, 40, 600)]
+    swap = rnd.random(tokens.shape) < 0.05
+    tokens = np.where(swap, rnd.integers(0, 256, tokens.shape), tokens).astype(np.uint8)
+    nodes, label = neardup.first_nodes(tokens), np.arange(600)
+    for x, y in np.concatenate([neardup.links_below(n, np.full(600, 9), tokens, 80) for n in nodes.T], 1).T:
+        label[label == label[x]] = label[y]
+    near = (tokens[:, None] == tokens[None]).sum(2) >= neardup._least_matches(80)
+    assert ((label[:, None] == label[None]) >= near).all() and len(np.unique(label)) == 40
 
 
 def test_top_k_is_the_sql(spark):
