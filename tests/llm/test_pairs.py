@@ -9,6 +9,8 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from oracle import same
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from nearfield.llm import components as cc
 from nearfield.llm import html, langid, neardup, packing, queries, topk, toxicity
@@ -190,20 +192,15 @@ def test_template_of_a_host_goes(spark):
 
 def test_boxes_that_all_articles_share_go():
     page = "<body><div>Site</div><article><h1>Same</h1><p>First {0}</p><div>Share this</div><p>Same</p></article></body>"
-    trees = [html.skeleton(html.parse(page.format(i))) for i in range(4)]
-    t = trees[0]
-    for x in trees[1:]:
-        t = html.fold(t, x)
-    assert html.extract(page.format(7), t) == "Same\nFirst 7\nSame"
-    copies = html.fold(html.fold(trees[0], trees[0]), trees[0])
-    assert html.extract(page.format(0), copies) == html.extract(page.format(0), None) == "Same\nFirst 0\nShare this\nSame"
+    assert html.extract(page.format(7), template([page.format(i) for i in range(4)])) == "Same\nFirst 7\nSame"
+    assert html.extract(page.format(0), template([page.format(0)] * 3)) == "Same\nFirst 0\nShare this\nSame"
 
 
 def template(pages: list[str]) -> html.Node:
     t, *rest = [html.skeleton(html.parse(x)) for x in pages]
     for x in rest:
         t = html.fold(t, x)
-    return html.Node.load(t.dump())
+    return html.decide(html.Node.load(t.dump()))
 
 
 def test_text_that_few_pages_fill_stays():
@@ -250,6 +247,97 @@ def test_named_boxes_beside_an_article_go():
     assert html.extract(pages[1], template(pages)) == "Title\nText number 1"
 
 
+@pytest.mark.parametrize("body", ['<div class="share-of-voice">Body text of {0} goes here</div>', '<p id="comment-law">Body text of {0} goes here</p>'])
+def test_names_that_only_look_like_a_menu_stay(body):
+    pages = [f"<body><nav>Home</nav><article><h1>Title {i}</h1><p>First {i}</p>{body.format(i)}</article></body>" for i in range(4)]
+    for t in (template(pages), template(pages[:1])):
+        assert html.extract(pages[1], t) == "Title 1\nFirst 1\nBody text of 1 goes here"
+
+
+#: Pages of the tables without an article element, and with names that are in no list.
+FOREIGN = [("<article>", '<div class="b1">'), ("</article>", "</div>"), ('class="ad"', 'class="werbung"'), ("<footer>", '<div class="fuss">'), ("</footer>", "</div>"), ("<nav>", '<div class="leiste">'), ("</nav>", "</div>")]
+
+
+@pytest.mark.parametrize("changes", [FOREIGN[:2], FOREIGN])
+def test_the_template_finds_the_content(spark, changes):
+    """Articles renamed to plain boxes: the template finds them all, and without it nothing does."""
+    df = table(spark, "/root/testdata/sf0.01", "pages")
+    want = {r["page_id"]: r["text"] for r in html.main_text(df).collect()}
+    renamed = df
+    for a, b in changes:
+        renamed = renamed.withColumn("html", F.replace("html", F.lit(a), F.lit(b)))
+    got = {r["page_id"]: r["text"] for r in html.main_text(renamed).collect()}
+    hosts = {r["page_id"]: r["n"] for r in df.select("page_id", F.count("*").over(Window.partitionBy(html._host())).alias("n")).collect()}
+    many = [k for k in got if hosts[k] >= 5]
+    assert len(many) > 100 and all(got[k] == want[k] for k in many)
+    plain = {r["page_id"]: html.extract(r["html"], None) for r in renamed.collect()}
+    assert all(plain[k] != want[k] for k in many)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div>" * 10_000 + "text" + "</div>" * 10_000 + "<p>after", "text\nafter"),
+        ("<b>" * 10_000 + "text" + "</b>" * 10_000 + "<p>after", "text\nafter"),
+        ("<p>x</p>" + "<a b='x" * 700_000 + ">end", "x\nend"),
+        ("<p title=\"abc>Hello</p>" + "<i a='>' " * 200_000 + ">end", "Hello\nend"),
+        ("<" * 2_000_000, "<" * 2_000_000),
+        ("<!-- " * 500_000, ""),
+        ("<script>" * 300_000, ""),
+        ("<div data-p=/a/>One</div><div/>Two", "One\nTwo"),
+    ],
+)
+def test_pages_that_are_deep_long_or_broken(page, want):
+    import time
+
+    began = time.perf_counter()
+    t = html.decide(html.fold(html.skeleton(html.parse(page)), html.skeleton(html.parse(page))))
+    assert html.extract(page, html.Node.load(t.dump())) == html.extract(page, None) == want
+    assert time.perf_counter() - began < 20
+
+
+def test_alignment_of_deep_and_wide_trees_is_quick():
+    deep = lambda n, last: html.Node(f"x{n}", None, 1, [html.Node("a"), deep(n - 1, last), html.Node("b")] if n else [html.Node(last)])
+    t = html.fold(deep(90, "p"), deep(90, "q"))
+    assert t.size() == 90 * 3 + 3
+    rnd = random.Random(2)
+    names = [f"n{i}" for i in range(3000)]
+    wide = html.Node("r", None, 1, [html.Node(n) for n in names]), html.Node("r", None, 1, [html.Node(n) for n in rnd.sample(names, 3000)])
+    pairs = html.match(wide[0].children, wide[1].children)
+    assert all(p < q and r < s for (p, r), (q, s) in zip(pairs[:-1], pairs[1:], strict=True)) and len(pairs) > 50
+    assert html.fold(*wide).size() == 3001
+
+
+def test_alignment_covers_most_nodes():
+    """Against every order-preserving choice of pairs."""
+    rnd = random.Random(7)
+
+    def tree(d):
+        return html.Node("r", None, 1, [html.Node(n, None, 1, tree(d - 1).children) for n in rnd.sample("abcdef", rnd.randint(0, 5))] if d else [])
+
+    def most(a, b):
+        if not a or not b:
+            return 0
+        here = 1 + most(a[0].children, b[0].children) + most(a[1:], b[1:]) if a[0].name == b[0].name else 0
+        return max(here, most(a[1:], b), most(a, b[1:]))
+
+    for _ in range(200):
+        a, b = tree(2), tree(2)
+        assert html._score(a, b, {}) == 1 + most(a.children, b.children)
+
+
+def test_many_hosts_and_names(spark, monkeypatch):
+    """Templates leave a task before all hosts are seen; names of single pages leave a template."""
+    rows = [(i, f"http://h{i % 7}.example/{i}", PAGE.format(i).replace("<p>", f"<p><b>{i}</b></p><p>")) for i in range(70)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    want = {tuple(r) for r in html.main_text(df).collect()}
+    monkeypatch.setattr(html, "MOST_HOSTS", 2)
+    assert {tuple(r) for r in html.main_text(df).collect()} == want
+    monkeypatch.setattr(html, "MOST_NODES", 40)
+    t = template([f"<div id=a{'xyz'[i % 3] * (i // 3)}>Text {i}</div><p>Text {i}</p><div>Shared</div>" for i in range(200)])
+    assert t.size() < 150 and html.extract("<div id=new>New</div><p>Text</p><div>Shared</div>", t) == "New\nText"
+
+
 def test_templates_joined_by_host_are_the_same(spark, monkeypatch):
     df = table(spark, SF, "pages")
     want = {tuple(r) for r in html.main_text(df).collect()}
