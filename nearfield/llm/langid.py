@@ -20,7 +20,9 @@ from nearfield.llm.base import map_batches
 
 #: Distinct texts that a language is learned from at most, those of the least hash, and the bytes of all of them together.
 DOCS_PER_LANGUAGE, BYTES_PER_LANGUAGE = 96, 1 << 16
-#: Symbols of a segment; a parse starts anew at each segment, so that segments of all texts are parsed side by side.
+#: Parts in which the texts of a language are ranked before the best of all are.
+PARTS = 256
+#: Symbols of a segment; the segments of all texts are parsed side by side and then joined.
 SEGMENT = 512
 #: Phrases that tell nothing of a text's language: the first, which starts at any place, and the last, which the end cuts.
 EDGES = 2
@@ -72,7 +74,7 @@ class Model:
     bits: list[float]
 
     def parse(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases needed, texts x languages, and symbols of each text. Whole texts, all their segments side by side."""
+        """Phrases needed, texts x languages, and symbols of each text."""
         data = [_letters(t) for t in texts]
         sym = self.symbol[np.frombuffer(b"\n".join([*data, b""]), np.uint8)]
         text_of = np.repeat(np.arange(len(texts)), [len(x) + 1 for x in data])
@@ -80,26 +82,13 @@ class Model:
         sym, text_of = sym[keep].astype(np.uint32), text_of[keep]
         n = np.bincount(text_of, minlength=len(texts))
         parts = -(-n // SEGMENT)
-        owner = np.repeat(np.arange(len(texts)), parts)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         start = np.repeat(np.cumsum(n) - n, parts) + nth * SEGMENT
         size = np.minimum(SEGMENT, np.repeat(n, parts) - nth * SEGMENT)
-        order = np.argsort(-size, kind="stable")
-        owner, start, size = owner[order], start[order], size[order]
-        active = np.searchsorted(-size, -np.arange(SEGMENT), "left")  # segments with a symbol at each place
         out = np.zeros((len(texts), len(self.languages)))
         for k, table in enumerate(self.tables):
-            state, found = np.zeros(len(start), np.uint32), np.ones(len(start), np.uint32)
-            for j in range(SEGMENT):
-                m = int(active[j])
-                if not m:
-                    break
-                at = state[:m]
-                np.add(at, sym[start[:m] + j], out=at)
-                np.take(table, at, out=at)
-                found[:m] += at >> np.uint32(31)
-                np.bitwise_and(at, _STATE, out=at)
-            out[:, k] = np.bincount(owner, weights=found, minlength=len(texts))
+            ended = _path(table, sym, start, size, nth) >> np.uint32(31)
+            out[:, k] = np.bincount(text_of, weights=ended, minlength=len(texts)) + (n > 0)
         return out, n
 
     def strange(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,6 +127,47 @@ class Model:
         return [(self.languages[b], float(s)) if w and k else ("und", 0.0) for w, k, b, s in zip(whole, known.tolist(), best.tolist(), score.tolist(), strict=True)]
 
 
+def _path(table: np.ndarray, sym: np.ndarray, start: np.ndarray, size: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """The table's entry at each symbol of whole texts, cut into segments of which the first of a text has ``nth`` 0.
+
+    All segments are parsed at once as if each began a text. Then each goes on from where the one before it ended, until it
+    comes to a state that it had before: from there on it would stay as it is. Segments after one whose end has
+    changed follow, until no end changes.
+    """
+    path = np.zeros(len(sym), np.uint32)
+    order = np.argsort(-size, kind="stable")
+    active = np.searchsorted(-size[order], -np.arange(SEGMENT), "left")  # segments with a symbol at each place
+    first, state = start[order], np.zeros(len(start), np.uint32)
+    for j in range(SEGMENT):
+        m = int(active[j])
+        if not m:
+            break
+        at = state[:m]
+        np.add(at, sym[first[:m] + j], out=at)
+        np.take(table, at, out=at)
+        path[first[:m] + j] = at
+        np.bitwise_and(at, _STATE, out=at)
+    todo = np.flatnonzero(nth)
+    while len(todo):
+        seg, place, end, changed = todo, start[todo], start[todo] + size[todo], []
+        state = path[place - 1] & _STATE
+        while len(seg):
+            new = table[state + sym[place]]
+            old = path[place]
+            path[place] = new
+            state = new & _STATE
+            place += 1
+            other = state != (old & _STATE)
+            done = other & (place == end)
+            changed.append(seg[done])
+            on = other & ~done
+            seg, place, end, state = seg[on], place[on], end[on], state[on]
+        after = np.concatenate([*changed, np.zeros(0, np.int64)]) + 1
+        after = np.sort(after[after < len(nth)])
+        todo = after[nth[after] > 0]
+    return path
+
+
 def build(samples: dict[str, list[str]]) -> Model:
     """A model of labelled texts."""
     languages = sorted(samples)
@@ -150,7 +180,10 @@ def build(samples: dict[str, list[str]]) -> Model:
         seq = symbol[np.frombuffer(b"\n".join(texts[lang]), np.uint8)]
         seq = seq[(seq != 0) | (np.concatenate(([0], seq[:-1])) != 0)]
         moves = suffix_automaton(seq.tolist())
-        table = np.full((len(moves), width), _FLAG, np.uint32)
+        # A symbol that the language doesn't have is a phrase of its own: the state after it, the last one, starts the next.
+        alone = np.uint32(len(moves) * width)
+        table = np.full((len(moves) + 1, width), alone | _FLAG, np.uint32)
+        table[0] = alone
         for c, to in moves[0].items():
             table[:, c] = np.uint32(to * width) | _FLAG
         for s, m in enumerate(moves):
@@ -166,46 +199,30 @@ def training_part() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4, F.lit(0)) != 2
 
 
-def share(sizes: list[int], total: int) -> int:
-    """The greatest part of each size, or the whole of smaller ones, that come to ``total`` at most."""
-    left = total
-    for i, n in enumerate(sorted(sizes)):
-        if n * (len(sizes) - i) > left:
-            return left // (len(sizes) - i)
-        left -= n
-    return max(sizes, default=0)
-
-
 def train(docs: DataFrame) -> Model:
-    """Learn every language of ``lang`` from bounded text: DOCS_PER_LANGUAGE distinct texts with letters each, whole where
-    together they are within BYTES_PER_LANGUAGE; else the longest ones are cut to one length, about their middles.
+    """Learn every language of ``lang`` from bounded text: of its distinct texts with letters, in order of hash, those
+    that come to BYTES_PER_LANGUAGE together, DOCS_PER_LANGUAGE of them at most, each whole.
 
-    Copies become one in each task before the shuffle; the ranking keeps so many rows of a language in each task.
+    Texts of a quarter of the bytes or more come last; only where a language has none but such as are over the bound
+    alone, the first of these is cut there. Copies become one in each task before the shuffle; the ranking keeps so many
+    rows of a language in each task.
     """
     own = docs.where(training_part() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    distinct = own.groupBy("lang", F.xxhash64("text").alias("h")).agg(
-        F.min("doc_id").alias("doc_id"), F.min(F.octet_length("text")).alias("bytes"), F.min(F.length("text")).alias("chars")
-    )
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    picked = distinct.withColumn("r", rank).where(F.col("r") <= DOCS_PER_LANGUAGE).drop("r").collect()
-    if not picked:
-        return build({})
-    by_lang: dict[str, list] = {}
-    for p in picked:
-        by_lang.setdefault(p["lang"], []).append(p)
-    chars = {lang: max(1, share([p["bytes"] for p in ps], BYTES_PER_LANGUAGE) * sum(p["chars"] for p in ps) // sum(p["bytes"] for p in ps)) for lang, ps in by_lang.items()}
-    for lang, ps in by_lang.items():
-        if sum(p["bytes"] for p in ps) <= BYTES_PER_LANGUAGE:
-            chars[lang] = max(p["chars"] for p in ps)
-    most = F.create_map(*[F.lit(x) for item in chars.items() for x in item])[F.col("lang")]
-    # Text from the middle of a document that is cut, where headings and shared first lines are past.
-    part = F.substring(F.col("text"), F.greatest(F.lit(1), F.floor((F.length("text") - most) / 2) + 1).cast("int"), most)
-    rows = docs.where(F.col("doc_id").isin([p["doc_id"] for p in picked]) & F.col("lang").isin(list(chars)) & F.col("text").isNotNull())
-    wanted = {(p["lang"], p["h"], p["doc_id"]) for p in picked}
-    parts = {(r["lang"], r["h"], r["doc_id"]): r["part"] for r in rows.select("lang", F.xxhash64("text").alias("h"), "doc_id", part.alias("part")).collect()}
+    distinct = own.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"), F.min(F.octet_length("text")).alias("bytes"))
+    order = F.col("bytes") * 4 >= BYTES_PER_LANGUAGE, "h"
+    # First in parts of a language, so that no task has all rows of a frequent one.
+    ranked = distinct.withColumn("part", F.pmod("h", F.lit(PARTS)))
+    for keys in (["lang", "part"], ["lang"]):
+        ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("r") <= DOCS_PER_LANGUAGE)
+    upto = F.sum("bytes").over(Window.partitionBy("lang").orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
+    picked = ranked.withColumn("upto", upto).where((F.col("upto") <= BYTES_PER_LANGUAGE) | (F.col("r") == 1)).select("lang", "h", "doc_id", "r")
+    part = F.when(F.octet_length("text") > BYTES_PER_LANGUAGE, F.substring("text", 1, BYTES_PER_LANGUAGE)).otherwise(F.col("text"))
+    # DOCS_PER_LANGUAGE rows a language; a row that comes twice counts once.
+    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.xxhash64("text").alias("h"), "doc_id", part.alias("part"))
+    found = {(r["lang"], r["r"]): r["part"] for r in rows.join(F.broadcast(picked), ["lang", "h", "doc_id"]).dropDuplicates(["lang", "r"]).collect()}
     samples: dict[str, list[str]] = {}
-    for key in sorted(wanted & parts.keys()):
-        samples.setdefault(key[0], []).append(parts[key])
+    for lang, r in sorted(found):
+        samples.setdefault(lang, []).append(found[lang, r])
     return build(samples)
 
 
