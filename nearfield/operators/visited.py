@@ -3,7 +3,7 @@ but for those that forget (cuckoo after too many moves, list beyond its room): t
 
 from __future__ import annotations
 
-from nearfield.functions.bloom import LARGEST, VISITS, WANTED
+from nearfield.functions.bloom import MOST_HASHES, tuned
 
 _M64 = (1 << 64) - 1
 
@@ -36,22 +36,10 @@ class Listed:
         return x in self.seen
 
 
-def bloom_size(k: int) -> tuple[int, int]:
-    """64-bit words and hashes for a search of ``k`` results, as the tuner gives them."""
-    import math
-
-    n = max(k, 1) * VISITS
-    for i in range(1, LARGEST + 1):
-        m = 64 << i
-        h = max(1, math.floor(math.log(2) * m / n + 0.5))
-        if (1 - math.exp(-h * n / m)) ** h < WANTED:
-            break
-    return 1 << i, min(h, 10)
-
-
 class Bloom:
     def __init__(self, k: int):
-        self.words, self.hashes = bloom_size(k)
+        power, hashes, _ = tuned(k)
+        self.words, self.hashes = 1 << power, min(max(1, hashes), MOST_HASHES)
         self.bits = 0
 
     def _mask(self, x: int) -> int:
@@ -82,15 +70,15 @@ class BlockedBloom(Bloom):
 class Cuckoo:
     """Eight-bit prints in buckets of four; can forget, though it may forget another vertex of the same print."""
 
-    KICKS = 64
+    BUCKET, KICKS = 4, 64
 
     def __init__(self, k: int):
-        self.n = 1 << max(2, (2 * bloom_size(k)[0] - 1).bit_length() - 2)
-        self.buckets = [[] for _ in range(self.n)]
+        self.n = 1 << max(2, tuned(k)[0] - 1)
+        self.buckets: list[list[int]] = [[] for _ in range(self.n)]
         self.turn = 0
 
     def _at(self, x: int) -> tuple[int, int, int]:
-        p = x % 255 + 1
+        p = _spread(x, 3) >> 56
         a = _spread(x, 0) % self.n
         return p, a, self._other(a, p)
 
@@ -100,14 +88,14 @@ class Cuckoo:
     def add(self, x: int) -> None:
         p, a, b = self._at(x)
         for c in (a, b):
-            if len(self.buckets[c]) < 4:
+            if len(self.buckets[c]) < self.BUCKET:
                 self.buckets[c].append(p)
                 return
         for _ in range(self.KICKS):
-            self.turn = (self.turn + 1) % 4
+            self.turn = (self.turn + 1) % self.BUCKET
             p, self.buckets[a][self.turn] = self.buckets[a][self.turn], p
             a = self._other(a, p)
-            if len(self.buckets[a]) < 4:
+            if len(self.buckets[a]) < self.BUCKET:
                 self.buckets[a].append(p)
                 return
 

@@ -204,16 +204,17 @@ def bloom_autotune(spark, sf_dir):
     return bloom.autotune(spark, TOPKS)
 
 
-@query(f"""WITH e AS (SELECT topk::BIGINT AS topk, topk * 12.897 AS n, 64.0 * topk * 4 AS m, 0.01 AS p, 5.0 AS k FROM {_TOPKS})
-SELECT topk, ceil(n * ln(p) / ln(1 / pow(2, ln(2))))::DOUBLE AS m_from_np, ceil(m * ln(pow(0.5, ln(2))) / ln(p))::DOUBLE AS n_from_mp,
-round(pow(1 - exp(-k / (m / n)), k), 9) AS p_from_kmn, ceil(m / (-k / ln(1 - exp(ln(p) / k))))::DOUBLE AS n_from_kmp, ceil(n * (-k / ln(1 - exp(ln(p) / k))))::DOUBLE AS m_from_knp,
-floor(ln(2) * (m / n) + 0.5)::DOUBLE AS k_from_mn FROM e""")
+@query(f"""WITH e AS (SELECT topk::BIGINT AS topk, topk * 12.897 AS keys, 256.0 * topk AS bits FROM {_TOPKS})
+SELECT topk, ceil(keys * log2(1 / 0.01) / ln(2))::DOUBLE AS bits_needed, ceil(bits * ln(2) / log2(100))::DOUBLE AS room, round(pow(1 - 1 / exp(5 * keys / bits), 5), 9) AS error_rate,
+ceil(bits * ln(1 / (1 - pow(0.01, 0.2))) / 5)::DOUBLE AS room_of_five, ceil(5 * keys / ln(1 / (1 - pow(0.01, 0.2))))::DOUBLE AS bits_of_five, round(bits / keys * ln(2))::DOUBLE AS best_hashes FROM e""")
 def bloom_solvers(spark, sf_dir):
     t = spark.createDataFrame([(k,) for k in TOPKS], "topk long")
-    n, m, p, k = F.col("topk") * 12.897, F.col("topk") * 256.0, F.lit(0.01), F.lit(5.0)
-    return t.select(
-        "topk", bloom.m_from_np(n, p).alias("m_from_np"), bloom.n_from_mp(m, p).alias("n_from_mp"), F.round(bloom.p_from_kmn(k, m, n), 9).alias("p_from_kmn"), bloom.n_from_kmp(k, m, p).alias("n_from_kmp"), bloom.m_from_knp(k, n, p).alias("m_from_knp"), bloom.k_from_r(m / n).alias("k_from_mn")
-    )
+    keys, bits, rate, five = F.col("topk") * 12.897, F.col("topk") * 256.0, F.lit(0.01), F.lit(5.0)
+    out = {
+        "bits_needed": bloom.bits_needed(keys, rate), "room": bloom.room(bits, rate), "error_rate": F.round(bloom.error_rate(keys, bits, five), 9),
+        "room_of_five": bloom.room(bits, rate, five), "bits_of_five": bloom.bits_needed(keys, rate, five), "best_hashes": bloom.best_hashes(keys, bits)
+    }
+    return t.select("topk", *[c.alias(n) for n, c in out.items()])
 
 
 # --- graphs --------------------------------------------------------------------------------------
