@@ -5,10 +5,15 @@ vocabulary (all words of the corpus and an end sign), the order and the smoothin
 A document is scored against the rest of the corpus: its own counts are taken off first.
 
 The loss of a document is then a sum over its word pairs and over their first words, each term needing the two counts of
-one key. So keys, not texts, are dealt out: a task sends the keys of a few thousand documents in packed arrays, one for
-each range of the key space. A first pass adds up the counts of each range. Keys of a single document need no entry, as
-nothing is left once its own counts are off. A second pass meets the documents' keys with those counts, range by range,
-and sends back sums; ranges that are large, because a key is in very many documents, are split over several tasks.
+one key. So keys, not texts, are dealt out: a task sends the keys of a few thousand documents, a pack, in packed arrays,
+one for each range of the key space. A first pass adds up the counts of each range. Keys of a single document need no
+entry, as nothing is left once its own counts are off. A second pass meets the packs' keys with those counts, range by
+range, and sends back sums, which meet again pack by pack; ranges that are large, because a key is in very many
+documents, are split over several tasks. Ranges hold about RANGE_BYTES of text each and have a partition of their own,
+so tasks stay as they are while the input grows.
+
+Keys are hashes of KEY_BITS more bits than the text's size has, 63 at most, so that about one key in a million shares its
+hash with another one up to 8 TB of text, and one in some hundred thousand at 100 TB.
 """
 
 from __future__ import annotations
@@ -17,16 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.base import materialize, mix, utf8, word_hashes
 
 #: Added count; bytes of text that are packed together and documents at most; bytes of text for a range of keys; keys of documents that one task meets.
-ADDED, TOGETHER, MOST_DOCS, RANGE_BYTES, MEET = 0.05, 5 << 20, 50_000, 16 << 20, 8 << 20
+ADDED, TOGETHER, MOST_DOCS, RANGE_BYTES, MEET = 0.05, 5 << 20, 50_000, 8 << 20, 8 << 20
 #: Target documents whose ids are sent to all tasks; beyond, documents are joined with them.
 BROADCAST_IDS = 4 << 20
-BITS = 48
+KEY_BITS = 19
 #: Ranges at most: with more, the keys that some thousand documents have in one range would be too few to pack. Beyond
 #: MOST_RANGES * RANGE_BYTES of text the ranges grow, and with them what a task holds.
 MOST_RANGES = 32_768
@@ -49,7 +55,16 @@ def unplanes(b: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def signed_planes(x: np.ndarray) -> bytes:
+    least = np.array([x.min() if len(x) else 0], "<i8")
+    return least.tobytes() + planes(x - least[0])
+
+
+def signed_unplanes(b: bytes) -> np.ndarray:
+    return unplanes(b[8:]).view(np.int64) + np.frombuffer(b, "<i8", 1)[0]
+
+
+def keys_of(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of all tokens' first words (even) and word pairs (odd), the text of each key, and the tokens of each text."""
     h, n = word_hashes(texts)
     doc = np.repeat(np.arange(len(texts)), n)
@@ -58,19 +73,19 @@ def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     owner = np.insert(doc, np.cumsum(n), np.arange(len(texts)))
     first = np.roll(seq, 1)
     first[end - n] = _START
-    low = np.uint64((1 << BITS) - 2)
-    word = mix(first + _ODD) >> np.uint64(64 - BITS) & low
-    pair = mix(mix(first * _ODD) + seq) >> np.uint64(64 - BITS) & low | np.uint64(1)
+    low = np.uint64((1 << bits) - 2)
+    word = mix(first + _ODD) >> np.uint64(64 - bits) & low
+    pair = mix(mix(first * _ODD) + seq) >> np.uint64(64 - bits) & low | np.uint64(1)
     owner = owner.astype(np.int32)
     return np.concatenate([word, pair]), np.concatenate([owner, owner]), n + 1
 
 
-def _packs(batches: Iterator[pa.RecordBatch], marked) -> Iterator[tuple]:
+def _packs(batches: Iterator[pa.RecordBatch], marked, bits: int) -> Iterator[tuple]:
     """Of some thousand documents at a time: doc_ids, marks, tokens, and the postings key, doc, count in order of key."""
     ids, marks, texts, size = [], [], [], 0
 
     def pack():
-        key, doc, tokens = keys_of(texts)
+        key, doc, tokens = keys_of(texts, bits)
         order = np.argsort(key, kind="stable")  # texts are in order already
         key, doc = key[order], doc[order]
         at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))))
@@ -92,8 +107,8 @@ def _packs(batches: Iterator[pa.RecordBatch], marked) -> Iterator[tuple]:
         yield pack()
 
 
-def _ranges(key: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
-    edge = np.searchsorted(key, np.array([(i << BITS) // n for i in range(n + 1)], np.uint64))
+def _ranges(key: np.ndarray, n: int, bits: int) -> Iterator[tuple[int, int, int]]:
+    edge = np.searchsorted(key, np.array([(i << bits) // n for i in range(n + 1)], np.uint64))
     yield from ((i, int(a), int(b)) for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a)
 
 
@@ -101,11 +116,11 @@ def _firsts(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
 
 
-def _counting(n: int, shared):
+def _counting(n: int, bits: int, shared):
     def run(batches):
-        for _, marks, _, key, doc, count in _packs(batches, shared and shared.value):
+        for _, marks, _, key, doc, count in _packs(batches, shared and shared.value, bits):
             rows = []
-            for r, a, b in _ranges(key, n):
+            for r, a, b in _ranges(key, n, bits):
                 at = _firsts(key[a:b])
                 total = np.add.reduceat(count[a:b], at)
                 mine = np.add.reduceat(count[a:b] * marks[doc[a:b]], at)
@@ -128,32 +143,42 @@ def _summed(key, group):
     return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "keys": pa.array([planes(np.diff(own, prepend=np.uint64(0)))], pa.binary()), "total": pa.array([planes(total[keep])], pa.binary()), "mine": pa.array([planes(mine[keep])], pa.binary()), "words": pa.array([int((k & np.uint64(1) == 0).sum())], pa.int64()), "postings": pa.array([int(docs.sum())], pa.int64())})
 
 
-def _dealing(n: int, shared):
+#: What the keys of a pack in one range are sent as; ``part`` under 0 is the pack's own row: ids, and tokens as ``count``.
+_DEALT = "part int, keys binary, docs binary, doc binary, count binary, ids binary, marks binary, pack long"
+
+
+def _dealing(n: int, bits: int, shared):
     def run(batches):
-        for ids, marks, tokens, key, doc, count in _packs(batches, shared and shared.value):
-            pack = int(mix(np.sum(mix(ids.view(np.uint64) + tokens.astype(np.uint64) * _ODD), keepdims=True, dtype=np.uint64)).view(np.int64)[0])
-            rows = []
-            for r, a, b in _ranges(key, n):
+        # Packs are numbered by the task, whose rows come in one order: those of files, or of a table written for this.
+        pack = TaskContext.get().partitionId() << 32
+        for ids, marks, tokens, key, doc, count in _packs(batches, shared and shared.value, bits):
+            rows = [(-1 - pack % n, b"", b"", b"", planes(tokens), ids.tobytes(), b"", pack)]
+            for r, a, b in _ranges(key, n, bits):
                 at = _firsts(key[a:b])
                 some, short = np.unique(doc[a:b], return_inverse=True)
-                rows.append((r, planes(np.diff(key[a:b][at], prepend=np.uint64(0))), planes(np.diff(np.append(at, b - a))), planes(short), planes(count[a:b]), ids[some].tobytes(), marks[some].tobytes(), pack))
+                rows.append((r, planes(np.diff(key[a:b][at], prepend=np.uint64(0))), planes(np.diff(np.append(at, b - a))), planes(short), planes(count[a:b]), planes(some), np.packbits(marks[some]).tobytes(), pack))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 6, pa.int64()], strict=True)], names=["part", "keys", "docs", "doc", "count", "ids", "marks", "pack"])
+            pack += 1
 
     return run
 
 
 def _losses(vocabulary: int):
-    """Of one range and one share of its packs: for each pack the documents' ids and their summed log terms."""
+    """Of one range and one share of its packs: for each pack the places of documents in it and their summed log terms. A
+    pack's own row passes through, its tokens in the place of terms."""
     wide = ADDED * vocabulary
 
     def run(left, right):
         known = np.cumsum(unplanes(right["keys"][0].as_py()), dtype=np.uint64) if right.num_rows else np.zeros(0, np.uint64)
         total, mine = (unplanes(right[c][0].as_py()).astype(np.int64) if right.num_rows else np.zeros(0, np.int64) for c in ("total", "mine"))
         out = []
-        for pack, keys, docs, doc, count, ids, marks in zip(*(left[c].to_pylist() for c in ("pack", "keys", "docs", "doc", "count", "ids", "marks")), strict=True):
+        for part, pack, keys, docs, doc, count, ids, marks in zip(*(left[c].to_pylist() for c in ("part", "pack", "keys", "docs", "doc", "count", "ids", "marks")), strict=True):
+            if part < 0:
+                out.append((pack, ids, count, None))
+                continue
             key = np.repeat(np.cumsum(unplanes(keys), dtype=np.uint64), unplanes(docs).astype(np.int64))
-            doc, count = unplanes(doc).astype(np.int64), unplanes(count).astype(np.int64)
-            ids, marks = np.frombuffer(ids, np.int64), np.frombuffer(marks, bool)
+            doc, count, n = unplanes(doc).astype(np.int64), unplanes(count).astype(np.int64), len(unplanes(ids))
+            marks = np.unpackbits(np.frombuffer(marks, np.uint8), count=n)
             at = np.searchsorted(known, key)
             there = at < len(known)
             there[there] = known[at[there]] == key[there]
@@ -163,70 +188,66 @@ def _losses(vocabulary: int):
             pair = (key & np.uint64(1)).astype(bool)
             sign, base = np.where(pair, -1.0, 1.0) * count, np.where(pair, ADDED, wide)
             # In whole billionths, so that later sums are the same in any order.
-            t, b = (np.rint(1e9 * np.bincount(doc, weights=sign * np.log(x + base), minlength=len(ids))).astype(np.int64) for x in (good, rest))
-            out.append((pack, ids.tobytes(), t.tobytes(), b.tobytes()))
+            t, b = (signed_planes(np.rint(1e9 * np.bincount(doc, weights=sign * np.log(x + base), minlength=n)).astype(np.int64)) for x in (good, rest))
+            out.append((pack, ids, t, b))
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, [pa.int64(), *[pa.binary()] * 3], strict=True)], names=["pack", "ids", "t", "b"])
 
     return run
 
 
 def _joined(key, group):
-    """A pack's documents and their terms over all ranges: as much as the pack's own keys at most."""
-    ids, t, b = (np.frombuffer(b"".join(group[c].to_pylist()), np.int64) for c in ("ids", "t", "b"))
-    own, at = np.unique(ids, return_inverse=True)
-    out = np.zeros((2, len(own)), np.int64)
-    np.add.at(out[0], at, t)
-    np.add.at(out[1], at, b)
-    return pa.table({"doc_id": own, "t": out[0], "b": out[1]})
-
-
-def _tokens(docs: DataFrame) -> DataFrame:
-    """Words and the end sign of each row's text."""
-
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0).fill_null(_NONE), pa.array([len(t.split()) + 1 for t in utf8(b.column(1))], pa.int64())], names=["doc_id", "n"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long")
+    """A pack's documents, their tokens and their losses a token: as much as the pack's own keys at most."""
+    ids = tokens = None
+    rows = []
+    for x, t, b in zip(*(group[c].to_pylist() for c in ("ids", "t", "b")), strict=True):
+        if b is None:
+            ids, tokens = np.frombuffer(x, np.int64), unplanes(t).astype(np.int64)
+        else:
+            rows.append((unplanes(x).astype(np.int64), signed_unplanes(t), signed_unplanes(b)))
+    out = np.zeros((2, len(ids)), np.int64)
+    for at, t, b in rows:
+        out[0, at] += t
+        out[1, at] += b
+    loss = np.round(out / 1e9 / tokens, 9)
+    return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=ids == _NONE), "n_tokens": tokens, "target_loss": loss[0], "background_loss": loss[1], "score": np.round(loss[0] - loss[1], 9)})
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """Per doc_id: n_tokens, target_loss, background_loss (nats a token) and score, their difference; lower is nearer the target.
+    """Per row: doc_id, n_tokens, target_loss, background_loss (nats a token) and score, their difference; lower is nearer the target.
 
     ``target`` (doc_id) names the target documents; unknown, null and repeated ids in it do nothing. Tokens are words,
     runs without ASCII white space, A-Z in lower case, and an end sign; null and empty texts have the end sign only.
-    Rows of one doc_id count as one document; those without a doc_id as one under null. Without target documents the
-    score is the background's loss against a uniform model. Other columns are left out.
+    Each row is a document: rows of one doc_id, or without one, are scored each for itself, the others being a part of
+    the rest. Without target documents the score is the background's loss against a uniform model. Other columns are
+    left out; an empty table gives no rows.
     """
     spark = docs.sparkSession
     ids = target.where("doc_id IS NOT NULL").select("doc_id").distinct()
     shared = None
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        shared = spark.sparkContext.broadcast(np.array([r["doc_id"] for r in ids.collect()], np.int64))
+        shared = spark.sparkContext.broadcast(ids.toArrow()["doc_id"].to_numpy())
         rows = docs.select("doc_id", "text", F.lit(False).alias("marked"))
     else:
         marked = ids.withColumn("m", F.lit(True)).hint("shuffle_hash")
-        rows = docs.select("doc_id", "text").join(marked, "doc_id", "left").select("doc_id", "text", F.coalesce("m", F.lit(False)).alias("marked"))
+        rows = materialize(docs.select("doc_id", "text").join(marked, "doc_id", "left").select("doc_id", "text", F.coalesce("m", F.lit(False)).alias("marked")), "marked")
     whole = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     n = int(min(MOST_RANGES, max(8, -(-whole // RANGE_BYTES))))
-    counted = rows.mapInArrow(_counting(n, shared), "part int, keys binary, total binary, mine binary, docs binary")
+    bits = min(63, max(32, whole.bit_length()) + KEY_BITS)
+    tasks = max(2 * n, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counted = rows.mapInArrow(_counting(n, bits, shared), "part int, keys binary, total binary, mine binary, docs binary").repartition(tasks, "part")
     model = counted.groupBy("part").applyInArrow(_summed, "part int, keys binary, total binary, mine binary, words long, postings long")
     model = materialize(model, "ngrams")
     vocabulary = (model.agg(F.sum("words").alias("w")).first()["w"] or 0) + 1
     # Shares of a range: one, but for ranges with a key of very many documents.
     shares = F.ceil(F.col("postings") / MEET).cast("int")
     split = model.where(F.col("postings") > MEET).select("part", shares.alias("shares"))
-    dealt = rows.mapInArrow(_dealing(n, shared), "part int, keys binary, docs binary, doc binary, count binary, ids binary, marks binary, pack long")
+    dealt = rows.mapInArrow(_dealing(n, bits, shared), _DEALT)
     if split.isEmpty():
         dealt, entries = dealt.withColumn("share", F.lit(0)), model.withColumn("share", F.lit(0))
     else:
-        dealt = dealt.join(split, "part", "left").withColumn("share", F.coalesce(F.pmod(F.xxhash64("pack"), F.col("shares")).cast("int"), F.lit(0)))
+        dealt = dealt.join(F.broadcast(split), "part", "left").withColumn("share", F.coalesce(F.pmod(F.xxhash64("pack"), F.col("shares")).cast("int"), F.lit(0)))
         entries = model.withColumn("share", F.explode(F.sequence(F.lit(0), F.greatest(shares, F.lit(1)) - 1)))
-    met = dealt.groupBy("part", "share").cogroup(entries.select("part", "share", "keys", "total", "mine").groupBy("part", "share")).applyInArrow(_losses(vocabulary), "pack long, ids binary, t binary, b binary")
-    met = met.groupBy("pack").applyInArrow(_joined, "doc_id long, t long, b long")
-    parts = met.select("doc_id", "t", "b", F.lit(0).cast("long").alias("n")).unionByName(_tokens(docs).select("doc_id", F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("b"), "n"))
-    exact = [F.sum(c).cast("double").alias(c) for c in ("t", "b")]
-    out = parts.groupBy("doc_id").agg(*exact, F.sum("n").alias("n_tokens"))
-    of = F.when(F.col("doc_id") != _NONE, F.col("doc_id")).alias("doc_id")
-    loss = [F.round(F.col(c) / 1e9 / F.col("n_tokens"), 9) for c in ("t", "b")]
-    return out.select(of, "n_tokens", loss[0].alias("target_loss"), loss[1].alias("background_loss")).withColumn("score", F.round(F.col("target_loss") - F.col("background_loss"), 9))
+    keys = ["part", "share"]
+    entries = entries.select(*keys, "keys", "total", "mine").repartition(tasks, *keys)
+    met = dealt.repartition(tasks, *keys).groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInArrow(_losses(vocabulary), "pack long, ids binary, t binary, b binary")
+    return met.repartition(tasks, "pack").groupBy("pack").applyInArrow(_joined, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
