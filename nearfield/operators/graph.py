@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from heapq import heappop, heappush
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.distance import checked, to_rows
-from nearfield.operators.knn import knn, matrix, prepared
+from nearfield.operators.knn import knn, matrix, nearest_in_task, prepared
 
 DEGREE, BUDGET = 15, 150
 
@@ -74,33 +75,55 @@ def _nearest(vectors: np.ndarray, lists: list, v: int, metric: str, budget: int)
 EDGES = "src long, rank int, dst long, dist double"
 
 
-def build_sequential(vectors: DataFrame, metric: str = "l2", degree: int = DEGREE, budget: int = BUDGET, shards: int = 1) -> DataFrame:
+def build_sequential(vectors: DataFrame, metric: str = "l2", degree: int = DEGREE, budget: int = BUDGET, shards: int = 1, vector: str = "embedding") -> DataFrame:
     """(shard, src, rank, dst, dist), inserted in order of vec_id.
 
     Insertion is one after the other, so a shard is one task's work: more rows take more shards
     (pmod(xxhash64(vec_id), shards)), each a graph of its own, whose search results are merged.
     """
     checked(metric)
-    kind = vectors.select("vec_id", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.col("embedding").cast("array<long>" if metric == "hamming" else "array<double>").alias("v"))
+    rows = prepared(vectors, metric, "vec_id", vector, F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"))
 
     def run(key, group):
-        group = group.sort_by("vec_id").combine_chunks()
-        ids = group["vec_id"].to_numpy()
+        group = group.sort_by("key").combine_chunks()
+        ids = group["key"].to_numpy()
         lists = insert_all(matrix(group["v"].chunk(0), metric), metric, degree, budget)
         rows = [(key[0].as_py(), int(ids[v]), r, int(ids[u]), float(d)) for v, own in enumerate(lists) for r, (d, u) in enumerate(sorted(own), 1)]
         s, src, rank, dst, dist = zip(*rows, strict=True) if rows else ([],) * 5
         return pa.table({"shard": pa.array(s, pa.int32()), "src": pa.array(src, pa.int64()), "rank": pa.array(rank, pa.int32()), "dst": pa.array(dst, pa.int64()), "dist": pa.array(dist, pa.float64())})
 
-    return kind.where("vec_id IS NOT NULL AND v IS NOT NULL").groupBy("shard").applyInArrow(run, "shard int, " + EDGES)
+    return rows.groupBy("shard").applyInArrow(run, "shard int, " + EDGES)
 
 
 def build_bulk(vectors: DataFrame, metric: str = "l2", degree: int = DEGREE, vector: str = "embedding") -> DataFrame:
     """(src, rank, dst, dist): exact neighbours and the reverse of those edges, the nearest 2 * degree + 1 of each vertex."""
-    near = knn(vectors, vectors, degree, metric, vector=vector, with_self=False).select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), "dist")
-    both = near.unionByName(near.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist"))
-    one = both.groupBy("src", "dst").agg(F.min("dist").alias("dist"))
+    near = knn(vectors, vectors, degree, metric, vector=vector, with_self=False).select(F.lit(0).alias("shard"), F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), "dist")
+    return _both_ways(near, degree).select("src", "rank", "dst", "dist")
+
+
+def build_bulk_shards(vectors: DataFrame, metric: str = "l2", degree: int = DEGREE, shards: int = 1, vector: str = "embedding") -> DataFrame:
+    """(shard, src, rank, dst, dist): a bulk graph of each of ``shards`` (pmod(xxhash64(vec_id), shards)), a task for each."""
+    checked(metric)
+    rows = prepared(vectors, metric, "vec_id", vector, F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"))
+
+    def run(key, group):
+        group = group.combine_chunks()
+        batch = pa.RecordBatch.from_arrays([group["key"].chunk(0), group["v"].chunk(0)], names=["key", "v"])
+        own = SimpleNamespace(value=(group["key"].to_numpy(), matrix(batch.column(1), metric)))
+        out = pa.Table.from_batches(nearest_in_task(own, degree, metric, False)([batch]), _NEAR)
+        return pa.table({"shard": pa.array([key[0].as_py()] * len(out), pa.int32()), "src": out[0], "dst": out[1], "dist": out[2]})
+
+    return _both_ways(rows.groupBy("shard").applyInArrow(run, "shard int, src long, dst long, dist double"), degree)
+
+
+_NEAR = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("dist", pa.float64())])
+
+
+def _both_ways(near: DataFrame, degree: int) -> DataFrame:
+    both = near.unionByName(near.select("shard", F.col("dst").alias("src"), F.col("src").alias("dst"), "dist"))
+    one = both.groupBy("shard", "src", "dst").agg(F.min("dist").alias("dist"))
     rank = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
-    return one.withColumn("rank", rank).where(F.col("rank") <= 2 * degree + 1).select("src", "rank", "dst", "dist")
+    return one.withColumn("rank", rank).where(F.col("rank") <= 2 * degree + 1).select("shard", "src", "rank", "dst", "dist")
 
 
 def edge_distances(edges: DataFrame, vectors: DataFrame, metric: str = "l2", vector: str = "embedding") -> DataFrame:

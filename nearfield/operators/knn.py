@@ -7,59 +7,75 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.functions.distance import between, checked
+from nearfield.functions.distance import between, checked, pairwise
 from nearfield.shared import materialize
 
-#: Bytes of queries that are sent to the executors at a time, and values of a block of distances.
-QUERY_BYTES, BLOCK_VALUES = 32 << 20, 1 << 20
+#: Bytes of queries that are sent to the executors at a time, vectors compared at once, and values of a block of distances.
+QUERY_BYTES, VECTORS, BLOCK_VALUES = 32 << 20, 8192, 1 << 20
 RESULT = "query_id long, rank int, vec_id long, dist double"
 
 
 def matrix(column: pa.Array, metric: str) -> np.ndarray:
+    """Rows of one length; others raise ValueError."""
     kind = np.int64 if metric == "hamming" else np.float64
     if not len(column):
         return np.zeros((0, 0), kind)
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
-    return values.reshape(len(column), -1)
+    size = np.diff(column.offsets.to_numpy())
+    if (size != size[0]).any():
+        raise ValueError(f"vectors have {size.min()} to {size.max()} components; all must have the same number")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), -1)
 
 
-def prepared(vectors: DataFrame, metric: str, key: str, vector: str) -> DataFrame:
-    """(key, v) of rows that have both, in the type that the metric computes in."""
-    kind = "array<long>" if metric == "hamming" else "array<double>"
-    return vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast(kind).alias("v"))
+def prepared(vectors: DataFrame, metric: str, key: str, vector: str, *more) -> DataFrame:
+    """(key, v, ``more``) of rows that have a key and a vector without null components, in the type that the metric computes in."""
+    v = F.col(vector).cast("array<long>" if metric == "hamming" else "array<double>")
+    whole = F.col(key).isNotNull() & F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull())
+    return vectors.where(whole).select(F.col(key).cast("long").alias("key"), v.alias("v"), *more)
 
 
-def smallest(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k least by (dist, id), in that order."""
-    at = np.arange(len(dist))
-    if len(at) > k:
-        at = np.flatnonzero(dist <= np.partition(dist, k - 1)[k - 1])
-    return at[np.lexsort((ids[at], dist[at]))[:k]]
+def _first_of_each(group: np.ndarray, k: int) -> np.ndarray:
+    """Places of the first ``k`` of each run of equal values."""
+    start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))[: len(group)]
+    nth = np.arange(len(group)) - np.repeat(start, np.diff(np.append(start, len(group))))
+    return np.flatnonzero(nth < k)
 
 
 def nearest_in_task(shared, k: int, metric: str, with_self: bool):
-    """Per query the k nearest of all rows of a task."""
+    """Per query the k nearest of all rows of a task: candidates by a matrix product, their distances pair by pair."""
 
     def run(batches):
         keys, queries = shared.value
-        best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in keys]
+        best = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]  # query, distance, id
+        bound = np.full(len(keys), np.inf)
         for b in batches:
-            if not b.num_rows:
-                continue
-            ids, m = b.column(0).to_numpy(), matrix(b.column(1), metric)
-            step = max(1, BLOCK_VALUES // len(ids))
-            for i in range(0, len(keys), step):
-                for j, d in enumerate(between(metric, queries[i : i + step], m), i):
-                    own = ids if with_self else ids[ids != keys[j]]
-                    d = d if with_self else d[ids != keys[j]]
-                    at = smallest(d, own, k)
-                    d, own = np.concatenate([best[j][0], d[at]]), np.concatenate([best[j][1], own[at]])
-                    at = smallest(d, own, k)
-                    best[j] = d[at], own[at]
-        size = [len(d) for d, _ in best]
-        if sum(size):
-            dist, ids = (np.concatenate(x) for x in zip(*best, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, size)), pa.array(ids), pa.array(dist)], names=["query_id", "vec_id", "dist"])
+            for at in range(0, b.num_rows, VECTORS):
+                part = b.slice(at, VECTORS)
+                ids, m = part.column(0).to_numpy(), matrix(part.column(1), metric)
+                finite = np.isfinite(m).all(1)
+                ids, m = ids[finite], m[finite]
+                if not len(ids):
+                    continue
+                if len(keys) and m.shape[1] != queries.shape[1]:
+                    raise ValueError(f"queries have {queries.shape[1]} components, vectors {m.shape[1]}")
+                found = [best]
+                step = max(1, BLOCK_VALUES // len(ids))
+                for i in range(0, len(keys), step):
+                    about, off = between(metric, queries[i : i + step], m)
+                    if not with_self:
+                        about[keys[i : i + step, None] == ids[None]] = np.inf
+                    n = min(k, len(ids)) - 1
+                    least = np.minimum(np.partition(about, n, axis=1)[:, n], bound[i : i + step])
+                    q, v = np.nonzero((about <= (least + 2 * off)[:, None]) & (about < np.inf))
+                    found.append([q + i, pairwise(metric, queries[q + i], m[v]), ids[v]])
+                q, d, x = (np.concatenate(c) for c in zip(*found, strict=True))
+                order = np.lexsort((x, d, q))
+                order = order[_first_of_each(q[order], k)]
+                best = [q[order], d[order], x[order]]
+                q, d, _ = best
+                last = np.flatnonzero(np.concatenate((q[1:] != q[:-1], [True])))[: len(q)]
+                bound[q[last]] = np.where(np.bincount(q, minlength=len(keys))[q[last]] == k, d[last], np.inf)
+        if len(best[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[best[0]]), pa.array(best[2]), pa.array(best[1])], names=["query_id", "vec_id", "dist"])
 
     return run
 
@@ -85,7 +101,8 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", quer
     """(query_id, rank, vec_id, dist): exact, by (dist, vec_id).
 
     The vectors stay where they are; a task keeps k rows for each query, and only those are shuffled. Without
-    ``with_self`` a row of the query's own key is no candidate.
+    ``with_self`` a row of the query's own key is no candidate. Rows without a key or a vector, or with a null component,
+    take no part, nor do vectors with components that are no numbers or infinite; vectors of different lengths raise.
     """
     checked(metric)
     base, found = prepared(vectors, metric, key, vector), []

@@ -198,9 +198,10 @@ def _run(queries: DataFrame, vectors: DataFrame, edges: DataFrame, o: Options, q
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in _found(b.column(0).to_numpy(), matrix(b.column(1), metric), visit)], names=["query_id", "vec_id", "dist", "n_expanded"])
 
         return asked.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, FOUND)
-    part = F.lit(0) if shard is None else F.col(shard)
-    v = vectors.where(F.col("vec_id").isNotNull() & F.col(vector).isNotNull()).select(part.cast("int").alias("shard"), "vec_id", F.col(vector).cast("array<long>" if metric == "hamming" else "array<double>").alias("v"))
-    e = edges.select((F.lit(0) if shard is None else F.col(shard)).cast("int").alias("shard"), "src", "rank", "dst")
+    if shard is None:
+        raise ValueError(f"an index over {BROADCAST_BYTES >> 20} MB must be built and searched by shard")
+    v = prepared(vectors, metric, "vec_id", vector, F.col(shard).cast("int").alias("shard")).withColumnRenamed("key", "vec_id")
+    e = edges.select(F.col(shard).cast("int").alias("shard"), "src", "rank", "dst")
     out = None
     for n, shared in query_batches(asked):
         one = v.groupBy("shard").cogroup(e.groupBy("shard")).applyInArrow(_in_shard(shared, o, walk), FOUND)

@@ -71,15 +71,14 @@ class Scratch:
 def number_lines(lines: DataFrame, name: str) -> DataFrame:
     """Add dense row numbers from 0 in the order of the input's partitions; no row moves.
 
-    For one text file that is its line order. A first job counts the rows of each partition; there are as many counts
-    as partitions.
+    For one text file that is its line order. A first job counts the rows of each partition; the counts, one for each
+    partition, are sent to all executors.
     """
-    at = lines.withColumn("_at", F.monotonically_increasing_id())
-    counts = at.groupBy(F.shiftright("_at", 33).cast("int").alias("p")).count().collect()
-    start, total = {}, 0
-    for r in sorted(counts):
-        start[r["p"]], total = total, total + r["count"]
-    if not start:
-        return lines.withColumn(name, F.lit(None).cast("long"))
-    of = F.create_map(*[F.lit(x) for p, n in start.items() for x in (p, n)])
-    return at.withColumn(name, (of[F.shiftright("_at", 33).cast("int")] + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_at")
+    at = lines.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33).cast("int"))
+    start, total = [], 0
+    for r in sorted(at.groupBy("_part").count().collect()):
+        start.append((r["_part"], total))
+        total += r["count"]
+    starts = lines.sparkSession.createDataFrame(start, "_part int, _start long")
+    number = (F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")
+    return at.join(F.broadcast(starts), "_part").withColumn(name, number).drop("_at", "_part", "_start")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,15 +99,43 @@ def write_raw_vectors(vectors: DataFrame, path: str, key: str = "vec_id") -> Non
     _write(vectors.sparkSession, path, _sorted_chunks(_packed(vectors, key, "embedding", "<f4"), key))
 
 
-def _records(spark: SparkSession, path: str, size: int, kind: str):
+def _records(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """(first, data): records of ``size`` bytes, about a megabyte of them in a row, and the number of the first one.
+
+    Files are split over tasks at whole records; a first job counts the records of each split.
+    """
+    records = spark.sparkContext.binaryRecords(path, size)
+    counts = records.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    most = max(1, (1 << 20) // size)
+
+    def chunks(part, rows):
+        first = sum(counts[:part])
+        while data := b"".join(islice(rows, most)):
+            yield first, bytearray(data)
+            first += len(data) // size
+
+    return spark.createDataFrame(records.mapPartitionsWithIndex(chunks), "first long, data binary")
+
+
+def _decoded(chunks: DataFrame, width: int, kind: str, name: str, schema: str) -> DataFrame:
+    """Rows (number, array of ``width``) of chunks, decoded as whole Arrow arrays."""
     import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            for first, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                values = np.frombuffer(data, kind)
+                n = len(values) // width
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(values))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + n)), lists], names=["n", name])
 
-    return spark.sparkContext.binaryRecords(path, size).zipWithIndex().map(lambda r: (r[1], np.frombuffer(r[0], kind).tolist()))
+    return chunks.mapInArrow(run, schema)
 
 
 def read_raw_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
-    """(vec_id, embedding); fixed-size records are split over tasks."""
-    return spark.createDataFrame(_records(spark, path, dim * 4, "<f4"), "vec_id long, embedding array<float>")
+    """(vec_id, embedding) of a file of n x dim float32."""
+    return _decoded(_records(spark, path, dim * 4), dim, "<f4", "embedding", "n long, embedding array<float>").withColumnRenamed("n", "vec_id")
 
 
 def write_raw_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
@@ -118,7 +148,7 @@ def write_raw_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
 
 def read_raw_graph(spark: SparkSession, path: str) -> DataFrame:
     """(src, rank, dst) from such a file, this engine's or a user's own."""
-    rows = spark.createDataFrame(_records(spark, path, SLOTS * 8, "<u8"), "src long, slots array<long>")
+    rows = _decoded(_records(spark, path, SLOTS * 8), SLOTS, "<i8", "slots", "n long, slots array<long>").withColumnRenamed("n", "src")
     to = F.posexplode(F.slice("slots", 2, F.col("slots")[0].cast("int")))
     return rows.where("slots[0] > 0").select("src", to.alias("rank", "dst")).select("src", (F.col("rank") + 1).cast("int").alias("rank"), "dst")
 

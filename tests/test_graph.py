@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearfield.__main__ import main
+from nearfield.functions import distance
 from nearfield.operators import graph, knn, search
 from nearfield.plans.index import VectorIndex
 from nearfield.sources import vectors as files
@@ -132,3 +133,39 @@ def test_command_line(spark, tmp_path, capsys):
     assert capsys.readouterr().out == "4 5 \n"
     assert main(["tune", "100"]) == 0 and capsys.readouterr().out == "bit 256 8 hash 9 p 0.002237\n"
     assert main(["build"]) == 1 and main(["test", "a", "b", "1", "l1"]) == 1
+
+
+def test_exact_search_is_the_plain_one(spark):
+    """Every metric against all distances, with ties, repeated vectors, zeros and far-off values."""
+    rnd = np.random.default_rng(5)
+    x = rnd.integers(-3, 4, (300, 3)).astype(float)
+    x[::7] *= 1e6
+    x[5] = x[6] = 0
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    for metric in ("l2", "ip", "cos"):
+        got = {}
+        for r in knn.knn(v.where("vec_id < 40"), v, 12, metric, with_self=False).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+        for q in range(40):
+            d = distance.to_rows(metric, x[q], x)
+            want = sorted((i for i in range(300) if i != q), key=lambda i: (d[i], i))[:12]
+            assert [i for _, i in sorted(got[q])] == want
+
+
+def test_vectors_of_different_lengths_raise(spark):
+    v = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [4.0]), (3, [5.0, 6.0])], "vec_id long, embedding array<double>").coalesce(1)
+    with pytest.raises(Exception, match="must have the same number"):
+        knn.knn(v, v, 2).collect()
+    one, two = v.where("vec_id = 2"), v.where("vec_id = 3")
+    with pytest.raises(Exception, match="queries have 1 components, vectors 2"):
+        knn.knn(one, two, 2).collect()
+    odd = spark.createDataFrame([(1, [1.0, None]), (2, [4.0, 1.0]), (3, [float("nan"), 6.0]), (4, [float("inf"), 1.0]), (5, [4.0, 2.0])], "vec_id long, embedding array<double>").coalesce(1)
+    assert [(r["query_id"], r["vec_id"]) for r in knn.knn(odd, odd, 9).orderBy("query_id", "rank").collect()] == [(2, 2), (2, 5), (5, 5), (5, 2)]
+
+
+def test_large_index_needs_shards(cloud, monkeypatch):
+    index = VectorIndex.build(cloud, shards=2)
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 0)
+    with pytest.raises(ValueError, match="by shard"):
+        search.search(cloud, cloud, index.edges, search.bounded("l2", 10))
+    assert index.search_batch(cloud.limit(5), 5).count() == 25
