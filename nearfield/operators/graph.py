@@ -165,8 +165,8 @@ def violations(vertices: DataFrame, edges: DataFrame, degree: int = DEGREE) -> D
     return own.unionByName(twice).unionByName(many).unionByName(none)
 
 
-def recall(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:
-    """(k, queries, recall): the part of the exact k nearest that was found."""
+def recall(found: DataFrame, exact: DataFrame, k: int, first: int | None = None) -> DataFrame:
+    """(k, queries, recall): the part of the exact ``k`` nearest that is among the ``first`` found, k unless given."""
     e = exact.where(F.col("rank") <= k)
-    hit = found.where(F.col("rank") <= k).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    hit = found.where(F.col("rank") <= (first or k)).select("query_id", "vec_id", F.lit(1).alias("hit"))
     return e.join(hit, ["query_id", "vec_id"], "left").agg(F.lit(k).alias("k"), F.countDistinct("query_id").alias("queries"), F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("recall"))

@@ -2,44 +2,68 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions.distance import checked
+from nearfield.functions.hashing import codes
 from nearfield.operators import graph
 from nearfield.operators.search import Options, bounded, greedy_walk, search, unbounded
 from nearfield.shared import materialize
+from nearfield.sources.vectors import read_raw_graph, read_raw_vectors
+
+#: Bytes of vectors and edges that a shard should hold where the number of shards is not given.
+SHARD_BYTES = 64 << 20
 
 
 @dataclass
 class VectorIndex:
-    """Vectors (vec_id, embedding), edges and the metric that both building and searching use."""
+    """Vectors (vec_id, embedding, shard), edges and the metric that both building and searching use.
+
+    With ``bits`` the index is over hyperplane codes of so many bits and the metric is hamming: vectors and queries are
+    coded on the way in.
+    """
 
     vectors: DataFrame
     edges: DataFrame
     metric: str
     shards: int = 1
+    bits: int | None = None
+
+    @classmethod
+    def build(cls, vectors: DataFrame, metric: str = "l2", degree: int = graph.DEGREE, budget: int = graph.BUDGET, shards: int | None = None, bulk: bool = False, bits: int | None = None) -> VectorIndex:
+        """Vertex by vertex within each shard, or with ``bulk`` from exact neighbours in each.
+
+        Without ``shards`` there are as many as hold SHARD_BYTES each.
+        """
+        checked(metric)
+        if (metric == "hamming") != bool(bits):
+            raise ValueError("an index of codes has the metric hamming and a number of bits, others have neither")
+        vectors = _coded(vectors.select("vec_id", "embedding"), bits)
+        if shards is None:
+            size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("w")).first()
+            shards = max(1, -(-(size["n"] or 0) * ((size["w"] or 1) * 8 + (2 * degree + 1) * 16) // SHARD_BYTES))
+        own = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+        edges = graph.build_bulk_shards(vectors, metric, degree, shards) if bulk else graph.build_sequential(vectors, metric, degree, budget, shards)
+        return cls(own, materialize(edges, "edges"), metric, shards, bits)
 
     @classmethod
-    def build(cls, vectors: DataFrame, metric: str = "l2", degree: int = graph.DEGREE, budget: int = graph.BUDGET, shards: int = 1, bulk: bool = False) -> VectorIndex:
-        """Vertex by vertex within each of ``shards``, or with ``bulk`` from exact neighbours."""
+    def from_raw(cls, spark: SparkSession, data: str, edges: str, dim: int, metric: str = "l2") -> VectorIndex:
+        """An index of a user's own raw files: ``data`` of n x dim float32, ``edges`` of 32 ids of eight bytes a vertex."""
         checked(metric)
-        own = vectors.select("vec_id", "embedding").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-        if bulk:
-            if shards != 1:
-                raise ValueError("a bulk graph has one shard")
-            edges = graph.build_bulk(vectors, metric, degree).withColumn("shard", F.lit(0))
-        else:
-            edges = graph.build_sequential(vectors, metric, degree, budget, shards)
-        return cls(own, materialize(edges, "edges"), metric, shards)
+        vectors, near = read_raw_vectors(spark, data, dim), read_raw_graph(spark, edges)
+        far = near.join(graph.edge_distances(near, vectors, metric), ["src", "dst"])
+        own = far.select(F.lit(0).alias("shard"), "src", "rank", "dst", "dist")
+        return cls(vectors.withColumn("shard", F.lit(0)), materialize(own, "edges"), metric)
 
     def add(self, more: DataFrame) -> VectorIndex:
         """The index with further vectors as a shard of their own; their ids must be new."""
-        own = more.select("vec_id", "embedding").withColumn("shard", F.lit(self.shards))
+        more = _coded(more.select("vec_id", "embedding"), self.bits)
         edges = graph.build_sequential(more, self.metric).withColumn("shard", F.lit(self.shards))
-        return VectorIndex(self.vectors.unionByName(own), materialize(self.edges.unionByName(edges), "edges"), self.metric, self.shards + 1)
+        vectors = self.vectors.unionByName(more.withColumn("shard", F.lit(self.shards)))
+        return replace(self, vectors=vectors, edges=materialize(self.edges.unionByName(edges), "edges"), shards=self.shards + 1)
 
     def _shard(self) -> str | None:
         return "shard" if self.shards > 1 else None
@@ -48,7 +72,7 @@ class VectorIndex:
         """(query_id, rank, vec_id, dist) of all queries, by a bounded search unless ``options`` say otherwise."""
         if (metric or self.metric) != self.metric or options and options.metric != self.metric:
             raise ValueError(f"the index was built for {self.metric}")
-        return search(queries, self.vectors, self.edges, options or bounded(self.metric, k), k, query_key, shard=self._shard())
+        return search(_coded(queries, self.bits, query_key), self.vectors, self.edges, options or bounded(self.metric, k), k, query_key, shard=self._shard())
 
     def search(self, vector: list[float], k: int = 100, options: Options | None = None) -> list[tuple[int, float]]:
         """Ids and distances for one vector, nearest first."""
@@ -57,7 +81,7 @@ class VectorIndex:
         return [(r["vec_id"], r["dist"]) for r in rows]
 
     def walk(self, queries: DataFrame, query_key: str = "vec_id") -> DataFrame:
-        return greedy_walk(queries, self.vectors, self.edges, self.metric, query_key, shard=self._shard())
+        return greedy_walk(_coded(queries, self.bits, query_key), self.vectors, self.edges, self.metric, query_key, shard=self._shard())
 
     def size(self) -> tuple[int, int]:
         """Vectors and components of each."""
@@ -68,9 +92,13 @@ class VectorIndex:
         self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
         self.edges.write.mode("overwrite").parquet(f"{path}/edges")
         spark = self.vectors.sparkSession
-        spark.createDataFrame([(self.metric, self.shards)], "metric string, shards int").write.mode("overwrite").parquet(f"{path}/about")
+        spark.createDataFrame([(self.metric, self.shards, self.bits)], "metric string, shards int, bits int").write.mode("overwrite").parquet(f"{path}/about")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> VectorIndex:
         about = spark.read.parquet(f"{path}/about").first()
-        return cls(spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/edges"), about["metric"], about["shards"])
+        return cls(spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/edges"), about["metric"], about["shards"], about["bits"])
+
+
+def _coded(vectors: DataFrame, bits: int | None, key: str = "vec_id") -> DataFrame:
+    return codes(vectors, bits, key).withColumnRenamed("words", "embedding") if bits else vectors

@@ -113,17 +113,36 @@ def _components(df: DataFrame) -> DataFrame:
     return df.select("vec_id", F.posexplode("embedding").alias("idx", "x")).select("vec_id", "idx", F.round(F.col("x").cast("double"), 6).alias("val"))
 
 
-@query(_COMPONENTS)
+#: As read from files: a line's number is the id.
+_LINES = "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS vec_id, embedding FROM embeddings"
+_LINE_COMPONENTS = f"SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INT AS idx, round(unnest(embedding)::DOUBLE, 6) AS val FROM ({_LINES})"
+
+
+def _text_file(spark: SparkSession, lines: DataFrame, tag: str) -> str:
+    path = fresh_path(spark, tag)
+    lines.coalesce(1).sortWithinPartitions("vec_id").select("value").write.text(path)
+    return path
+
+
+@query(_LINE_COMPONENTS)
 def libsvm_parse(spark, sf_dir):
-    """Vectors written as LIBSVM lines and parsed again."""
-    lines = files.libsvm_lines(_vectors(spark, sf_dir))
-    pairs = lines.select("vec_id", F.explode(files.sparse_pairs("value")).alias("p"))
-    return pairs.select("vec_id", "p.idx", F.round(F.col("p.val").cast("double"), 6).alias("val"))
+    """Vectors written as LIBSVM lines and read again."""
+    v = _vectors(spark, sf_dir)
+    return _components(files.read_libsvm(spark, _text_file(spark, files.libsvm_lines(v), "libsvm"), v.agg(F.max(F.size("embedding")).alias("d")).first()["d"]))
 
 
-@query(_COMPONENTS)
+@query(f"SELECT vec_id, i::INT AS idx, CASE WHEN i < len(embedding) AND embedding[i + 1] < 0 THEN round(embedding[i + 1]::DOUBLE, 6) ELSE 0.0 END AS val FROM ({_LINES}), range(70) t(i)")
+def libsvm_zero_based(spark, sf_dir):
+    """The negative components alone, numbered from 0, written and read again."""
+    pairs = F.filter(F.transform("embedding", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: p["x"] < 0)
+    text = F.concat_ws(" ", F.lit("1"), F.array_join(F.transform(pairs, lambda p: F.concat(p["i"].cast("string"), F.lit(":"), p["x"].cast("string"))), " "))
+    path = _text_file(spark, _vectors(spark, sf_dir).select("vec_id", text.alias("value")), "zero_based")
+    return _components(files.read_libsvm(spark, path, 70, one_based=False))
+
+
+@query(_LINE_COMPONENTS)
 def dense_parse(spark, sf_dir):
-    return _components(files.dense_lines(_vectors(spark, sf_dir)).select("vec_id", files.dense_values("value").alias("embedding")))
+    return _components(files.read_dense(spark, _text_file(spark, files.dense_lines(_vectors(spark, sf_dir)), "dense")))
 
 
 @query("SELECT vec_id, i::INT AS idx, CASE WHEN i < len(embedding) AND embedding[i + 1] > 0 THEN round(embedding[i + 1]::DOUBLE, 6) ELSE 0.0 END AS val FROM embeddings, range(80) t(i)")
@@ -360,23 +379,52 @@ SMALL = {
 }
 
 
+def _best_first_sql(pqs: list[int], bounded: bool) -> str:
+    """``steps`` (pq, query_id, step, front, top): the searches step by step over the bulk graph; the last step of each is its end.
+
+    Unbounded, what was met is kept in ``met``; bounded, a vertex is known while it is in front or among the top.
+    """
+    first, rest = "w.front[1]", "w.front[2:]"
+    top = f"list_sort(list_append(w.top, {first}))[:w.pq]"
+    known = f"(list_contains(list_transform({rest}, lambda f: f.y), b.vec_id) OR list_contains(list_transform({top}, lambda f: f.y), b.vec_id))" if bounded else "list_contains(w.met, b.vec_id)"
+    new = "coalesce(list({'d': %s, 'y': b.vec_id}) FILTER (NOT %s), [])" % (SQL_DISTANCE["l2"], known)
+    front = f"list_sort(list_concat(any_value({rest}), {new}))" + ("[:w.pq]" if bounded else "")
+    met = "any_value(w.met)" if bounded else f"list_concat(any_value(w.met), coalesce(list(b.vec_id) FILTER (NOT {known}), []))"
+    return f"""RECURSIVE {_L2_EDGES},
+steps AS (
+  SELECT p.pq, a.vec_id AS query_id, 0 AS step, [{{'d': {SQL_DISTANCE["l2"]}, 'y': b.vec_id}}] AS front, [{{'d': 0.0::DOUBLE, 'y': 0::BIGINT}}][:0] AS top, [b.vec_id] AS met
+  FROM plain a, plain b, unnest({pqs}) p(pq) WHERE b.vec_id = (SELECT min(vec_id) FROM plain)
+  UNION ALL
+  SELECT w.pq, w.query_id, w.step + 1, {front}, any_value({top}), {met}
+  FROM steps w JOIN edges e ON e.src = w.front[1].y JOIN plain b ON b.vec_id = e.dst JOIN plain a ON a.vec_id = w.query_id
+  WHERE len(w.front) > 0 AND NOT (len(w.top) = w.pq AND w.top[w.pq].d {"<=" if bounded else "<"} w.front[1].d)
+  GROUP BY w.pq, w.query_id, w.step),
+ends AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pq, query_id ORDER BY step DESC) AS last FROM steps) WHERE last = 1),
+found AS (SELECT pq, query_id, generate_subscripts(top, 1)::INT AS rank, unnest(top) AS x, step FROM ends)"""
+
+
+def _small_sql(bounded: bool) -> str:
+    return f"WITH {_best_first_sql([50], bounded)} SELECT query_id, rank, x.y AS vec_id, round(x.d, 6) AS dist FROM found WHERE rank <= 10"
+
+
 def _small(name: str, options: search.Options) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         v = _vectors(spark, sf_dir)
-        return _rounded(search.search(v, v, _sequential(spark, sf_dir), options, 10))
+        edges = _bulk(spark, sf_dir) if name in ("cpu", "bounded") else _sequential(spark, sf_dir)
+        return _rounded(search.search(v, v, edges, options, 10))
 
     run.__name__ = f"ann_search_small_{name}"
     return run
 
 
 for _n, _o in SMALL.items():
-    query()(_small(_n, _o))
+    query(_small_sql(_n == "bounded") if _n in ("cpu", "bounded") else None)(_small(_n, _o))
 
 
-@query()
+@query(f"WITH {_best_first_sql([50], False)} SELECT count(*) AS queries, sum(step)::BIGINT AS expanded, round(avg(step), 6) AS avg_expanded FROM ends")
 def search_explore_stats(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    e = search.explored(v, v, _sequential(spark, sf_dir), search.unbounded("l2", 50))
+    e = search.explored(v, v, _bulk(spark, sf_dir), search.unbounded("l2", 50))
     return e.agg(F.count(F.lit(1)).alias("queries"), F.sum("n_expanded").alias("expanded"), F.round(F.avg("n_expanded"), 6).alias("avg_expanded"))
 
 
@@ -386,13 +434,20 @@ def search_stage_metrics(spark, sf_dir):
     return search.stage_metrics(v, v, _sequential(spark, sf_dir), search.bounded("l2", 100))
 
 
-@query()
+RECALL_PQS = [10, 20, 50]
+
+
+@query(f"""WITH {_best_first_sql(RECALL_PQS, True)},
+exact AS (SELECT src AS query_id, dst AS vec_id FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS r FROM dists) WHERE r <= 10)
+SELECT p.pq, 10 AS k, count(DISTINCT e.query_id) AS queries, round(count(f.rank) / count(*), 6) AS recall
+FROM exact e CROSS JOIN unnest({RECALL_PQS}) p(pq) LEFT JOIN (SELECT * FROM found WHERE rank <= 11) f ON f.pq = p.pq AND f.query_id = e.query_id AND f.x.y = e.vec_id GROUP BY p.pq""")
 def recall_at_k(spark, sf_dir):
+    """Of the ten nearest but the query itself, which a search for one more finds."""
     v, out = _vectors(spark, sf_dir), None
-    exact = _once(spark, sf_dir, "exact10", lambda: knn.knn(v, v, 10))
-    for pq in (10, 50, 100, 200):
-        found = search.search(v, v, _sequential(spark, sf_dir), search.bounded("l2", pq), 10)
-        row = graph.recall(found, exact, 10).withColumn("pq", F.lit(pq))
+    exact = _once(spark, sf_dir, "exact10", lambda: knn.knn(v, v, 10, with_self=False))
+    for pq in RECALL_PQS:
+        found = search.search(v, v, _bulk(spark, sf_dir), search.bounded("l2", pq), 11)
+        row = graph.recall(found, exact, 10, 11).withColumn("pq", F.lit(pq))
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearfield.__main__ import main
-from nearfield.functions import distance
+from nearfield.functions import distance, hashing
 from nearfield.operators import graph, knn, search
 from nearfield.plans.index import VectorIndex
 from nearfield.sources import vectors as files
@@ -169,3 +169,63 @@ def test_large_index_needs_shards(cloud, monkeypatch):
     with pytest.raises(ValueError, match="by shard"):
         search.search(cloud, cloud, index.edges, search.bounded("l2", 10))
     assert index.search_batch(cloud.limit(5), 5).count() == 25
+
+
+def test_index_of_raw_files(spark, cloud, tmp_path, capsys):
+    """A user's own pair of files, by the class and by the command line, against the same graph in tables."""
+    edges = graph.build_bulk(cloud).cache()
+    files.write_raw_graph(cloud, edges, str(tmp_path / "g"))
+    files.write_raw_vectors(cloud, str(tmp_path / "v"))
+    index = VectorIndex.from_raw(spark, str(tmp_path / "v"), str(tmp_path / "g"), 8, "ip")
+    single = cloud.withColumn("embedding", F.col("embedding").cast("array<float>"))
+    want = search.search(single.limit(20), single, edges, search.bounded("ip", 7), 7).collect()
+    assert sorted(map(tuple, index.search_batch(single.limit(20), 7).collect())) == sorted(map(tuple, want))
+    index.save(str(tmp_path / "i"))
+    assert VectorIndex.load(spark, str(tmp_path / "i")).size() == (400, 8)
+    (tmp_path / "q").write_text("0 0 0 0 0 0 0 1\n")
+    assert main(["--log", "ERROR", "test-raw", str(tmp_path / "v"), str(tmp_path / "g"), str(tmp_path / "q"), "8", "ip", "7", "3", "--dense"]) == 0
+    line = capsys.readouterr().out.split()
+    assert len(line) == 3 and [int(x) for x in line] == [i for i, _ in index.search([0.0] * 7 + [1.0], 7, search.bounded("ip", 7))[:3]]
+
+
+def test_index_of_codes(spark, cloud, tmp_path):
+    """From vectors to codes to a search, as by exact search over the same codes."""
+    index = VectorIndex.build(cloud, "hamming", bits=64, shards=2)
+    coded = hashing.codes(cloud, 64)
+    exact = knn.knn(coded.limit(30), coded, 5, "hamming", vector="words")
+    found = index.search_batch(cloud.limit(30), 200)
+    assert graph.recall(found, exact, 5).first()["recall"] > 0.95
+    index.save(str(tmp_path / "i"))
+    back = VectorIndex.load(spark, str(tmp_path / "i"))
+    assert back.bits == 64 and back.add(cloud.withColumn("vec_id", F.col("vec_id") + 1000)).search_batch(cloud.limit(3), 4).count() == 12
+    assert back.search([1.0] * 8, 5)[0][1] == int(back.search([1.0] * 8, 5)[0][1])
+    with pytest.raises(ValueError):
+        VectorIndex.build(cloud, "hamming")
+    assert main(["build", "x"]) == 1
+
+
+@pytest.mark.parametrize("metric", ["l2", "cos"])
+def test_bulk_graph_by_shard(cloud, metric):
+    index = VectorIndex.build(cloud, metric, shards=3, bulk=True)
+    whole = VectorIndex.build(cloud, metric, bulk=True)
+    assert index.shards == 3 and whole.shards == 1
+    assert sorted(tuple(r)[1:4] for r in whole.edges.collect()) == sorted(tuple(r)[:3] for r in graph.build_bulk(cloud, metric).collect())
+    shard = {r["vec_id"]: r["shard"] for r in index.vectors.collect()}
+    assert all(shard[r["src"]] == shard[r["dst"]] == r["shard"] for r in index.edges.collect())
+    exact = knn.knn(cloud.limit(20), cloud, 5, metric)
+    assert graph.recall(index.search_batch(cloud.limit(20), 60), exact, 5).first()["recall"] > 0.95
+
+
+def test_raw_files_of_many_splits(spark, tmp_path):
+    x = np.arange(90_000 * 4, dtype="<f4").reshape(-1, 4)
+    (tmp_path / "v").mkdir()
+    for i in range(3):
+        (tmp_path / "v" / f"part-{i}").write_bytes(x[i * 30_000 : (i + 1) * 30_000].tobytes())
+    rows = files.read_raw_vectors(spark, str(tmp_path / "v"), 4)
+    assert rows.count() == 90_000 and rows.where("embedding[0] <> vec_id * 4 OR size(embedding) <> 4").count() == 0
+
+
+def test_line_numbers_go_on(spark, tmp_path):
+    (tmp_path / "d").write_text("".join(f"{i} 1:{i}\n" for i in range(5000)))
+    rows = files.read_libsvm(spark, str(tmp_path / "d"), 1)
+    assert rows.count() == 5000 and rows.where("embedding[0] <> vec_id").count() == 0
