@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from nearfield.llm.base import map_batches
 from nearfield.llm.vocab import Pieces, file_pattern, file_tokenizer
 
 #: Tokens that are packed together; a task holds no more than these and one batch.
@@ -157,9 +157,9 @@ class _Packer:
         self.task = TaskContext.get().partitionId() if TaskContext.get() else 0
         self.n = 0
 
-    def add(self, key, ids: bytes) -> None:
+    def add(self, key, ids: bytes, prompt: int = 0) -> None:
         self.keys[self.n], self.ids[self.n] = key, ids
-        self.pool.append(Segment(self.n, 0, len(ids) // 4))
+        self.pool.append(Segment(self.n, 0, len(ids) // 4, prompt))
         self.held += len(ids) // 4
         self.n += 1
 
@@ -170,7 +170,7 @@ class _Packer:
                 at = 0
                 for s in sequence:
                     ids = self.ids[s.of]
-                    yield (self.keys[s.of], s.start, s.length, zlib.crc32(memoryview(ids)[4 * s.start : 4 * (s.start + s.length)]), len(ids) // 4, self.task << 40 | self.made, at)
+                    yield (self.keys[s.of], s.start, s.length, zlib.crc32(memoryview(ids)[4 * s.start : 4 * (s.start + s.length)]), len(ids) // 4, self.task << 40 | self.made, at, s.loss)
                     at += s.length
                 self.made += 1
         self.pool = [] if last else open_
@@ -182,18 +182,24 @@ class _Packer:
 _pieces: dict[str, Pieces] = {}
 
 
+def _tokenizer(path: str) -> Pieces:
+    """One for each worker."""
+    if path not in _pieces:
+        _pieces[path] = Pieces(file_tokenizer(path), file_pattern(path), lower=True)
+    return _pieces[path]
+
+
 def pack_documents(docs: DataFrame, path: str, end: int = 2, limits: Limits = Limits()) -> DataFrame:
-    """Tokenize and pack texts; every token bears loss.
+    """Tokenize and pack texts; every token bears loss, so that the limits on tokens and on loss coincide.
 
     Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A null or empty text is the end
-    token alone. Repeated rows are packed each for itself; doc_id may be null; other columns are left out. Each task
-    packs its own rows, a window at a time, and only its last sequences are short: they are cut at powers of two.
+    token alone. Repeated rows are packed each for itself; doc_id may be null; other columns are left out; an empty table
+    gives no rows. Each task packs its own rows, a window at a time, and only its last sequences are short: they are cut
+    at powers of two.
     """
 
     def run(batches):
-        if path not in _pieces:
-            _pieces[path] = Pieces(file_tokenizer(path), file_pattern(path), lower=True)
-        pieces, packer, stop = _pieces[path], _Packer(limits), np.array([end], "<u4").tobytes()
+        pieces, packer, stop = _tokenizer(path), _Packer(limits), np.array([end], "<u4").tobytes()
 
         def out(rows) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
@@ -201,20 +207,62 @@ def pack_documents(docs: DataFrame, path: str, end: int = 2, limits: Limits = Li
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                texts = [_words(x) for x in part.column(1).to_pylist()]
-                for key, ids in zip(part.column(0).to_pylist(), pieces.encode(texts), strict=True):
+                texts = [x or "" for x in part.column(1).to_pylist()]
+                for key, ids in zip(part.column(0).to_pylist(), pieces.encode_texts(texts), strict=True):
                     packer.add(key, ids + stop)
-                if packer.held >= WINDOW_TOKENS and (rows := list(packer.flush(False))):
+                if packer.held >= WINDOW_TOKENS and (rows := [r[:-1] for r in packer.flush(False)]):
                     yield out(rows)
-        if rows := list(packer.flush(True)):
+        if rows := [r[:-1] for r in packer.flush(True)]:
             yield out(rows)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def _words(text: str | None) -> list[bytes]:
-    """A text cut at ASCII white space, which the vocabulary drops. Plain ASCII is put in lower case, as the vocabulary
-    would, so that more words are alike; in other texts that could change which characters compose."""
-    data = (text or "").encode()
-    return (data.lower() if data.isascii() else data).split()
+def instructions(conversations: DataFrame, role: str = "assistant") -> DataFrame:
+    """(conv_id, turn, prompt, response): each turn of ``role`` with the turn before it.
+
+    Prompts are found by conversation and turn, so no task holds a conversation. Of several rows with one turn the least
+    text is the prompt; each row of ``role`` is a response. Null texts are empty; without a turn before, or with a null
+    conv_id or turn, the prompt is empty.
+    """
+    before = conversations.groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.min("text").alias("prompt"))
+    said = conversations.where(F.col("role") == role).select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("response"))
+    return said.join(before, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("prompt", F.lit("")).alias("prompt"), "response")
+
+
+def pack_instructions(rows: DataFrame, path: str, keys: list[str], end: int = 2, limits: Limits = Limits(4096, 64, 2048)) -> DataFrame:
+    """Tokenize and pack instruction data: rows with ``keys`` and columns prompt and response.
+
+    An example is its prompt's tokens, its response's and the end token; only those after the prompt bear loss. A
+    sequence keeps all three limits. Per piece: the keys, start, length, loss_tokens, ids_crc32, example_tokens,
+    prompt_tokens, sequence_id, offset. An example over a limit is cut, and one more to fill a sequence that no whole one
+    fits. Null prompts and responses are empty; repeated rows are packed each for itself; other columns are left out.
+    """
+    n = len(keys)
+
+    def run(batches):
+        pieces, packer, stop = _tokenizer(path), _Packer(limits), np.array([end], "<u4").tobytes()
+
+        def out(made) -> Iterator[pa.RecordBatch]:
+            if made:
+                own, start, length, crc, whole, sequence, at, loss = zip(*made, strict=True)
+                columns = [pa.array(c, t) for c, t in zip(zip(*[k[:n] for k in own], strict=True), types, strict=True)]
+                columns += [pa.array(c, pa.int64()) for c in (start, length, loss, crc, whole, [k[n] for k in own], sequence, at)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, *names])
+
+        types = None
+        for b in batches:
+            types = [b.schema.field(k).type for k in range(n)]
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                prompt, response = (pieces.encode_texts([x or "" for x in part.column(n + k).to_pylist()]) for k in (0, 1))
+                for key, p, r in zip(zip(*(part.column(k).to_pylist() for k in range(n)), strict=True), prompt, response, strict=True):
+                    packer.add((*key, len(p) // 4), p + r + stop, len(p) // 4)
+                if packer.held >= WINDOW_TOKENS:
+                    yield from out(list(packer.flush(False)))
+        yield from out(list(packer.flush(True)))
+
+    names = ["start", "length", "loss_tokens", "ids_crc32", "example_tokens", "prompt_tokens", "sequence_id", "offset"]
+    schema = ", ".join([f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys] + [f"{x} long" for x in names])
+    return rows.select(*keys, "prompt", "response").mapInArrow(run, schema)

@@ -7,6 +7,7 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 
@@ -88,13 +89,16 @@ class Pieces:
         self.written = dict(enumerate(byte_characters()))
 
     def _plain(self, text: str) -> bytes:
-        out = []
-        for w in self.split.findall(text.lower() if self.lower else text):
-            if w not in self.words:
-                ids = self.model.tokenize(w.encode().decode("latin-1").translate(self.written))
-                self.words[w] = np.array([t.id for t in ids], "<u4").tobytes()
-            out.append(self.words[w])
-        return b"".join(out)
+        words = self.split.findall(text.lower() if self.lower else text)
+        self._learn_words(words)
+        return b"".join(map(self.words.__getitem__, words))
+
+    def _learn_words(self, words) -> None:
+        known, tokenize = self.words, self.model.tokenize
+        for w in words:
+            if w not in known:
+                text = w if w.isascii() and w.isprintable() and " " not in w else w.encode().decode("latin-1").translate(self.written)
+                known[w] = array("I", [t.id for t in tokenize(text)]).tobytes()
 
     def _learn(self, new: list) -> None:
         other = []
@@ -119,3 +123,25 @@ class Pieces:
         self._learn([x for x in set().union(*texts) if x not in known])
         get = known.__getitem__
         return [b"".join(map(get, t)) for t in texts]
+
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        """Per text the ids of all its words, for a pattern that matches no white space. A text of characters under U+0100
+        is split at once; others go by pieces between ASCII white space, which the tokenizer would pass over as well."""
+        if len(self.words) > self.most:
+            self.words.clear()
+        words, other = [], []
+        for i, t in enumerate(texts):
+            try:
+                t.encode("latin-1")
+            except UnicodeEncodeError:
+                other.append(i)
+                words.append([])
+            else:
+                words.append(self.split.findall(t.lower() if self.lower else t))
+        self._learn_words(set().union(*words) - self.words.keys())
+        get = self.words.__getitem__
+        out = [b"".join(map(get, w)) for w in words]
+        if other:
+            for i, ids in zip(other, self.encode([texts[i].encode().split() for i in other]), strict=True):
+                out[i] = ids
+        return out
