@@ -1,7 +1,8 @@
 """Contiguous shards of near-equal bytes, by global prefix sums. DataFrame functions only.
 
-The rows in key order form one line of bytes. Ranges of keys get totals, totals get a running sum, and each row gets
-its place on that line; the line is cut at equal targets. No task holds more than one range.
+The rows in key order form one line of bytes. They are dealt out over ranges of that line, each range gets its total,
+totals get a running sum, and each row gets its place on the line; the line is cut at equal targets. No task holds more
+than one range: rows of one key, or without one, are told apart by size, crc and a number of their own.
 """
 
 from __future__ import annotations
@@ -9,16 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that a range of keys should hold, and the fewest and most ranges.
-RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 1 << 17, 128, 8192
-
+from nearfield.llm.base import Scratch, materialize
 
-def range_bounds(df: DataFrame, key: str) -> list:
-    """Upper bounds of key ranges with about equal numbers of rows; their number is at most ``MOST_RANGES``."""
-    n = df.select(key).count()
-    k = min(MOST_RANGES, max(LEAST_RANGES, n // RANGE_ROWS))
-    at = F.percentile_approx(key, F.array(*[F.lit(i / k) for i in range(1, k)]), 4 * k)
-    return sorted(set(df.agg(at.alias("b")).first()["b"] or []))
+#: Rows that a range of keys should hold, and the fewest and most ranges.
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 1 << 17, 32, 1 << 17
 
 
 def byte_shards(docs: DataFrame, n_shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -30,16 +25,19 @@ def byte_shards(docs: DataFrame, n_shards: int, key: str = "doc_id", text: str =
     under it empty. Other columns are ignored; an empty table gives no rows.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    narrow = docs.select(F.col(key).alias("k"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body).alias("crc"))
-    bounds = range_bounds(docs, key)
-    # The binary search of the range stays inside code generation: a sorted literal array and its first larger element.
-    part = F.coalesce(F.array_size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("k"))), F.lit(0)) if bounds else F.lit(0)
-    return _placed(narrow.withColumn("part", part), n_shards).select(F.col("k").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
+    narrow = docs.select(F.col(key).alias("k"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body).alias("crc"), F.monotonically_increasing_id().alias("row"))
+    with Scratch(docs.sparkSession, "shards") as s:
+        narrow = s.write(narrow, "rows")  # the texts are read once, and a row keeps its number
+        n = min(MOST_RANGES, max(LEAST_RANGES, narrow.count() // RANGE_ROWS))
+        # Written again, so that the rows of a range are the same ones wherever they are read.
+        ranges = s.write(narrow.repartitionByRange(n, "k", "crc", "size", "row").withColumn("part", F.spark_partition_id()), "ranges")
+        placed = materialize(_placed(ranges, n_shards), "placed")
+    return placed.select(F.col("k").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
 
 
 def _placed(rows: DataFrame, n_shards: int) -> DataFrame:
-    within = Window.partitionBy("part").orderBy("k", "crc", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"upto": F.sum("size").over(within), "row": F.count(F.lit(1)).over(within)})
+    within = Window.partitionBy("part").orderBy("k", "crc", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"upto": F.sum("size").over(within), "nth": F.count(F.lit(1)).over(within)})
     # One row per range, MOST_RANGES at most: small enough for one task and for a broadcast.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -50,7 +48,7 @@ def _placed(rows: DataFrame, n_shards: int) -> DataFrame:
     )
     twice_middle = 2 * (F.col("bytes_before") + F.col("upto")) - F.col("size")
     placed = rows.join(F.broadcast(totals), "part").select(
-        "k", "size", "crc", (F.col("rows_before") + F.col("row") - 1).alias("at"), F.floor(twice_middle * n_shards / (2 * F.col("all_bytes"))).cast("int").alias("shard")
+        "k", "size", "crc", (F.col("rows_before") + F.col("nth") - 1).alias("at"), F.floor(twice_middle * n_shards / (2 * F.col("all_bytes"))).cast("int").alias("shard")
     )
     first = placed.groupBy("shard").agg(F.min("at").alias("first"))  # n_shards rows at most
     return placed.join(F.broadcast(first), "shard").withColumn("slot", F.col("at") - F.col("first"))
