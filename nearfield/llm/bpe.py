@@ -132,25 +132,36 @@ def decode(tokens: DataFrame, path: str, pattern: str, key: str = "doc_id", ids:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256; encodes, decodes and keeps the digests only."""
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256, offsets_sha256, n_split; encodes, decodes and keeps the
+    digests only.
+
+    offsets_sha256 is of the first and last-but-one character of each token, pairs of little-endian 32-bit integers;
+    n_split counts the tokens that end inside a character. Null texts are empty; repeated rows stay.
+    """
 
     def make():
         bpe = ByteBPE.get(path, pattern)
 
+        def digest(x) -> str:
+            return hashlib.sha256(x).hexdigest()
+
         def run(b: pa.RecordBatch):
             texts = [x or "" for x in b.column(1).to_pylist()]
             for s in _groups(texts):
                 ids = bpe.encode(texts[s])
+                at = [bpe.offsets(t, x) for t, x in zip(texts[s], ids, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0)[s.start : s.stop],
                         pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([hashlib.sha256(x.data).hexdigest() for x in ids]),
-                        pa.array([hashlib.sha256(bpe.decode_bytes(x)).hexdigest() for x in ids]),
+                        pa.array([digest(x.data) for x in ids]),
+                        pa.array([digest(bpe.decode_bytes(x)) for x in ids]),
+                        pa.array([digest(x.astype("<i4").tobytes()) for x in at]),
+                        pa.array([int((x[1:, 0] < x[:-1, 1]).sum()) for x in at], pa.int64()),
                     ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256", "n_split"],
                 )
 
         return run
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_sha256 string, n_split long")
