@@ -64,6 +64,9 @@ class Scratch:
         return self
 
     def __exit__(self, *_) -> None:
+        self.drop()
+
+    def drop(self) -> None:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
