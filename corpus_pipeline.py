@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from nearfield.llm import langid, neardup, packing, toxicity
-from nearfield.llm.base import materialize, table
+from nearfield.llm.base import Scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text has a language among those learned from ``docs``; all columns stay.
 
-    Null texts, texts without letters and those that the parse finds in no learned language go. If no language can be learned, nothing goes for want of one but those.
+    Null texts, texts without letters and those that the parse finds in no learned language go. If no language can be
+    learned, nothing goes for want of one but those.
     """
     return langid.identified(docs, langid.train(docs))
 
@@ -39,10 +40,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each keeps is written to the shared folder before the next reads it."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; what each keeps is written to the shared folder before the next reads it.
+
+    An empty table gives no rows. A table goes when the next one is written; the last stage reads the last one.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = materialize(docs, name)
+            scratch = Scratch(spark, f"pipeline-{name}")
+            docs = scratch.write(docs, name)
+            if before:
+                before.drop()
+            before = scratch
     return docs
