@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,6 +24,8 @@ from nearfield.llm.base import map_batches
 SAMPLE = 6000
 #: Hash space, documents that a feature must be in, features that a model keeps, folds, steps and the penalty of the fit.
 WIDTH, LEAST_DOCS, KEPT, FOLDS, STEPS, PENALTY = 1 << 20, 3, 3000, 3, 60, 1.0
+#: Features of rows worked on at once.
+CHUNK = 1 << 19
 #: A row is never flagged below this probability.
 LEAST_SURE = 0.35
 #: A word's beginnings of these lengths are features as well: inflected and compounded words share them.
@@ -47,32 +50,50 @@ def hashed_words(text: str) -> np.ndarray:
 
 @dataclass
 class Rows:
-    """Binary features of rows, one row after the other."""
+    """Binary features of rows, one row after the other; worked on CHUNK of them at a time."""
 
     index: np.ndarray
     size: np.ndarray
 
+    @classmethod
+    def of(cls, rows: list[np.ndarray]) -> Rows:
+        return cls(np.concatenate([*rows, np.zeros(0, np.int32)]), np.array([len(r) for r in rows], np.int64))
+
+    def _chunks(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Rows from and to, their features, and the row of each feature, counted from the first."""
+        end, i = np.cumsum(self.size), 0
+        while i < len(end):
+            before = end[i - 1] if i else 0
+            j = max(i + 1, int(np.searchsorted(end, before + CHUNK, "right")))
+            yield i, j, self.index[before : end[j - 1]], np.repeat(np.arange(j - i), self.size[i:j])
+            i = j
+
     def take(self, rows: np.ndarray) -> Rows:
-        start = np.cumsum(self.size) - self.size
-        n = self.size[rows]
-        at = np.repeat(start[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return Rows(self.index[at], n)
+        end = np.cumsum(self.size)
+        return Rows.of([self.index[end[r] - self.size[r] : end[r]] for r in rows.tolist()])
 
     def only(self, features: np.ndarray, width: int) -> Rows:
         """The rows with these features alone, numbered anew."""
         place = np.full(width, -1, np.int32)
         place[features] = np.arange(len(features))
-        index = place[self.index]
-        owner = np.repeat(np.arange(len(self.size)), self.size)[index >= 0]
-        return Rows(index[index >= 0], np.bincount(owner, minlength=len(self.size)))
+        index, size = [np.zeros(0, np.int32)], np.zeros(len(self.size), np.int64)
+        for i, j, own, row in self._chunks():
+            own = place[own]
+            size[i:j] = np.bincount(row[own >= 0], minlength=j - i)
+            index.append(own[own >= 0])
+        return Rows(np.concatenate(index), size)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        total = np.concatenate(([0.0], np.cumsum(w[self.index])))
-        end = np.cumsum(self.size)
-        return total[end] - total[end - self.size]
+        out = np.zeros(len(self.size))
+        for i, j, own, row in self._chunks():
+            out[i:j] = np.bincount(row, weights=w[own], minlength=j - i)
+        return out
 
     def back(self, v: np.ndarray, width: int) -> np.ndarray:
-        return np.bincount(self.index, weights=np.repeat(v, self.size), minlength=width)
+        out = np.zeros(width)
+        for i, _, own, row in self._chunks():
+            out += np.bincount(own, weights=v[i + row], minlength=width)
+        return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -157,7 +178,7 @@ class Chain:
     def predict(self, texts: list[str]) -> np.ndarray:
         """Probabilities, texts x categories; words that the models don't use count for nothing."""
         at = [self.features(t) for t in texts]
-        x = Rows(np.concatenate([*at, np.zeros(0, np.int32)]), np.array([len(a) for a in at], np.int64))
+        x = Rows.of(at)
         before = np.zeros((len(texts), 0))
         out = np.zeros((len(texts), len(self.models)))
         for i, m in enumerate(self.models):
@@ -169,12 +190,9 @@ class Chain:
 def fit_chain(words: list[np.ndarray], labels: np.ndarray, categories: tuple[str, ...]) -> Chain:
     """Fit on rows of hashed words and 0/1 labels (rows x categories)."""
     n = len(words)
-    every = np.concatenate([*words, np.zeros(0, np.int32)])
-    known = np.flatnonzero(np.bincount(every, minlength=WIDTH) >= LEAST_DOCS)
-    place = np.full(WIDTH, -1, np.int32)
-    place[known] = np.arange(len(known))
-    at = [p[p >= 0] for p in (place[w] for w in words)]
-    x = Rows(np.concatenate([*at, np.zeros(0, np.int32)]), np.array([len(a) for a in at], np.int64))
+    x = Rows.of(words)
+    known = np.flatnonzero(x.back(np.ones(n), WIDTH) >= LEAST_DOCS)
+    x = x.only(known, WIDTH)
     fold = np.arange(n) % FOLDS
     before, models, thresholds = np.zeros((n, 0)), [], []
     for i in range(len(categories)):
@@ -217,17 +235,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
 
         def run(b: pa.RecordBatch):
             b = b.filter(pa.compute.is_in(b.column(0), value_set=wanted))
+            b = b.filter(pa.compute.is_valid(b.column(1)))
             if b.num_rows:
-                words = [hashed_words(t or "").astype(">i4").tobytes() for t in b.column(1).to_pylist()]  # sorts as the numbers do
+                words = [hashed_words(t).astype(">i4").tobytes() for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.binary())], names=["doc_id", "words"])
 
         return run
 
-    rows = sorted((r["doc_id"], bytes(r["words"])) for r in map_batches(docs.select("doc_id", "text"), make, "doc_id long, words binary").collect())
-    seen: dict[int, bytes] = dict(reversed(rows))
+    # Of rows of one doc_id the one of the least features, so that SAMPLE rows come back at most.
+    found = map_batches(docs.select("doc_id", "text"), make, "doc_id long, words binary").groupBy("doc_id").agg(F.min("words").alias("words"))
+    seen = {r["doc_id"]: np.frombuffer(r["words"], ">i4").astype(np.int32) for r in found.toLocalIterator()}
     keys = sorted(seen, key=lambda k: (zlib.crc32(str(k).encode()), k))
     y = np.array([(q, t, q and t) for q, t in map(label.get, keys)], float).reshape(-1, len(CATEGORIES))
-    return fit_chain([np.frombuffer(seen[k], ">i4").astype(np.int32) for k in keys], y, CATEGORIES)
+    return fit_chain([seen.pop(k) for k in keys], y, CATEGORIES)
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
