@@ -48,7 +48,7 @@ class ByteBPE:
         return [head, *[" " + x for x in rest]] if head else [" " + x for x in rest]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(x, "<u4") for x in self.pieces.encode([self.cut(t) for t in texts])]
+        return [np.frombuffer(x, "<u4") for x in self.pieces.encode_texts(texts, self.cut)]
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))

@@ -189,6 +189,11 @@ def _tokenizer(path: str) -> Pieces:
     return _pieces[path]
 
 
+def _words(text: str) -> list[bytes]:
+    """A text cut at ASCII white space, which the vocabulary drops."""
+    return text.encode().split()
+
+
 def pack_documents(docs: DataFrame, path: str, end: int = 2, limits: Limits = Limits()) -> DataFrame:
     """Tokenize and pack texts; every token bears loss, so that the limits on tokens and on loss coincide.
 
@@ -208,7 +213,7 @@ def pack_documents(docs: DataFrame, path: str, end: int = 2, limits: Limits = Li
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
                 texts = [x or "" for x in part.column(1).to_pylist()]
-                for key, ids in zip(part.column(0).to_pylist(), pieces.encode_texts(texts), strict=True):
+                for key, ids in zip(part.column(0).to_pylist(), pieces.encode_texts(texts, _words), strict=True):
                     packer.add(key, ids + stop)
                 if packer.held >= WINDOW_TOKENS and (rows := [r[:-1] for r in packer.flush(False)]):
                     yield out(rows)
@@ -256,7 +261,7 @@ def pack_instructions(rows: DataFrame, path: str, keys: list[str], end: int = 2,
             types = [b.schema.field(k).type for k in range(n)]
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                prompt, response = (pieces.encode_texts([x or "" for x in part.column(n + k).to_pylist()]) for k in (0, 1))
+                prompt, response = (pieces.encode_texts([x or "" for x in part.column(n + k).to_pylist()], _words) for k in (0, 1))
                 for key, p, r in zip(zip(*(part.column(k).to_pylist() for k in range(n)), strict=True), prompt, response, strict=True):
                     packer.add((*key, len(p) // 4), p + r + stop, len(p) // 4)
                 if packer.held >= WINDOW_TOKENS:

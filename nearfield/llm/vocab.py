@@ -124,9 +124,9 @@ class Pieces:
         get = known.__getitem__
         return [b"".join(map(get, t)) for t in texts]
 
-    def encode_texts(self, texts: list[str]) -> list[bytes]:
-        """Per text the ids of all its words, for a pattern that matches no white space. A text of characters under U+0100
-        is split at once; others go by pieces between ASCII white space, which the tokenizer would pass over as well."""
+    def encode_texts(self, texts: list[str], cut) -> list[bytes]:
+        """Per text its ids. A text of characters under U+0100 is split by the pattern at once; others go by the pieces that
+        ``cut(text)`` gives, at places where the pattern always splits."""
         if len(self.words) > self.most:
             self.words.clear()
         words, other = [], []
@@ -142,6 +142,6 @@ class Pieces:
         get = self.words.__getitem__
         out = [b"".join(map(get, w)) for w in words]
         if other:
-            for i, ids in zip(other, self.encode([texts[i].encode().split() for i in other]), strict=True):
+            for i, ids in zip(other, self.encode([cut(texts[i]) for i in other]), strict=True):
                 out[i] = ids
         return out
