@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import logging
 import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 LEVELS = {"ALL": logging.NOTSET, "DEBUG": logging.DEBUG, "INFO": logging.INFO, "WARN": logging.WARNING, "ERROR": logging.ERROR}
 log = logging.getLogger("nearfield")
 _own: list[str] = []
+_tables: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,8 +46,24 @@ def _written(df: DataFrame, path: str) -> DataFrame:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again; the lineage ends there."""
-    return _written(df, fresh_path(df.sparkSession, tag))
+    """Write ``df`` to the shared folder and read it again; the lineage ends there. The table goes when the driver exits."""
+    path = fresh_path(df.sparkSession, tag)
+    if not _tables:
+        atexit.register(_drop_tables)
+    _tables.append(path)
+    return _written(df, path)
+
+
+def _drop(path: str) -> None:
+    jvm = SparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(SparkContext._active_spark_context._jsc.hadoopConfiguration() if SparkContext._active_spark_context else jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+
+
+def _drop_tables() -> None:
+    for path in _tables:
+        with contextlib.suppress(Exception):  # the session may be gone, and with it the way to the folder
+            _drop(path)
 
 
 class Scratch:
@@ -67,8 +86,7 @@ class Scratch:
         self.drop()
 
     def drop(self) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        _drop(self.path)
 
 
 def number_lines(lines: DataFrame, name: str) -> DataFrame:
