@@ -12,6 +12,10 @@ range, and sends back sums, which meet again pack by pack; ranges that are large
 documents, are split over several tasks. Ranges hold about RANGE_BYTES of text each and have a partition of their own,
 so tasks stay as they are while the input grows.
 
+A pack has a row for each range. So that their number grows with the input and not with its square, a pack is dealt out
+over FAN ranges at most. Where more are needed those are dealt out in turn: what packs have in one of them is put
+together into bundles, and each bundle is dealt out over the ranges within. Sums go back the same way.
+
 Keys are hashes of KEY_BITS more bits than the text's size has, 63 at most, so that about one key in a million shares its
 hash with another one up to 8 TB of text, and one in some hundred thousand at 100 TB.
 """
@@ -26,16 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.base import materialize, mix, utf8, word_hashes
+from nearfield.llm.base import Scratch, materialize, mix, utf8, word_hashes
 
 #: Added count; bytes of text that are packed together and documents at most; bytes of text for a range of keys; keys of documents that one task meets.
 ADDED, TOGETHER, MOST_DOCS, RANGE_BYTES, MEET = 0.05, 5 << 20, 50_000, 8 << 20, 8 << 20
 #: Target documents whose ids are sent to all tasks; beyond, documents are joined with them.
 BROADCAST_IDS = 4 << 20
 KEY_BITS = 19
-#: Ranges at most: with more, the keys that some thousand documents have in one range would be too few to pack. Beyond
-#: MOST_RANGES * RANGE_BYTES of text the ranges grow, and with them what a task holds.
-MOST_RANGES = 32_768
+#: Ranges that a pack or a bundle is dealt out over, bytes of a bundle, and tasks of a stage at most.
+FAN, BUNDLE_BYTES, MOST_TASKS = 4096, 16 << 20, 50_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _START, _END = np.uint64(0x51A7), np.uint64(0xE0D)
 _NONE = np.iinfo(np.int64).min  # stands for a null doc_id
@@ -108,8 +111,12 @@ def _packs(batches: Iterator[pa.RecordBatch], marked, bits: int) -> Iterator[tup
 
 
 def _ranges(key: np.ndarray, n: int, bits: int) -> Iterator[tuple[int, int, int]]:
-    edge = np.searchsorted(key, np.array([(i << bits) // n for i in range(n + 1)], np.uint64))
-    yield from ((i, int(a), int(b)) for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a)
+    """Those of ``n`` ranges that have any of the sorted keys, and the places of their first and last-but-one key."""
+    if len(key):
+        first, last = ((int(k) * n >> bits) for k in (key[0], key[-1]))
+        first, last = max(0, first - 1), min(n, last + 2)
+        edge = np.searchsorted(key, np.array([(i << bits) // n for i in range(first, last + 1)], np.uint64))
+        yield from ((i, int(a), int(b)) for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True), first) if b > a)
 
 
 def _firsts(x: np.ndarray) -> np.ndarray:
@@ -147,16 +154,20 @@ def _summed(key, group):
 _DEALT = "part int, keys binary, docs binary, doc binary, count binary, ids binary, marks binary, pack long"
 
 
+def _dealt(key: np.ndarray, doc: np.ndarray, count: np.ndarray, marks: np.ndarray, n: int, bits: int, pack: int) -> Iterator[tuple]:
+    """Rows of a pack's or bundle's postings, which are in order of key: one for each of ``n`` ranges."""
+    for r, a, b in _ranges(key, n, bits):
+        at = _firsts(key[a:b])
+        some, short = np.unique(doc[a:b], return_inverse=True)
+        yield (r, planes(np.diff(key[a:b][at], prepend=np.uint64(0))), planes(np.diff(np.append(at, b - a))), planes(short), planes(count[a:b]), planes(some), np.packbits(marks[some]).tobytes(), pack)
+
+
 def _dealing(n: int, bits: int, shared):
     def run(batches):
         # Packs are numbered by the task, whose rows come in one order: those of files, or of a table written for this.
         pack = TaskContext.get().partitionId() << 32
         for ids, marks, tokens, key, doc, count in _packs(batches, shared and shared.value, bits):
-            rows = [(-1 - pack % n, b"", b"", b"", planes(tokens), ids.tobytes(), b"", pack)]
-            for r, a, b in _ranges(key, n, bits):
-                at = _firsts(key[a:b])
-                some, short = np.unique(doc[a:b], return_inverse=True)
-                rows.append((r, planes(np.diff(key[a:b][at], prepend=np.uint64(0))), planes(np.diff(np.append(at, b - a))), planes(short), planes(count[a:b]), planes(some), np.packbits(marks[some]).tobytes(), pack))
+            rows = [(-1 - pack % n, b"", b"", b"", planes(tokens), ids.tobytes(), b"", pack), *_dealt(key, doc, count, marks, n, bits, pack)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 6, pa.int64()], strict=True)], names=["part", "keys", "docs", "doc", "count", "ids", "marks", "pack"])
             pack += 1
 
@@ -195,20 +206,104 @@ def _losses(vocabulary: int):
     return run
 
 
-def _joined(key, group):
-    """A pack's documents, their tokens and their losses a token: as much as the pack's own keys at most."""
-    ids = tokens = None
-    rows = []
+def _runs_of(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[tuple]]:
+    """Rows of whole columns, in runs of one ``part`` and of BUNDLE_BYTES; those under 0, which stand alone, one by one."""
+    held, part, size = [], None, 0
+    for b in batches:
+        for row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in names), strict=True):
+            if held and (row[0] != part or size >= BUNDLE_BYTES or part < 0):
+                yield held
+                held, size = [], 0
+            held.append(row)
+            part = row[0]
+            size += sum(len(x) for x in row if isinstance(x, bytes))
+    if held:
+        yield held
+
+
+def _keys(packed: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(packed), dtype=np.uint64)
+
+
+_COUNTED = "part int, keys binary, total binary, mine binary, docs binary"
+
+
+def _counting_again(n: int, bits: int):
+    """Counts of a wide range, of many packs together, to those of the ``n`` narrow ones."""
+
+    def run(batches):
+        for rows in _runs_of(batches, ["part", "keys", "total", "mine", "docs"]):
+            key, *counts = (np.concatenate([f(r[c]) for r in rows]) for c, f in ((1, _keys), (2, unplanes), (3, unplanes), (4, unplanes)))
+            order = np.argsort(key, kind="stable")
+            at = _firsts(key[order])
+            key, counts = key[order][at], [np.add.reduceat(c[order], at) for c in counts]
+            out = [(r, planes(np.diff(key[a:b], prepend=np.uint64(0))), *(planes(c[a:b]) for c in counts)) for r, a, b in _ranges(key, n, bits)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], names=["part", "keys", "total", "mine", "docs"])
+
+    return run
+
+
+def _bundling(n: int, bits: int):
+    """What packs have in a wide range, put together into bundles (numbered under 0), to the ``n`` narrow ranges.
+
+    A bundle's own row has in ``ids`` its packs and how many documents each has, in ``count`` their places in the packs.
+    """
+    names = ["part", "keys", "docs", "doc", "count", "ids", "marks", "pack"]
+
+    def run(batches):
+        bundle = -1 - (TaskContext.get().partitionId() << 32)
+        for rows in _runs_of(batches, names):
+            if rows[0][0] < 0:
+                out = rows
+            else:
+                places = [unplanes(r[5]) for r in rows]
+                size = np.array([len(p) for p in places], np.int64)
+                marks = np.concatenate([np.unpackbits(np.frombuffer(r[6], np.uint8), count=k) for r, k in zip(rows, size.tolist(), strict=True)])
+                key = np.concatenate([np.repeat(_keys(r[1]), unplanes(r[2]).astype(np.int64)) for r in rows])
+                doc = np.concatenate([unplanes(r[3]).astype(np.int64) + k for r, k in zip(rows, (np.cumsum(size) - size).tolist(), strict=True)])
+                count = np.concatenate([unplanes(r[4]) for r in rows])
+                order = np.argsort(key, kind="stable")
+                key, doc, count = key[order], doc[order], count[order]
+                own = np.array([len(rows), *[r[7] for r in rows], *size], np.int64)
+                out = [(-1 - (-bundle) % n, b"", b"", b"", planes(np.concatenate(places)), own.tobytes(), b"", bundle), *_dealt(key, doc, count, marks, n, bits, bundle)]
+                bundle -= 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), *[pa.binary()] * 6, pa.int64()], strict=True)], names=names)
+
+    return run
+
+
+def _unbundled(key, group):
+    """A bundle's sums to those of its packs; a pack's own row stays."""
+    bundle = key[0].as_py()
+    if bundle >= 0:
+        return group.select(["pack", "ids", "t", "b"])
+    own, t, b = _summed_places(group)
+    n = int(own[0][0])
+    packs, size = own[0][1 : n + 1], own[0][n + 1 :]
+    end = np.cumsum(size)
+    out = [(p, planes(own[1][e - k : e]), signed_planes(t[e - k : e]), signed_planes(b[e - k : e])) for p, k, e in zip(packs.tolist(), size.tolist(), end.tolist(), strict=True)]
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), *[pa.binary()] * 3], strict=True)], names=["pack", "ids", "t", "b"])
+
+
+def _summed_places(group) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """Of a pack or bundle its own row, and the sums of each of its documents."""
+    own, rows = None, []
     for x, t, b in zip(*(group[c].to_pylist() for c in ("ids", "t", "b")), strict=True):
         if b is None:
-            ids, tokens = np.frombuffer(x, np.int64), unplanes(t).astype(np.int64)
+            own = np.frombuffer(x, np.int64), unplanes(t).astype(np.int64)
         else:
             rows.append((unplanes(x).astype(np.int64), signed_unplanes(t), signed_unplanes(b)))
-    out = np.zeros((2, len(ids)), np.int64)
+    out = np.zeros((2, len(own[1])), np.int64)
     for at, t, b in rows:
         out[0, at] += t
         out[1, at] += b
-    loss = np.round(out / 1e9 / tokens, 9)
+    return own, out[0], out[1]
+
+
+def _joined(key, group):
+    """A pack's documents, their tokens and their losses a token: as much as the pack's own keys at most."""
+    (ids, tokens), t, b = _summed_places(group)
+    loss = np.round(np.stack([t, b]) / 1e9 / tokens, 9)
     return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=ids == _NONE), "n_tokens": tokens, "target_loss": loss[0], "background_loss": loss[1], "score": np.round(loss[0] - loss[1], 9)})
 
 
@@ -221,6 +316,11 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     the rest. Without target documents the score is the background's loss against a uniform model. Other columns are
     left out; an empty table gives no rows.
     """
+    with Scratch(docs.sparkSession, "lm") as s:
+        return materialize(_scored(docs, target, s), "scores")
+
+
+def _scored(docs: DataFrame, target: DataFrame, s: Scratch) -> DataFrame:
     spark = docs.sparkSession
     ids = target.where("doc_id IS NOT NULL").select("doc_id").distinct()
     shared = None
@@ -229,25 +329,39 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
         rows = docs.select("doc_id", "text", F.lit(False).alias("marked"))
     else:
         marked = ids.withColumn("m", F.lit(True)).hint("shuffle_hash")
-        rows = materialize(docs.select("doc_id", "text").join(marked, "doc_id", "left").select("doc_id", "text", F.coalesce("m", F.lit(False)).alias("marked")), "marked")
+        rows = s.write(docs.select("doc_id", "text").join(marked, "doc_id", "left").select("doc_id", "text", F.coalesce("m", F.lit(False)).alias("marked")), "marked")
     whole = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    n = int(min(MOST_RANGES, max(8, -(-whole // RANGE_BYTES))))
+    n = max(8, -(-whole // RANGE_BYTES))
+    narrow = -(-n // FAN)  # ranges within each of those that packs are dealt out over
+    wide = -(-n // narrow)
+    n = wide * narrow
     bits = min(63, max(32, whole.bit_length()) + KEY_BITS)
-    tasks = max(2 * n, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    counted = rows.mapInArrow(_counting(n, bits, shared), "part int, keys binary, total binary, mine binary, docs binary").repartition(tasks, "part")
-    model = counted.groupBy("part").applyInArrow(_summed, "part int, keys binary, total binary, mine binary, words long, postings long")
-    model = materialize(model, "ngrams")
+    tasks = min(MOST_TASKS, max(2 * n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    salts = F.lit(max(1, narrow * RANGE_BYTES // BUNDLE_BYTES))
+    counted = rows.mapInArrow(_counting(wide, bits, shared), _COUNTED)
+    if narrow > 1:
+        counted = counted.repartition(tasks, "part", F.pmod(F.xxhash64("keys"), salts)).sortWithinPartitions("part").mapInArrow(_counting_again(n, bits), _COUNTED)
+    model = counted.repartition(tasks, "part").groupBy("part").applyInArrow(_summed, "part int, keys binary, total binary, mine binary, words long, postings long")
+    model = s.write(model, "ngrams")
     vocabulary = (model.agg(F.sum("words").alias("w")).first()["w"] or 0) + 1
     # Shares of a range: one, but for ranges with a key of very many documents.
     shares = F.ceil(F.col("postings") / MEET).cast("int")
     split = model.where(F.col("postings") > MEET).select("part", shares.alias("shares"))
-    dealt = rows.mapInArrow(_dealing(n, bits, shared), _DEALT)
-    if split.isEmpty():
+    dealt = rows.mapInArrow(_dealing(wide, bits, shared), _DEALT)
+    if narrow > 1:  # in order of pack, so that a task that is run again makes the same bundles
+        dealt = dealt.repartition(tasks, "part", F.pmod(F.xxhash64("pack"), salts)).sortWithinPartitions("part", "pack").mapInArrow(_bundling(n, bits), _DEALT)
+    hot = split.limit(BROADCAST_IDS + 1).count()
+    if not hot:
         dealt, entries = dealt.withColumn("share", F.lit(0)), model.withColumn("share", F.lit(0))
     else:
-        dealt = dealt.join(F.broadcast(split), "part", "left").withColumn("share", F.coalesce(F.pmod(F.xxhash64("pack"), F.col("shares")).cast("int"), F.lit(0)))
+        dealt = dealt.join(F.broadcast(split) if hot <= BROADCAST_IDS else split, "part", "left").withColumn("share", F.coalesce(F.pmod(F.xxhash64("pack"), F.col("shares")).cast("int"), F.lit(0)))
         entries = model.withColumn("share", F.explode(F.sequence(F.lit(0), F.greatest(shares, F.lit(1)) - 1)))
     keys = ["part", "share"]
     entries = entries.select(*keys, "keys", "total", "mine").repartition(tasks, *keys)
-    met = dealt.repartition(tasks, *keys).groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInArrow(_losses(vocabulary), "pack long, ids binary, t binary, b binary")
+    met = dealt.repartition(tasks, *keys).groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInArrow(_losses(vocabulary), _MET)
+    if narrow > 1:
+        met = met.repartition(tasks, "pack").groupBy("pack").applyInArrow(_unbundled, _MET)
     return met.repartition(tasks, "pack").groupBy("pack").applyInArrow(_joined, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+
+
+_MET = "pack long, ids binary, t binary, b binary"
