@@ -380,8 +380,8 @@ def _confirm(docs: DataFrame, classes: DataFrame, candidates: DataFrame, words:
     cluster = components(candidates, s).withColumnRenamed("v", "c").join(classes.drop("tokens"), "c")
     cluster = s.write(cluster, "clusters")
     size = cluster.groupBy("component").agg(((F.count(F.lit(1)) > CLUSTER) | (F.sum("n") > CLUSTER_SHINGLES)).alias("large"))
-    member = cluster.join(size, "component").select(F.col("v").alias("doc_id"), "component", "c", "large", "d1", "d2")
-    text = docs.select("doc_id", "text").join(_sent(s.write(member, "members")), "doc_id")
+    member = s.write(cluster.join(size, "component").select(F.col("v").alias("doc_id"), "component", "c", "large", "d1", "d2"), "members")
+    text = docs.select("doc_id", "text").join(_sent(member), "doc_id")
 
     def make():
         def run(b: pa.RecordBatch):

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.base import materialize
+from nearfield.llm.base import Scratch, materialize
 
 #: Candidates that are scored at once, and bytes of queries that are sent to the executors at a time.
 BLOCK, QUERY_BYTES = 8192, 16 << 20
@@ -76,19 +76,28 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
     q = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("w")).first()
     width = max(q["w"] or 0, 1)
     batches = max(1, -(-(q["n"] or 0) * width * 8 // QUERY_BYTES))
-    found = []
-    for b in range(batches):
-        mine = queries.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == b) if batches > 1 else queries
-        rows = mine.distinct().toArrow().combine_chunks()  # QUERY_BYTES, give or take a hash's unevenness
-        if not rows.num_rows:
-            continue
-        shared = spark.sparkContext.broadcast((rows["key"].to_numpy(), _matrix(rows["v"].chunk(0), width)))
-        part = candidates.mapInArrow(_scorer(shared, width, k), "query_id long, vec_id long, score long")
-        found.append(materialize(part, "topk") if batches > 1 else part)
-    if not found:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    every = found[0]
-    for part in found[1:]:
+    if batches == 1:
+        return _ranked([_of_batch(queries, candidates, width, k)], k)
+    with Scratch(spark, "topk") as s:  # QUERY_BYTES a batch, give or take a hash's unevenness
+        mine = (queries.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == b) for b in range(batches))
+        return materialize(_ranked([s.write(_of_batch(m, candidates, width, k), "batch") for m in mine], k), "topk")
+
+
+def _of_batch(queries: DataFrame, candidates: DataFrame, width: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the best of each task. It sends k rows a query and task to the ranking."""
+    rows = queries.distinct().toArrow().combine_chunks()
+    if not rows.num_rows:
+        return candidates.sparkSession.createDataFrame([], _SCORES)
+    shared = candidates.sparkSession.sparkContext.broadcast((rows["key"].to_numpy(), _matrix(rows["v"].chunk(0), width)))
+    return candidates.mapInArrow(_scorer(shared, width, k), _SCORES)
+
+
+_SCORES = "query_id long, vec_id long, score long"
+
+
+def _ranked(parts: list[DataFrame], k: int) -> DataFrame:
+    every, *more = parts
+    for part in more:
         every = every.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return every.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
