@@ -24,8 +24,9 @@ DOCS_PER_LANGUAGE, BYTES_PER_LANGUAGE = 96, 1 << 16
 PARTS = 256
 #: Symbols of a segment; the segments of all texts are parsed side by side and then joined.
 SEGMENT = 512
-#: Phrases that tell nothing of a text's language: the first, which starts at any place, and the last, which the end cuts.
-EDGES = 2
+#: Phrases that tell nothing of a text's language: the first, which starts at any place, the last, which the end cuts, and
+#: those at either end of one stretch in no language, such as a key or an address.
+EDGES = 4
 _FLAG, _STATE = np.uint32(1 << 31), np.uint32((1 << 31) - 1)
 
 

@@ -338,6 +338,25 @@ def test_many_hosts_and_names(spark, monkeypatch):
     assert t.size() < 150 and html.extract("<div id=new>New</div><p>Text</p><div>Shared</div>", t) == "New\nText"
 
 
+@pytest.mark.parametrize("box", ["<div id='c'>{0}</div>", "<article>{0}</article>"])
+def test_comments_longer_than_the_text_go(box):
+    page = "<body><div class=a>Site</div>" + box.format("<h1>Title {0}</h1><p>Short text {0}</p><section class='user-comments-list'><p>" + "Many words of a reader {0}. " * 30 + "</p></section>") + "</body>"
+    pages = [page.format(i) for i in range(5)]
+    assert html.extract(pages[1], template(pages)) == "Title 1\nShort text 1"
+
+
+def test_pages_of_other_layouts_keep_their_text():
+    """A page is judged by what it has: without the host's usual article, or with little text of its own."""
+    usual = "<body><div class=a>Site</div><article><p>Long text of the page {0} that goes on and on.</p></article><div class=z>Notes {0}</div></body>"
+    other = "<body><div class=a>Site</div><div class=post><p>Another text {0}, of some length.</p></div><nav>x</nav></body>"
+    short = "<body><div class=a>Site</div><div class=contact>Call us {0}</div></body>"
+    pages = [(usual if i % 4 else other).format(i) for i in range(20)] + [short.format(99)]
+    t = template(pages)
+    assert html.extract(pages[1], t) == "Long text of the page 1 that goes on and on."
+    assert html.extract(pages[4], t) == "Another text 4, of some length."
+    assert html.extract(pages[20], t) == "Call us 99"
+
+
 def test_templates_joined_by_host_are_the_same(spark, monkeypatch):
     df = table(spark, SF, "pages")
     want = {tuple(r) for r in html.main_text(df).collect()}
@@ -384,3 +403,30 @@ def test_pipeline_stages(spark):
     pieces = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in kept.collect()}
     assert len(packing.pack([], packing.Limits())[0]) == 0
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in any column, ties, repeated rows, empty and long texts, clashing columns; and empty tables."""
+    docs = table(spark, SF, "documents").limit(120)
+    extra = [(None, "A text that has no number of its own", "en", None, None), (900, None, None, None, None), (901, "", "en", "x", 0), (902, "12 %%", None, None, 1), (None, None, None, None, None)]
+    one = docs.orderBy("doc_id").first()
+    extra += [(one["doc_id"], one["text"], one["lang"], one["source"], one["n_chars"])] * 3 + [(903, "the and of to in " * 20000, "en", "y", 5)]
+    odd = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    for c in ("toxic", "kept", "length", "node", "component_id", "lang_pred"):
+        odd = odd.withColumn(c, F.lit(None).cast("string"))
+    labels = table(spark, SF, "labels")
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.unionByName(spark.createDataFrame([(None, 1, 1), (5, None, 0), (6, 1, None)], labels.schema)).write.parquet(str(tmp_path / "labels.parquet"))
+    kept = table(spark, str(tmp_path), "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == odd.columns
+    rows = kept.collect()
+    ids = [r["doc_id"] for r in rows if r["doc_id"] is not None]
+    assert len(ids) == len(set(ids)) and not {900, 901, 902} & set(ids) and sum(r["doc_id"] is None for r in rows) == 1
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in rows}
+    for t in ("documents", "labels"):
+        (empty := tmp_path / "none" / t).parent.mkdir(exist_ok=True)
+        table(spark, str(tmp_path), t).limit(0).write.parquet(f"{empty}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
