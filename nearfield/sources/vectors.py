@@ -26,10 +26,11 @@ def densify(pairs: Column | str, dim: int) -> Column:
     """Pairs to an array of ``dim`` floats: absent components are 0, the last of repeated ones counts, one outside raises."""
     pairs = F.col(pairs) if isinstance(pairs, str) else pairs
     wrong = F.exists(pairs, lambda p: (p["idx"] < 0) | (p["idx"] >= dim))
-    # From the back, so that the last of repeated components is found first.
+    # From the back, so that the last of repeated components is found first; bound by a lambda, so that it is made once.
     back = F.reverse(pairs)
-    keys, values = F.transform(back, lambda p: p["idx"]), F.transform(back, lambda p: p["val"])
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(values, F.nullif(F.array_position(keys, i), F.lit(0)).cast("int")), F.lit(0.0).cast("float")))
+    bound = F.array(F.struct(F.transform(back, lambda p: p["idx"]).alias("k"), F.transform(back, lambda p: p["val"]).alias("v")))
+    each = F.sequence(F.lit(0), F.lit(dim - 1))
+    dense = F.transform(bound, lambda p: F.transform(each, lambda i: F.coalesce(F.try_element_at(p["v"], F.nullif(F.array_position(p["k"], i), F.lit(0)).cast("int")), F.lit(0.0).cast("float"))))[0]
     return F.when(wrong, F.raise_error(F.lit(f"component outside 0 to {dim - 1}")).cast("array<float>")).otherwise(dense)
 
 

@@ -16,7 +16,9 @@ def test_distances(spark, metric, a, b, want):
     df = spark.createDataFrame([(a, b)], "a array<double>, b array<double>")
     assert df.select(distance.distance(metric, "a", "b")).first()[0] == pytest.approx(want)
     assert distance.to_rows(metric, np.array(a), np.array([b]))[0] == pytest.approx(want)
-    assert distance.between(metric, np.array([a]), np.array([b]))[0, 0] == pytest.approx(want)
+    about, off = distance.between(metric, np.array([a]), np.array([b]))
+    assert distance.pairwise(metric, np.array([a]), np.array([b]))[0] == pytest.approx(want)
+    assert abs(about[0, 0] - want) <= off[0] + 1e-12
 
 
 def test_hamming_and_metric_names(spark):
@@ -87,7 +89,8 @@ def test_result_lines(spark):
 
 
 def test_solvers_invert_each_other(spark):
-    m = spark.range(1).select(bloom.m_from_knp(5, 1000, 0.01).alias("m")).first()["m"]
-    r = spark.range(1).select(bloom.p_from_kmn(5, m, 1000).alias("p"), bloom.n_from_kmp(5, m, 0.01).alias("n")).first()
-    assert r["p"] == pytest.approx(0.01, rel=0.01) and abs(r["n"] - 1000) <= 1
-    assert F is not None
+    one, keys, rate, five = spark.range(1), F.lit(1000.0), F.lit(0.01), F.lit(5.0)
+    bits = bloom.bits_needed(keys, rate, five)
+    r = one.select(bits.alias("bits"), bloom.error_rate(keys, bits, five).alias("p"), bloom.room(bits, rate, five).alias("n"), bloom.bits_needed(keys, rate).alias("least")).first()
+    assert r["p"] == pytest.approx(0.01, rel=0.01) and abs(r["n"] - 1000) <= 1 and r["least"] == 9586
+    assert one.select(bloom.best_hashes(keys, F.lit(r["least"]))).first()[0] == 7
