@@ -223,7 +223,7 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Chain:
-    """Fit on SAMPLE labelled documents at most; rows with null labels, ids or texts take no part."""
+    """Fit on SAMPLE labelled documents at most; rows with null labels or ids take no part, null texts are empty."""
     picked = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").select("doc_id", "quality", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(SAMPLE)
     )
@@ -235,14 +235,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
 
         def run(b: pa.RecordBatch):
             b = b.filter(pa.compute.is_in(b.column(0), value_set=wanted))
-            b = b.filter(pa.compute.is_valid(b.column(1)))
             if b.num_rows:
-                words = [hashed_words(t).astype(">i4").tobytes() for t in b.column(1).to_pylist()]
+                words = [hashed_words(t or "").astype(">i4").tobytes() for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.binary())], names=["doc_id", "words"])
 
         return run
 
-    # Of rows of one doc_id the one of the least features, so that SAMPLE rows come back at most.
+    # Of rows of one doc_id the one whose features sort first, so that SAMPLE rows come back at most.
     found = map_batches(docs.select("doc_id", "text"), make, "doc_id long, words binary").groupBy("doc_id").agg(F.min("words").alias("words"))
     seen = {r["doc_id"]: np.frombuffer(r["words"], ">i4").astype(np.int32) for r in found.toLocalIterator()}
     keys = sorted(seen, key=lambda k: (zlib.crc32(str(k).encode()), k))
