@@ -86,10 +86,12 @@ class Model:
         nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         start = np.repeat(np.cumsum(n) - n, parts) + nth * SEGMENT
         size = np.minimum(SEGMENT, np.repeat(n, parts) - nth * SEGMENT)
+        segments = Segments.of(sym, start, size, nth)
         out = np.zeros((len(texts), len(self.languages)))
+        first = (np.cumsum(n) - n)[n > 0]
         for k, table in enumerate(self.tables):
-            ended = _path(table, sym, start, size, nth) >> np.uint32(31)
-            out[:, k] = np.bincount(text_of, weights=ended, minlength=len(texts)) + (n > 0)
+            if len(first):
+                out[n > 0, k] = 1 + np.add.reduceat(segments.path(table) >> np.uint32(31), first)
         return out, n
 
     def strange(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,45 +130,64 @@ class Model:
         return [(self.languages[b], float(s)) if w and k else ("und", 0.0) for w, k, b, s in zip(whole, known.tolist(), best.tolist(), score.tolist(), strict=True)]
 
 
-def _path(table: np.ndarray, sym: np.ndarray, start: np.ndarray, size: np.ndarray, nth: np.ndarray) -> np.ndarray:
-    """The table's entry at each symbol of whole texts, cut into segments of which the first of a text has ``nth`` 0.
-
-    All segments are parsed at once as if each began a text. Then each goes on from where the one before it ended, until it
-    comes to a state that it had before: from there on it would stay as it is. Segments after one whose end has
-    changed follow, until no end changes.
-    """
-    path = np.zeros(len(sym), np.uint32)
-    order = np.argsort(-size, kind="stable")
-    active = np.searchsorted(-size[order], -np.arange(SEGMENT), "left")  # segments with a symbol at each place
-    first, state = start[order], np.zeros(len(start), np.uint32)
-    for j in range(SEGMENT):
-        m = int(active[j])
-        if not m:
-            break
-        at = state[:m]
-        np.add(at, sym[first[:m] + j], out=at)
-        np.take(table, at, out=at)
-        path[first[:m] + j] = at
-        np.bitwise_and(at, _STATE, out=at)
-    todo = np.flatnonzero(nth)
-    while len(todo):
-        seg, place, end, changed = todo, start[todo], start[todo] + size[todo], []
-        state = path[place - 1] & _STATE
-        while len(seg):
-            new = table[state + sym[place]]
-            old = path[place]
-            path[place] = new
-            state = new & _STATE
-            place += 1
-            other = state != (old & _STATE)
-            done = other & (place == end)
-            changed.append(seg[done])
-            on = other & ~done
-            seg, place, end, state = seg[on], place[on], end[on], state[on]
-        after = np.concatenate([*changed, np.zeros(0, np.int64)]) + 1
-        after = np.sort(after[after < len(nth)])
-        todo = after[nth[after] > 0]
-    return path
+@dataclass
+class Segments:
+    """Whole texts, one after the other, cut into segments; the first of a text has ``nth`` 0. The symbols are there in order
+    (``sym``) and by place in a segment, longer segments first (``across``): ``at`` is where each symbol stands in that."""
+
+    sym: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    nth: np.ndarray
+    active: np.ndarray  # segments with a symbol at each place
+    at: np.ndarray
+    across: np.ndarray
+
+    @classmethod
+    def of(cls, sym: np.ndarray, start: np.ndarray, size: np.ndarray, nth: np.ndarray) -> Segments:
+        order = np.argsort(-size, kind="stable")
+        active = np.searchsorted(-size[order], -np.arange(SEGMENT), "left")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        place = np.arange(len(sym)) - np.repeat(start, size)
+        at = (np.cumsum(active) - active)[place] + np.repeat(rank, size)
+        across = np.empty_like(sym)
+        across[at] = sym
+        return cls(sym, start, size, nth, active, at, across)
+
+    def path(self, table: np.ndarray) -> np.ndarray:
+        """The table's entry at each symbol.
+
+        All segments are parsed at once as if each began a text. Then each goes on from where the one before it ended,
+        until it comes to a state that it had before: from there on it would stay as it is. Segments after one whose end
+        has changed follow, until no end changes.
+        """
+        met, state, upto = np.empty(len(self.sym), np.uint32), np.zeros(len(self.start), np.uint32), 0
+        for m in self.active.tolist():
+            at, own = state[:m], met[upto : upto + m]
+            np.add(at, self.across[upto : upto + m], out=at)
+            np.take(table, at, out=own)
+            np.bitwise_and(own, _STATE, out=at)
+            upto += m
+        path, todo = met[self.at], np.flatnonzero(self.nth)
+        while len(todo):
+            seg, place, end, changed = todo, self.start[todo], self.start[todo] + self.size[todo], []
+            state = path[place - 1] & _STATE
+            while len(seg):
+                new = table[state + self.sym[place]]
+                old = path[place]
+                path[place] = new
+                state = new & _STATE
+                place += 1
+                other = state != (old & _STATE)
+                done = other & (place == end)
+                changed.append(seg[done])
+                on = other & ~done
+                seg, place, end, state = seg[on], place[on], end[on], state[on]
+            after = np.concatenate([*changed, np.zeros(0, np.int64)]) + 1
+            after = np.sort(after[after < len(self.nth)])
+            todo = after[self.nth[after] > 0]
+        return path
 
 
 def build(samples: dict[str, list[str]]) -> Model:
