@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import bpe, html, langid, lmscore, media, neardup, packing, sharding, topk, toxicity
+from nearfield.llm import ballkmeans, bpe, html, langid, lmscore, media, merkle, metricjoin, neardup, packing, sharding, topk, toxicity
 from nearfield.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,3 +109,98 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(table(spark, sf_dir, "documents"))
+
+
+_FIELDS = "doc_id::VARCHAR source lang n_chars::VARCHAR".split()
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({c})::VARCHAR || ':' || {c}, '-')" for c in [*_FIELDS, text]) + ")"
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """``name`` (g, level, pos, n, node) of ``leaves`` (g, pos, n, node), and ``name_sides`` with what stands left and right of each node in its run."""
+    run = "PARTITION BY g, level, pos // 8 ORDER BY pos"
+    return f"""{name} AS (
+  SELECT g, 0 AS level, pos, n, node FROM {leaves} UNION ALL
+  SELECT g, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(node, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY g, level, pos // 8, n),
+{name}_sides AS (SELECT g, level, pos, coalesce(string_agg(node, '') OVER ({run} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(node, '') OVER ({run} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name} WHERE n > 1)"""
+
+
+_LOWER = f"translate(text, '{merkle.UPPER}', '{merkle.LOWER}')"
+ORACLE_SQL["op11_merkle_manifest"] = f"""
+WITH RECURSIVE crcs AS (
+  SELECT *, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda h: ('0x' || h)::BIGINT)),
+    lambda a, b: xor(a >> 8, list_extract({_crc_table()}, 1 + (xor(a, b) & 255))::BIGINT)), 4294967295::BIGINT) AS crc FROM documents),
+leaves AS (
+  SELECT coalesce('+' || lang, '') AS g, doc_id, {_leaf_sql("text")} AS node, CASE WHEN crc % 3 = 0 THEN {_leaf_sql(_LOWER)} ELSE {_leaf_sql("text")} END AS offered FROM crcs),
+own AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, node) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+{_tree_sql("low", "own")},
+subroots AS (SELECT g, node FROM low WHERE n = 1),
+tops AS (SELECT '' AS g, g AS of, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, count(*) OVER () AS n, node FROM subroots),
+{_tree_sql("high", "tops")},
+root AS (SELECT node AS root FROM high WHERE n = 1),
+base AS (SELECT o.g, o.pos, o.doc_id, o.node AS leaf, o.offered, t.node AS subroot, t.pos AS top_at FROM own o JOIN tops t ON t.of = o.g),
+proofs AS (
+  SELECT b.g, b.pos, s.level, s.l, s.r FROM base b JOIN low_sides s ON s.g = b.g AND s.pos = b.pos // (8::BIGINT ** s.level)::BIGINT UNION ALL
+  SELECT b.g, b.pos, 100 + s.level, s.l, s.r FROM base b JOIN high_sides s ON s.pos = b.top_at // (8::BIGINT ** s.level)::BIGINT),
+steps AS (SELECT *, row_number() OVER (PARTITION BY g, pos ORDER BY level) AS i FROM proofs),
+fold AS (
+  SELECT g, pos, 0::BIGINT AS i, offered AS h FROM base UNION ALL
+  SELECT f.g, f.pos, s.i, sha256(s.l || f.h || s.r) FROM fold f JOIN steps s ON s.g = f.g AND s.pos = f.pos AND s.i = f.i + 1),
+folded AS (SELECT g, pos, arg_max(h, i) AS folded_root FROM fold GROUP BY g, pos),
+whole AS (SELECT g, pos, sha256(string_agg(l || r, '' ORDER BY i)) AS proof_sha256 FROM steps GROUP BY g, pos)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM base JOIN folded USING (g, pos) LEFT JOIN whole USING (g, pos), root"""
+
+
+@query
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ballkmeans.clusters(ballkmeans.integer_vectors(table(spark, sf_dir, "embeddings")))
+
+
+def _rounds_sql(k: int, rounds: int) -> str:
+    gap = "list_sum(list_transform(list_zip(r.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    out = f"""rows AS (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM rows QUALIFY c < {k})"""
+    for i in range(rounds + 1):
+        out += f""",
+a{i} AS (SELECT id, vec_id, c, d FROM (SELECT r.id, r.vec_id, c.c, {gap} AS d FROM rows r, c{i} c) QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, c) = 1)"""
+        if i < rounds:
+            out += f""",
+s{i} AS (SELECT c, pos, sum(x) AS s, count(*) AS n FROM (SELECT a.c, unnest(r.v) AS x, generate_subscripts(r.v, 1) AS pos FROM a{i} a JOIN rows r USING (id)) GROUP BY ALL),
+c{i + 1} AS (SELECT c, coalesce(m.v, o.v) AS v FROM c{i} o LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY pos) AS v FROM s{i} GROUP BY c) m USING (c))"""
+    return out
+
+
+ORACLE_SQL["op12_ball_kmeans"] = f"""
+WITH {_rounds_sql(16, 3)}
+SELECT vec_id, c::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(v, lambda x: x::VARCHAR), ',')) AS centroid_sha256
+FROM a3 JOIN c3 USING (c)"""
+
+
+@query
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metricjoin.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL["op13_embedding_near_dedup"] = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) >= 0.98),
+reached AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN least USING (vec_id)"""
