@@ -2,8 +2,11 @@
 
 A text is parsed, from the left, into the longest phrases that occur in a language's training text; the fewer phrases
 a text needs for its length, the nearer the language. Phrases of a language weigh log2 of its training length, the
-bits that point to a place in it. A text that the best language's phrases make longer than its symbols written one by
-one is in no language that was learned.
+bits that point to a place in it. Every text with a letter has a best language; where that language's phrases make the
+text longer than its symbols written one by one, it is in no language that was learned, and its score is 0.
+
+An automaton's transitions lie in one array: those of a state at its own offset plus the symbol, in places that others
+leave free. A language takes some megabytes, however many symbols all of them have.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.base import map_batches
 
-#: Distinct texts that a language is learned from at most, those of the least hash, and the bytes of all of them together.
+#: Distinct texts that a language is learned from at most, those of the least hash, and the bytes of all of them together
+#: (one text that is longer alone is learned whole if there is no other).
 DOCS_PER_LANGUAGE, BYTES_PER_LANGUAGE = 96, 1 << 16
 #: Parts in which the texts of a language are ranked before the best of all are.
 PARTS = 256
@@ -28,6 +32,7 @@ SEGMENT = 512
 #: those at either end of one stretch in no language, such as a key or an address.
 EDGES = 4
 _FLAG, _STATE = np.uint32(1 << 31), np.uint32((1 << 31) - 1)
+_WORD = np.uint64(32)
 
 
 def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
@@ -64,14 +69,98 @@ def _letters(text: str) -> bytes:
     return text.lower().encode()
 
 
+@dataclass
+class Automaton:
+    """Transitions of one language. ``slots`` has at state + symbol the state, plus one, whose place it is, and where it goes;
+    symbols that a state has no transition for start a phrase, whose first state ``first`` has by symbol, flagged."""
+
+    slots: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, moves: list[dict[int, int]], width: int) -> Automaton:
+        """A symbol that the language doesn't have is a phrase of its own, whose state has no transitions."""
+        moves = [*moves, {}]
+        alone = len(moves) - 1
+        moves[0] = {c: moves[0].get(c, alone) for c in range(width)}
+        offset = _offsets(moves, width)
+        size = int(offset.max()) + width + 1
+        slots = np.zeros(size, np.uint64)
+        src = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
+        sym = np.fromiter((c for m in moves for c in m), np.int64, len(src))
+        to = np.fromiter((s for m in moves for s in m.values()), np.int64, len(src))
+        slots[offset[src] + sym] = ((offset[src] + 1).astype(np.uint64) << _WORD) | offset[to].astype(np.uint64)
+        return cls(slots, np.array([offset[moves[0][c]] for c in range(width)], np.uint32) | _FLAG)
+
+    def step(self, state: np.ndarray, sym: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The next states, flagged where a phrase ends before the symbol; ``first`` is that of each symbol."""
+        slot = self.slots[state + sym]
+        return np.where((slot >> _WORD) == state + np.uint32(1), slot.astype(np.uint32), first)
+
+
+def _offsets(moves: list[dict[int, int]], width: int) -> np.ndarray:
+    """An offset for each state, no two the same, so that no two transitions have one place; the start's is 0."""
+    offset = np.full(len(moves), -1, np.int64)
+    offset[0] = 0
+    free, taken = np.ones(width, bool), np.zeros(1, bool)
+    free[:width] = False  # the start has a transition for every symbol
+    taken[0] = True
+    several = sorted((s for s in range(1, len(moves)) if len(moves[s]) > 1), key=lambda s: -len(moves[s]))
+    grown = lambda x, n, value: np.concatenate([x, np.full(max(0, n - len(x)), value)]) if n > len(x) else x
+    low = 1
+    for k, s in enumerate(several):
+        if k % 128 == 0:  # below, hardly any place is left for states of so many transitions
+            low = max(low, len(free) - 1024 - 8 * width)
+        syms, at = np.fromiter(moves[s], np.int64, len(moves[s])), low
+        while offset[s] < 0:
+            free, taken = grown(free, at + 1024 + width, True), grown(taken, at + 1024, False)
+            fits = ~taken[at : at + 1024]
+            for c in syms.tolist():
+                fits &= free[at + c : at + c + 1024]
+            i = int(fits.argmax())
+            if fits[i]:
+                offset[s] = at + i
+                taken[at + i] = True
+                free[at + i + syms] = False
+            at += 1024
+    # States with one transition fill what is free; those without any only need an offset of their own.
+    one = np.array([s for s in range(1, len(moves)) if len(moves[s]) == 1], np.int64)
+    sym = np.array([next(iter(moves[s])) for s in one.tolist()], np.int64)
+    order = np.argsort(sym, kind="stable")
+    todo, skip = order, 0
+    while len(todo):
+        places = np.flatnonzero(free)[skip:]
+        if len(places) < len(todo):
+            free = grown(free, len(free) + len(todo) + width, True)
+            places = np.flatnonzero(free)[skip:]
+        places = places[: len(todo)]
+        own = places - sym[todo]
+        taken = grown(taken, len(free) + 1, False)
+        good = own > 0
+        good[good] &= ~taken[own[good]]
+        _, first = np.unique(own, return_index=True)
+        unique = np.zeros(len(own), bool)
+        unique[first] = True
+        good &= unique
+        offset[one[todo[good]]] = own[good]
+        taken[own[good]] = True
+        free[places[good]] = False
+        skip = 0 if good.any() else skip + len(todo)
+        todo = todo[~good]
+    none = np.array([s for s in range(1, len(moves)) if not moves[s]], np.int64)
+    taken = grown(taken, len(taken) + len(none), False)
+    offset[none] = np.flatnonzero(~taken)[: len(none)]
+    return offset
+
+
 @dataclass
 class Model:
-    """Per language a table of (state, symbol) to next state, flagged where a phrase ends before the symbol."""
+    """Per language its automaton, and the bits of a phrase."""
 
     languages: list[str]
     symbol: np.ndarray  # of each byte; 0 for whatever separates words or was never seen
     width: int
-    tables: list[np.ndarray]
+    tables: list[Automaton]
     bits: list[float]
 
     def parse(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,17 +195,17 @@ class Model:
                 only[i] = count[i] == sum(letters.values())
         return count, only
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and score; ``und`` and 0 for null, for texts without letters and if no language was learned.
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """Language, score, and whether the text is in a learned language at all; ``und`` and 0 for null and texts without
+        letters only, or if no language was learned.
 
-        So it is for texts in none of the languages: where the best one's phrases, but for EDGES, take more bits than
-        the symbols written one by one, or no letter was seen in training. A strange letter counts as a phrase.
-        The score is the part of the next best language's cost that the best one saves, 0 for a text of symbols never
-        seen in training; ties go to the first in order.
+        A text is in none where the best one's phrases, but for EDGES, take more bits than the symbols written one by
+        one, or no letter was seen in training. A strange letter counts as a phrase. The score is the part of the next
+        best language's cost that the best one saves, 0 for a text in none; ties go to the first in order.
         """
         whole = [t if t and any(map(str.isalpha, t)) else "" for t in texts]
         if not self.languages:
-            return [("und", 0.0)] * len(texts)
+            return [("und", 0.0, bool(w)) for w in whole]
         phrases, n = self.parse(whole)
         cost = phrases * np.array(self.bits)
         best = cost.argmin(1)
@@ -126,8 +215,8 @@ class Model:
         known = ~only & (least + (strange - EDGES) * np.array(self.bits)[best] <= spelled)
         cost[np.arange(len(cost)), best] = np.inf
         second = cost.min(1)
-        score = np.where(np.isfinite(second), 1 - least / np.where(second > 0, second, 1), 1.0) * (second > 0)
-        return [(self.languages[b], float(s)) if w and k else ("und", 0.0) for w, k, b, s in zip(whole, known.tolist(), best.tolist(), score.tolist(), strict=True)]
+        score = known * np.where(np.isfinite(second), 1 - least / np.where(second > 0, second, 1), 1.0) * (second > 0)
+        return [(self.languages[b], float(s), k) if w else ("und", 0.0, False) for w, k, b, s in zip(whole, known.tolist(), best.tolist(), score.tolist(), strict=True)]
 
 
 @dataclass
@@ -155,26 +244,26 @@ class Segments:
         across[at] = sym
         return cls(sym, start, size, nth, active, at, across)
 
-    def path(self, table: np.ndarray) -> np.ndarray:
-        """The table's entry at each symbol.
+    def path(self, table: Automaton) -> np.ndarray:
+        """The state after each symbol, flagged where a phrase ends before it.
 
         All segments are parsed at once as if each began a text. Then each goes on from where the one before it ended,
         until it comes to a state that it had before: from there on it would stay as it is. Segments after one whose end
         has changed follow, until no end changes.
         """
         met, state, upto = np.empty(len(self.sym), np.uint32), np.zeros(len(self.start), np.uint32), 0
+        first = table.first[self.across]
         for m in self.active.tolist():
-            at, own = state[:m], met[upto : upto + m]
-            np.add(at, self.across[upto : upto + m], out=at)
-            np.take(table, at, out=own)
-            np.bitwise_and(own, _STATE, out=at)
+            k = slice(upto, upto + m)
+            met[k] = table.step(state[:m], self.across[k], first[k])
+            np.bitwise_and(met[k], _STATE, out=state[:m])
             upto += m
         path, todo = met[self.at], np.flatnonzero(self.nth)
         while len(todo):
             seg, place, end, changed = todo, self.start[todo], self.start[todo] + self.size[todo], []
             state = path[place - 1] & _STATE
             while len(seg):
-                new = table[state + self.sym[place]]
+                new = table.step(state, self.sym[place], table.first[self.sym[place]])
                 old = path[place]
                 path[place] = new
                 state = new & _STATE
@@ -201,17 +290,7 @@ def build(samples: dict[str, list[str]]) -> Model:
     for lang in languages:
         seq = symbol[np.frombuffer(b"\n".join(texts[lang]), np.uint8)]
         seq = seq[(seq != 0) | (np.concatenate(([0], seq[:-1])) != 0)]
-        moves = suffix_automaton(seq.tolist())
-        # A symbol that the language doesn't have is a phrase of its own: the state after it, the last one, starts the next.
-        alone = np.uint32(len(moves) * width)
-        table = np.full((len(moves) + 1, width), alone | _FLAG, np.uint32)
-        table[0] = alone
-        for c, to in moves[0].items():
-            table[:, c] = np.uint32(to * width) | _FLAG
-        for s, m in enumerate(moves):
-            for c, to in m.items():
-                table[s, c] = to * width
-        tables.append(table.ravel())
+        tables.append(Automaton.of(suffix_automaton(seq.tolist()), width))
         bits.append(float(np.log2(max(2, len(seq)))))
     return Model(languages, symbol, width, tables, bits)
 
@@ -225,23 +304,23 @@ def train(docs: DataFrame) -> Model:
     """Learn every language of ``lang`` from bounded text: of its distinct texts with letters, in order of hash, those
     that come to BYTES_PER_LANGUAGE together, DOCS_PER_LANGUAGE of them at most, each whole.
 
-    Texts of a quarter of the bytes or more come last; only where a language has none but such as are over the bound
-    alone, the first of these is cut there. Copies become one in each task before the shuffle; the ranking keeps so many
-    rows of a language in each task.
+    Texts of a quarter of the bytes or more come last, shorter ones first; where a language has none that fits, the
+    first of these is learned whole all the same. Copies become one in each task before the shuffle; the ranking keeps
+    so many rows of a language in each task.
     """
     own = docs.where(training_part() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
     distinct = own.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"), F.min(F.octet_length("text")).alias("bytes"))
-    order = F.col("bytes") * 4 >= BYTES_PER_LANGUAGE, "h"
+    long = F.col("bytes") * 4 >= BYTES_PER_LANGUAGE
+    order = F.when(long, F.col("bytes")).otherwise(0), "h"
     # First in parts of a language, so that no task has all rows of a frequent one.
     ranked = distinct.withColumn("part", F.pmod("h", F.lit(PARTS)))
     for keys in (["lang", "part"], ["lang"]):
         ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("r") <= DOCS_PER_LANGUAGE)
     upto = F.sum("bytes").over(Window.partitionBy("lang").orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
     picked = ranked.withColumn("upto", upto).where((F.col("upto") <= BYTES_PER_LANGUAGE) | (F.col("r") == 1)).select("lang", "h", "doc_id", "r")
-    part = F.when(F.octet_length("text") > BYTES_PER_LANGUAGE, F.substring("text", 1, BYTES_PER_LANGUAGE)).otherwise(F.col("text"))
     # DOCS_PER_LANGUAGE rows a language; a row that comes twice counts once.
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.xxhash64("text").alias("h"), "doc_id", part.alias("part"))
-    found = {(r["lang"], r["r"]): r["part"] for r in rows.join(F.broadcast(picked), ["lang", "h", "doc_id"]).dropDuplicates(["lang", "r"]).collect()}
+    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.xxhash64("text").alias("h"), "doc_id", "text")
+    found = {(r["lang"], r["r"]): r["text"] for r in rows.join(F.broadcast(picked), ["lang", "h", "doc_id"]).dropDuplicates(["lang", "r"]).collect()}
     samples: dict[str, list[str]] = {}
     for lang, r in sorted(found):
         samples.setdefault(lang, []).append(found[lang, r])
@@ -249,11 +328,11 @@ def train(docs: DataFrame) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """Per row: doc_id, held_out, lang_pred, score.
+    """Per row: doc_id, held_out, lang_pred, score, known.
 
-    Only the text counts for a prediction. Repeated rows stay; a null doc_id is not held out; other columns are left out.
+    ``known`` is false for texts in no learned language, whose score is 0; ``und`` are those without letters. Only the text counts for a prediction. Repeated rows stay; a null doc_id is not held out; other columns are left out.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training limits
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few megabytes a language, by the training limits
 
     def make():
         model = shared.value
@@ -265,18 +344,18 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 while j < len(texts) and (j == i or size < 4 << 20):
                     size += len(texts[j] or "")
                     j += 1
-                lang, score = zip(*model.predict(texts[i:j]), strict=True)
+                lang, score, known = zip(*model.predict(texts[i:j]), strict=True)
                 part = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lang), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lang), pa.array(score, pa.float64()), pa.array(known)], names=["doc_id", "held_out", "lang_pred", "score", "known"])
                 i = j
 
         return run
 
-    return map_batches(docs.select("doc_id", (~training_part()).alias("held_out"), "text"), make, "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_batches(docs.select("doc_id", (~training_part()).alias("held_out"), "text"), make, "doc_id long, held_out boolean, lang_pred string, score double, known boolean")
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text ``identify`` would give a language; if none was learned, those with
+    """The rows of ``docs``, with all their columns, whose text is in a learned language; if none was learned, those with
     letters."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text = docs.columns.index("text")
@@ -288,8 +367,7 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
             for i in range(0, b.num_rows, 1024):
                 part = b.slice(i, 1024)
                 texts = part.column(text).to_pylist()
-                keep = [x[0] != "und" for x in model.predict(texts)] if model.languages else [bool(t) and any(map(str.isalpha, t)) for t in texts]
-                yield part.filter(pa.array(keep))
+                yield part.filter(pa.array([known for _, _, known in model.predict(texts)], pa.bool_()))
 
         return run
 
