@@ -52,9 +52,8 @@ def file_pattern(path: str) -> str:
 
 
 def file_tokenizer(path: str) -> Tokenizer:
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True  # their strings in a text are ordinary text
-    return out
+    """As the library reads the file: strings of special tokens in a text become those tokens."""
+    return Tokenizer.from_file(path)
 
 
 def latin_pattern(pattern: str) -> re.Pattern:
@@ -87,6 +86,9 @@ class Pieces:
         self.tokenizer, self.model, self.split, self.lower = tokenizer, tokenizer.model, latin_pattern(pattern), lower
         self.most, self.known, self.words = most, {}, {}
         self.written = dict(enumerate(byte_characters()))
+        # Strings that the tokenizer takes out of a text, as they stand, before all else.
+        self.special = {t.content: np.array([i], "<u4").tobytes() for i, t in tokenizer.get_added_tokens_decoder().items()}
+        self.taken = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def _plain(self, text: str) -> bytes:
         words = self.split.findall(text.lower() if self.lower else text)
@@ -104,7 +106,7 @@ class Pieces:
         other = []
         for k in new:
             text = k.decode() if isinstance(k, bytes) else k
-            if text.isascii() or max(text) < "\u0100":
+            if (text.isascii() or max(text) < "\u0100") and not (self.taken and self.taken.search(text)):
                 self.known[k] = self._plain(text)
             else:
                 other.append((k, text))
@@ -126,7 +128,14 @@ class Pieces:
 
     def encode_texts(self, texts: list[str], cut) -> list[bytes]:
         """Per text its ids. A text of characters under U+0100 is split by the pattern at once; others go by the pieces that
-        ``cut(text)`` gives, at places where the pattern always splits."""
+        ``cut(text)`` gives, at places where the pattern always splits. What stands between special tokens is a text of its own."""
+        if self.taken and any(map(self.taken.search, texts)):
+            parts = [self.taken.split(t) for t in texts]
+            ids = iter(self._encode_plain([x for p in parts for x in p[::2]], cut))
+            return [b"".join(next(ids) if i % 2 == 0 else self.special[x] for i, x in enumerate(p)) for p in parts]
+        return self._encode_plain(texts, cut)
+
+    def _encode_plain(self, texts: list[str], cut) -> list[bytes]:
         if len(self.words) > self.most:
             self.words.clear()
         words, other = [], []

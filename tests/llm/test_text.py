@@ -125,6 +125,9 @@ def test_plain_pieces_are_the_tokenizers(spark):
     rnd = random.Random(3)
     p, t = Pieces(file_tokenizer(WORDS), file_pattern(WORDS), lower=True), file_tokenizer(WORDS)
     rows = ["".join(rnd.choice("abé É'sJ̌İΣ1²½_,.!漢\x1c\x85\t") for _ in range(rnd.randint(0, 40))) for _ in range(2000)]
+    special = ["a <|endoftext|> b", "x<|startoftext|>y<|endoftext|><|endoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "漢 <|endoftext|>é É", "<|endoftext|>", " <|start<|startoftext|>"]
+    assert t.encode(special[0], add_special_tokens=False).ids == [320, 49407, 321]
+    rows += special + [rnd.choice(["<|endoftext|>", "<|startoftext|>", "<|", "a ", "é", "漢"]) * rnd.randint(1, 3) + r for r in rows[:300]]
     for way in (p.encode_texts(rows, packing._words), p.encode([r.encode().split() for r in rows])):
         for row, ids in zip(rows, way, strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == t.encode(row, add_special_tokens=False).ids
