@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from nearfield.llm import langid, neardup, packing, toxicity
-from nearfield.llm.base import Scratch, table
+from nearfield.llm.base import Scratch, materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,15 +42,20 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each keeps is written to the shared folder before the next reads it.
 
-    An empty table gives no rows. A table goes when the next one is written; the last stage reads the last one.
+    An empty table gives no rows. A table goes when the next one is written or a stage fails; the pieces stay until the
+    driver exits.
     """
     docs, before = table(spark, sf_dir, "documents"), None
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
+    try:
+        for name, stage in STAGES[:-1]:
             scratch = Scratch(spark, f"pipeline-{name}")
-            docs = scratch.write(docs, name)
-            if before:
-                before.drop()
-            before = scratch
-    return docs
+            before, last = scratch, before
+            try:
+                docs = scratch.write(stage(spark, docs, sf_dir), name)
+            finally:
+                if last:
+                    last.drop()
+        return materialize(STAGES[-1][1](spark, docs, sf_dir), "pipeline")
+    finally:
+        if before:
+            before.drop()
