@@ -35,7 +35,7 @@ def pack(bits: np.ndarray) -> np.ndarray:
 
 
 def codes(vectors: DataFrame, bits: int = 256, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(key, words array<long>): one matrix product for each Arrow batch; rows without a vector have no code."""
+    """(key, words array<long>): one matrix product for each Arrow batch; rows without a vector, or with a null component, have no code."""
 
     def run(batches):
         planes = None
@@ -48,7 +48,7 @@ def codes(vectors: DataFrame, bits: int = 256, key: str = "vec_id", vector: str
             words = pack((x @ planes.T >= 0).astype(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(words), pa.list_(pa.int64()))], names=["key", "words"])
 
-    rows = vectors.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"))
+    rows = vectors.where(F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull())).select(key, F.col(vector).cast("array<double>").alias("v"))
     return rows.mapInArrow(run, f"key {vectors.schema[key].dataType.simpleString()}, words array<long>").withColumnRenamed("key", key)
 
 

@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.distance import checked, to_rows
+from nearfield.operators.descent import descend
 from nearfield.operators.knn import knn, matrix, nearest_in_task, prepared
+from nearfield.shared import Scratch, materialize
 
 DEGREE, BUDGET = 15, 150
 
@@ -101,6 +103,12 @@ def build_bulk(vectors: DataFrame, metric: str = "l2", degree: int = DEGREE, vec
     return _both_ways(near, degree).select("src", "rank", "dst", "dist")
 
 
+def build_descent(vectors: DataFrame, metric: str = "l2", degree: int = DEGREE, vector: str = "embedding") -> DataFrame:
+    """(src, rank, dst, dist): as ``build_bulk``, from neighbours found by descent: for inputs too large to compare all pairs."""
+    near, _ = descend(vectors, degree, metric, vector)
+    return _both_ways(near.withColumn("shard", F.lit(0)), degree).select("src", "rank", "dst", "dist")
+
+
 def build_bulk_shards(vectors: DataFrame, metric: str = "l2", degree: int = DEGREE, shards: int = 1, vector: str = "embedding") -> DataFrame:
     """(shard, src, rank, dst, dist): a bulk graph of each of ``shards`` (pmod(xxhash64(vec_id), shards)), a task for each."""
     checked(metric)
@@ -151,6 +159,48 @@ def statistics(vertices: DataFrame, edges: DataFrame, degree: int = DEGREE) -> D
     return d.agg(F.count(F.lit(1)).alias("vertices"), F.coalesce(F.sum("degree"), F.lit(0)).alias("edges"), F.round(F.avg("degree"), 6).alias("avg_degree"), F.coalesce(F.sum((F.col("degree") != degree).cast("long")), F.lit(0)).alias("other_degree"))
 
 
+def reach(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(vec_id, steps) of every vertex: the edges from the first vertex to it, null if it cannot be reached.
+
+    Each round the vertices just reached meet the edges, and what was reached before is left out; as many rounds as the
+    longest of the ways.
+    """
+    links = edges.select("src", "dst")
+    with Scratch(vertices.sparkSession, "reach") as s:
+        now = s.write(vertices.agg(F.min("vec_id").alias("vec_id")).where("vec_id IS NOT NULL").select("vec_id", F.lit(0).alias("steps")), "reached")
+        reached, step = now, 0
+        while not now.isEmpty():
+            step += 1
+            met = now.select(F.col("vec_id").alias("src")).join(links, "src").select(F.col("dst").alias("vec_id")).distinct()
+            now = s.write(met.join(reached, "vec_id", "left_anti").select("vec_id", F.lit(step).alias("steps")), "reached")
+            reached = reached.unionByName(now)
+        return materialize(vertices.select("vec_id").join(reached, "vec_id", "left"), "reach")
+
+
+def bridged(vectors: DataFrame, edges: DataFrame, metric: str = "l2", degree: int = DEGREE, vector: str = "embedding") -> DataFrame:
+    """``edges`` (src, rank, dst, dist) with further ones, so that every vertex is reached from the first one.
+
+    A vertex that is not reached gets an edge from the nearest one that is, in place of the farthest if that one's list
+    is full. What is lost by that is found by the next round; edges of a repair are never given up, so that rounds end,
+    and a vertex that is the nearest of very many lost ones may have more edges than the cap.
+    """
+    cap, fixed = 2 * degree + 1, None
+    with Scratch(vectors.sparkSession, "bridges") as s:
+        while True:
+            lost = reach(vectors, edges)
+            far = s.write(vectors.join(lost.where("steps IS NULL").select("vec_id"), "vec_id", "left_semi"), "lost")
+            if far.isEmpty():
+                return materialize(edges, "bridged")
+            known = vectors.join(lost.where("steps IS NOT NULL").select("vec_id"), "vec_id", "left_semi")
+            new = knn(far, known, 1, metric, vector=vector).select(F.col("vec_id").alias("src"), F.col("query_id").alias("dst"), "dist", F.lit(True).alias("kept"))
+            fixed = s.write(new if fixed is None else fixed.unionByName(new), "fixed")
+            every = edges.join(fixed.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", "dist", F.lit(False).alias("kept")).unionByName(fixed)
+            order = Window.partitionBy("src").orderBy(F.desc("kept"), "dist", "dst")
+            room = every.withColumn("r", F.row_number().over(order)).where((F.col("r") <= cap) | F.col("kept"))
+            rank = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
+            edges = s.write(room.withColumn("rank", rank).select("src", "rank", "dst", "dist"), "edges")
+
+
 def head(edges: DataFrame, first: int = 10) -> DataFrame:
     """Edges of the vertices under an id."""
     return edges.where(F.col("src") < first)

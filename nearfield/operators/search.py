@@ -1,7 +1,8 @@
 """Graph search: best-first with a bounded or unbounded frontier, and the greedy walk.
 
 An index is two tables, vectors and edges. If its size is small it is sent to all executors and the queries are dealt
-out; else index and edges are dealt out by shard, the queries sent in batches, and the shards' results merged.
+out; an index in shards is dealt out by shard, the queries sent in batches, and the shards' results merged; one graph of
+any size is searched in rounds of joins.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.distance import checked, to_rows
 from nearfield.operators.knn import matrix, prepared, query_batches, ranked
+from nearfield.operators.rounds import search_rounds, walk_rounds
 from nearfield.operators.visited import FORGETTING, KINDS
 from nearfield.shared import materialize
 
@@ -154,7 +156,7 @@ class Graph:
         return int(self.ids[x]), d, moves
 
 
-FOUND = "query_id long, vec_id long, dist double, n_expanded long"
+FOUND = "query_id long, vec_id long, dist double, n_expanded long, shard int"
 
 
 def _found(keys, queries, visit):
@@ -178,12 +180,12 @@ def _visitor(graph: Graph, o: Options, walk: bool):
     return one
 
 
-def _run(queries: DataFrame, vectors: DataFrame, edges: DataFrame, o: Options, query_key: str, vector: str, shard: str | None, walk: bool) -> DataFrame:
-    """FOUND rows of each shard; without a shard column the index is one graph."""
+def _run(queries: DataFrame, vectors: DataFrame, edges: DataFrame, o: Options, query_key: str, vector: str, shard: str | None, walk: bool, rounds: bool = False) -> DataFrame:
+    """FOUND rows of each shard; without a shard column the index is one graph, searched in ``rounds`` if it is large or so asked for."""
     spark, metric = vectors.sparkSession, o.metric
     asked = prepared(queries, metric, query_key, vector)
     size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("w")).first()
-    if shard is None and (size["n"] or 0) * ((size["w"] or 1) * 8 + 31 * 16) <= BROADCAST_BYTES:
+    if shard is None and not rounds and (size["n"] or 0) * ((size["w"] or 1) * 8 + 31 * 16) <= BROADCAST_BYTES:
         v = prepared(vectors, metric, "vec_id", vector).toArrow().combine_chunks()
         e = edges.select("src", "rank", "dst").toArrow()
         if not v.num_rows:
@@ -197,9 +199,10 @@ def _run(queries: DataFrame, vectors: DataFrame, edges: DataFrame, o: Options, q
                 if b.num_rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in _found(b.column(0).to_numpy(), matrix(b.column(1), metric), visit)], names=["query_id", "vec_id", "dist", "n_expanded"])
 
-        return asked.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, FOUND)
+        return asked.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, FOUND.removesuffix(", shard int")).withColumn("shard", F.lit(0))
     if shard is None:
-        raise ValueError(f"an index over {BROADCAST_BYTES >> 20} MB must be built and searched by shard")
+        v = prepared(vectors, metric, "vec_id", vector)
+        return (walk_rounds(asked, v, edges, metric) if walk else search_rounds(asked, v, edges, o)).withColumn("shard", F.lit(0))
     v = prepared(vectors, metric, "vec_id", vector, F.col(shard).cast("int").alias("shard")).withColumnRenamed("key", "vec_id")
     e = edges.select(F.col(shard).cast("int").alias("shard"), "src", "rank", "dst")
     out = None
@@ -216,26 +219,31 @@ def _in_shard(shared, o: Options, walk: bool):
         left, right = left.combine_chunks(), right.combine_chunks()
         m = matrix(left["v"].chunk(0), o.metric) if left.num_rows else np.zeros((0, 0))
         graph = Graph.of(left["vec_id"].to_numpy(), m, *(right[c].to_numpy() for c in ("src", "rank", "dst")))
-        return pa.table(dict(zip(["query_id", "vec_id", "dist", "n_expanded"], _found(keys, q, _visitor(graph, o, walk)), strict=True)))
+        found = _found(keys, q, _visitor(graph, o, walk))
+        own = (left if left.num_rows else right)["shard"][0].as_py()
+        return pa.table(dict(zip(["query_id", "vec_id", "dist", "n_expanded", "shard"], [*found, pa.array([own] * len(found[0]), pa.int32())], strict=True)))
 
     return run
 
 
-def search(queries: DataFrame, vectors: DataFrame, edges: DataFrame, options: Options, k: int | None = None, query_key: str = "vec_id", vector: str = "embedding", shard: str | None = None) -> DataFrame:
-    """(query_id, rank, vec_id, dist): what best-first search finds, ``k`` rows at most; fewer where fewer are reached."""
-    return ranked(_run(queries, vectors, edges, options, query_key, vector, shard, False), k or options.pq)
+def search(queries: DataFrame, vectors: DataFrame, edges: DataFrame, options: Options, k: int | None = None, query_key: str = "vec_id", vector: str = "embedding", shard: str | None = None, rounds: bool = False) -> DataFrame:
+    """(query_id, rank, vec_id, dist): what best-first search finds, ``k`` rows at most; fewer where fewer are reached.
 
+    ``rounds`` asks for the way of an index over BROADCAST_BYTES, whatever its size; the rows are the same.
+    """
+    return ranked(_run(queries, vectors, edges, options, query_key, vector, shard, False, rounds), k or options.pq)
 
-def explored(queries: DataFrame, vectors: DataFrame, edges: DataFrame, options: Options, query_key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, n_found, n_expanded)."""
-    found = _run(queries, vectors, edges, options, query_key, vector, None, False)
-    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_found"), F.max("n_expanded").alias("n_expanded"))
 
+def explored(queries: DataFrame, vectors: DataFrame, edges: DataFrame, options: Options, query_key: str = "vec_id", vector: str = "embedding", shard: str | None = None) -> DataFrame:
+    """(query_id, n_found, n_expanded), over all shards."""
+    found = _run(queries, vectors, edges, options, query_key, vector, shard, False)
+    each = found.groupBy("query_id", "shard").agg(F.count(F.lit(1)).alias("n"), F.max("n_expanded").alias("e"))
+    return each.groupBy("query_id").agg(F.sum("n").alias("n_found"), F.sum("e").alias("n_expanded"))
 
-def greedy_walk(queries: DataFrame, vectors: DataFrame, edges: DataFrame, metric: str = "l2", query_key: str = "vec_id", vector: str = "embedding", shard: str | None = None) -> DataFrame:
+
+def greedy_walk(queries: DataFrame, vectors: DataFrame, edges: DataFrame, metric: str = "l2", query_key: str = "vec_id", vector: str = "embedding", shard: str | None = None, rounds: bool = False) -> DataFrame:
     """(query_id, vec_id, dist, moves): one vertex for each query, the nearest of the shards' ends."""
-    found = ranked_walk(_run(queries, vectors, edges, Options(metric), query_key, vector, shard, True))
-    return found
+    return ranked_walk(_run(queries, vectors, edges, Options(metric), query_key, vector, shard, True, rounds))
 
 
 def ranked_walk(found: DataFrame) -> DataFrame:

@@ -33,8 +33,9 @@ class VectorIndex:
     bits: int | None = None
 
     @classmethod
-    def build(cls, vectors: DataFrame, metric: str = "l2", degree: int = graph.DEGREE, budget: int = graph.BUDGET, shards: int | None = None, bulk: bool = False, bits: int | None = None) -> VectorIndex:
-        """Vertex by vertex within each shard, or with ``bulk`` from exact neighbours in each.
+    def build(cls, vectors: DataFrame, metric: str = "l2", degree: int = graph.DEGREE, budget: int = graph.BUDGET, shards: int | None = None, bulk: bool = False, bits: int | None = None, descent: bool = False) -> VectorIndex:
+        """Vertex by vertex within each shard, with ``bulk`` from exact neighbours in each, or with ``descent`` one graph of any
+        size from neighbours found by descent, in which every vertex is reached from the first one.
 
         Without ``shards`` there are as many as hold SHARD_BYTES each.
         """
@@ -42,6 +43,11 @@ class VectorIndex:
         if (metric == "hamming") != bool(bits):
             raise ValueError("an index of codes has the metric hamming and a number of bits, others have neither")
         vectors = _coded(vectors.select("vec_id", "embedding"), bits)
+        if descent:
+            if (shards or 1) > 1 or bulk:
+                raise ValueError("a graph by descent has no shards and is not of exact neighbours")
+            edges = graph.bridged(vectors, graph.build_descent(vectors, metric, degree), metric, degree)
+            return cls(vectors.withColumn("shard", F.lit(0)), edges.withColumn("shard", F.lit(0)), metric, 1, bits)
         if shards is None:
             size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("w")).first()
             shards = max(1, -(-(size["n"] or 0) * ((size["w"] or 1) * 8 + (2 * degree + 1) * 16) // SHARD_BYTES))

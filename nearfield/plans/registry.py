@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions import bloom, distance, hashing
-from nearfield.operators import graph, knn, search
-from nearfield.shared import fresh_path, materialize
+from nearfield.operators import descent, graph, knn, search
+from nearfield.shared import materialize, passing_path, version
 from nearfield.sources import vectors as files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,8 +42,8 @@ def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table that several queries use, written once for each session and input."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """A table that several queries use, written once for each session and state of the input."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, version(spark, f"{sf_dir}/embeddings.parquet"))
     if key not in _built:
         _built[key] = materialize(make(), name)
     return _built[key]
@@ -119,8 +119,8 @@ _LINE_COMPONENTS = f"SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INT
 
 
 def _text_file(spark: SparkSession, lines: DataFrame, tag: str) -> str:
-    path = fresh_path(spark, tag)
-    lines.coalesce(1).sortWithinPartitions("vec_id").select("value").write.text(path)
+    path = passing_path(spark, tag)
+    lines.orderBy("vec_id").select("value").write.text(path)
     return path
 
 
@@ -154,7 +154,7 @@ def densify(spark, sf_dir):
 
 @query(_COMPONENTS)
 def bin_vectors_roundtrip(spark, sf_dir):
-    path = fresh_path(spark, "vectors") + ".data"
+    path = passing_path(spark, "vectors") + ".data"
     v = _vectors(spark, sf_dir)
     files.write_raw_vectors(v, path)
     return _components(files.read_raw_vectors(spark, path, v.agg(F.max(F.size("embedding")).alias("d")).first()["d"]))
@@ -284,18 +284,23 @@ def graph_stats(spark, sf_dir):
 
 @query(f"WITH {_L2_EDGES} SELECT src, rank, dst FROM edges")
 def bin_graph_roundtrip(spark, sf_dir):
-    path = fresh_path(spark, "edges") + ".graph"
+    path = passing_path(spark, "edges") + ".graph"
     files.write_raw_graph(_vectors(spark, sf_dir), _bulk(spark, sf_dir), path)
     return files.read_raw_graph(spark, path)
 
 
+#: Each a graph of its own, built by a task.
+SHARDS = 4
+
+
 def _sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "sequential", lambda: graph.build_sequential(_vectors(spark, sf_dir)))
 
 
 @query()
 def graph_build_seq(spark, sf_dir):
-    return _rounded(graph.build_sequential(_vectors(spark, sf_dir)).drop("shard"))
+    """In shards, each a graph of its own: insertion is one after the other within a shard only."""
+    return _rounded(graph.build_sequential(_vectors(spark, sf_dir), shards=SHARDS))
 
 
 @query("SELECT * FROM (VALUES ('self loop', 0::BIGINT), ('repeated edge', 0), ('over the cap', 0), ('no edge', 0)) t(rule, n)")
@@ -421,6 +426,87 @@ for _n, _o in SMALL.items():
     query(_small_sql(_n == "bounded") if _n in ("cpu", "bounded") else None)(_small(_n, _o))
 
 
+@query(_small_sql(True))
+def ann_search_rounds(spark, sf_dir):
+    """The bounded search by rounds of joins, as for an index over the size that is sent to all executors."""
+    v = _vectors(spark, sf_dir)
+    return _rounded(search.search(v, v, _bulk(spark, sf_dir), search.bounded("l2", 50), 10, rounds=True))
+
+
+@query(_walk_sql("l2", _L2_EDGES, "plain"))
+def greedy_walk_rounds(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return _rounded(search.greedy_walk(v, v, _bulk(spark, sf_dir), rounds=True))
+
+
+_SHARD = "shards AS (SELECT vec_id, embedding::DOUBLE[] AS v, vec_id % 4 AS shard FROM embeddings)"
+
+
+def _sharded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors in shards that SQL can name, and a bulk graph of each."""
+    v = _vectors(spark, sf_dir).withColumn("shard", (F.col("vec_id") % 4).cast("int"))
+
+    def build() -> DataFrame:
+        out = None
+        for i in range(4):
+            one = graph.build_bulk(v.where(F.col("shard") == i)).withColumn("shard", F.lit(i))
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    return v, _once(spark, sf_dir, "sharded", build)
+
+
+def _sharded_sql() -> str:
+    """Exact neighbours among those that can be reached from the first vertex of each shard."""
+    return f"""WITH RECURSIVE {_SHARD}, dists AS (SELECT a.shard, a.vec_id AS src, b.vec_id AS dst, {SQL_DISTANCE["l2"]} AS dist FROM shards a JOIN shards b ON a.vec_id <> b.vec_id AND a.shard = b.shard),
+near AS (SELECT src, dst, dist FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS r FROM dists) WHERE r <= 15),
+once AS (SELECT src, dst, min(dist) AS dist FROM (SELECT * FROM near UNION ALL SELECT dst, src, dist FROM near) GROUP BY ALL),
+edges AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst)::INT AS rank FROM once) WHERE rank <= 31),
+reached AS (SELECT min(vec_id) AS x FROM shards GROUP BY shard UNION SELECT e.dst FROM reached JOIN edges e ON e.src = x),
+d AS (SELECT a.vec_id AS query_id, b.vec_id, {SQL_DISTANCE["l2"]} AS dist FROM shards a, shards b WHERE b.vec_id IN (SELECT x FROM reached)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id)::INT AS rank FROM d)
+"""
+
+
+@query(_sharded_sql() + "SELECT query_id, rank, vec_id, round(dist, 6) AS dist FROM r WHERE rank <= 10")
+def ann_search_sharded(spark, sf_dir):
+    """With room for all: of each shard what can be reached, merged."""
+    v, edges = _sharded(spark, sf_dir)
+    return _rounded(search.search(v, v, edges, search.bounded("l2", ALL), 10, shard="shard"))
+
+
+@query(_sharded_sql() + "SELECT query_id, count(*) AS n_found, count(*) AS n_expanded FROM d GROUP BY query_id")
+def explored_sharded(spark, sf_dir):
+    """With room for all, a search expands all that it can reach, in every shard."""
+    v, edges = _sharded(spark, sf_dir)
+    return search.explored(v, v, edges, search.bounded("l2", ALL), shard="shard")
+
+
+def _descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir, "descent", lambda: descent.descend(_vectors(spark, sf_dir), 15)[0])
+
+
+@query()
+def graph_descent(spark, sf_dir):
+    """Lists of 15 neighbours by descent, with their distances."""
+    return _rounded(_descent(spark, sf_dir))
+
+
+@query()
+def graph_descent_recall(spark, sf_dir):
+    """The part of the exact 15 nearest that descent has found."""
+    v = _vectors(spark, sf_dir)
+    found = _descent(spark, sf_dir).select(F.col("src").alias("query_id"), F.col("dst").alias("vec_id"), F.lit(1).alias("rank"))
+    return graph.recall(found, knn.knn(v, v, 15, with_self=False), 15)
+
+
+@query(f"""WITH RECURSIVE {_L2_EDGES}, steps AS (SELECT min(vec_id) AS vec_id, 0 AS step FROM embeddings UNION SELECT e.dst, s.step + 1 FROM steps s JOIN edges e ON e.src = s.vec_id WHERE s.step < 12)
+SELECT vec_id, min(step)::INT AS steps FROM embeddings LEFT JOIN steps USING (vec_id) GROUP BY vec_id""")
+def graph_reach(spark, sf_dir):
+    """Steps from the first vertex to each, null where it cannot be reached."""
+    return graph.reach(_vectors(spark, sf_dir), _bulk(spark, sf_dir))
+
+
 @query(f"WITH {_best_first_sql([50], False)} SELECT count(*) AS queries, sum(step)::BIGINT AS expanded, round(avg(step), 6) AS avg_expanded FROM ends")
 def search_explore_stats(spark, sf_dir):
     v = _vectors(spark, sf_dir)

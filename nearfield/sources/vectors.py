@@ -7,10 +7,9 @@ from itertools import islice
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.shared import number_lines
+from nearfield.shared import Scratch, number_lines, numbered
+from nearfield.sources.raw import SLOTS, RawGraph, RawVectors, local_path, register
 
-#: Slots of a vertex in a raw graph: its degree and up to 31 neighbours.
-SLOTS = 32
 SPARSE = "array<struct<idx:int,val:float>>"
 
 
@@ -23,15 +22,28 @@ def sparse_pairs(line: Column | str, one_based: bool = True) -> Column:
 
 
 def densify(pairs: Column | str, dim: int) -> Column:
-    """Pairs to an array of ``dim`` floats: absent components are 0, the last of repeated ones counts, one outside raises."""
+    """Pairs to an array of ``dim`` floats: absent components are 0, the last of repeated ones counts, one outside raises.
+
+    Sorted by place, each pair is put behind as many zeros as it skips: the work grows with pairs and ``dim``, not with
+    their product.
+    """
     pairs = F.col(pairs) if isinstance(pairs, str) else pairs
-    wrong = F.exists(pairs, lambda p: (p["idx"] < 0) | (p["idx"] >= dim))
-    # From the back, so that the last of repeated components is found first; bound by a lambda, so that it is made once.
-    back = F.reverse(pairs)
-    bound = F.array(F.struct(F.transform(back, lambda p: p["idx"]).alias("k"), F.transform(back, lambda p: p["val"]).alias("v")))
-    each = F.sequence(F.lit(0), F.lit(dim - 1))
-    dense = F.transform(bound, lambda p: F.transform(each, lambda i: F.coalesce(F.try_element_at(p["v"], F.nullif(F.array_position(p["k"], i), F.lit(0)).cast("int")), F.lit(0.0).cast("float"))))[0]
-    return F.when(wrong, F.raise_error(F.lit(f"component outside 0 to {dim - 1}")).cast("array<float>")).otherwise(dense)
+    once = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  (bound by a lambda, so that it is made once)
+    zeros = lambda n: F.array_repeat(F.lit(0.0).cast("float"), n.cast("int"))
+
+    def filled(p: Column) -> Column:
+        skipped = lambda x, i: x["idx"] - F.when(i == 0, F.lit(-1)).otherwise(F.get(p, i - 1)["idx"]) - 1
+        parts = F.transform(p, lambda x, i: F.concat(zeros(skipped(x, i)), F.array(x["val"])))
+        return F.concat(F.flatten(parts), zeros(F.lit(dim - 1) - F.coalesce(F.get(p, F.size(p) - 1)["idx"], F.lit(-1))))
+
+    def checked(s: Column) -> Column:
+        last = F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1)["idx"] != x["idx"], F.lit(True)))
+        wrong = (F.get(s, F.lit(0))["idx"] < 0) | (F.get(s, F.size(s) - 1)["idx"] >= dim)
+        dense = once(last, filled)
+        return F.when(F.coalesce(wrong, F.lit(False)), F.raise_error(F.lit(f"component outside 0 to {dim - 1}")).cast("array<float>")).otherwise(dense)
+
+    by_place = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["idx"].alias("idx"), i.alias("i"), p["val"].cast("float").alias("val"))))
+    return F.when(pairs.isNotNull(), once(by_place, checked))
 
 
 def dense_values(line: Column | str) -> Column:
@@ -62,7 +74,7 @@ def dense_lines(vectors: DataFrame, key: str = "vec_id") -> DataFrame:
 
 
 def _write(spark: SparkSession, path: str, chunks) -> None:
-    """One file, by Hadoop's file systems; a single writer, as its bytes have one order."""
+    """One file on a file system that only Spark reaches: a single writer, as such files can only be written in order."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
     try:
@@ -95,9 +107,22 @@ def _packed(df: DataFrame, key: str, column: str, kind: str) -> DataFrame:
     return df.select(F.col(key).cast("long"), column).mapInArrow(run, "k long, data binary").withColumnRenamed("k", key)
 
 
+def _write_records(df: DataFrame, key: str, column: str, source, path: str, kind: str, **options) -> None:
+    """Arrays in order of ``key`` as records; by parallel tasks where Python can open the path."""
+    spark = df.sparkSession
+    if not local_path(path):
+        return _write(spark, path, _sorted_chunks(_packed(df, key, column, kind), key))
+    register(spark)
+    with Scratch(spark, "raw") as s:
+        id_, values = source(options | {"path": path}).schema().replace(",", "").split()[::2]
+        rows = numbered(df.select(key, column), [key], s).select(F.col("n").alias(id_), F.col(column).alias(values))
+        rows.write.format(source.name()).options(**options).mode("overwrite").save(path)
+
+
 def write_raw_vectors(vectors: DataFrame, path: str, key: str = "vec_id") -> None:
-    """n x dim float32, row after row in order of ``key``, no header."""
-    _write(vectors.sparkSession, path, _sorted_chunks(_packed(vectors, key, "embedding", "<f4"), key))
+    """n x dim float32, row after row in order of ``key``, no header; vectors of different lengths raise."""
+    width = vectors.agg(F.max(F.size("embedding"))).first()[0] or 1
+    _write_records(vectors, key, "embedding", RawVectors, path, "<f4", dim=width)
 
 
 def _records(spark: SparkSession, path: str, size: int) -> DataFrame:
@@ -136,6 +161,9 @@ def _decoded(chunks: DataFrame, width: int, kind: str, name: str, schema: str) -
 
 def read_raw_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
     """(vec_id, embedding) of a file of n x dim float32."""
+    if local_path(path):
+        register(spark)
+        return spark.read.format(RawVectors.name()).option("dim", dim).load(path)
     return _decoded(_records(spark, path, dim * 4), dim, "<f4", "embedding", "n long, embedding array<float>").withColumnRenamed("n", "vec_id")
 
 
@@ -144,12 +172,16 @@ def write_raw_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
     lists = edges.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "dst"))), lambda x: x["dst"]).alias("to"))
     rows = vertices.select(F.col("vec_id").alias("src")).join(lists, "src", "left").withColumn("to", F.coalesce("to", F.array().cast("array<long>")))
     slots = F.concat(F.array(F.size("to").cast("long")), F.col("to"), F.array_repeat(F.lit(0).cast("long"), F.lit(SLOTS - 1) - F.size("to")))
-    _write(vertices.sparkSession, path, _sorted_chunks(_packed(rows.withColumn("slots", slots), "src", "slots", "<u8"), "src"))
+    _write_records(rows.withColumn("slots", slots), "src", "slots", RawGraph, path, "<u8")
 
 
 def read_raw_graph(spark: SparkSession, path: str) -> DataFrame:
     """(src, rank, dst) from such a file, this engine's or a user's own."""
-    rows = _decoded(_records(spark, path, SLOTS * 8), SLOTS, "<i8", "slots", "n long, slots array<long>").withColumnRenamed("n", "src")
+    if local_path(path):
+        register(spark)
+        rows = spark.read.format(RawGraph.name()).load(path)
+    else:
+        rows = _decoded(_records(spark, path, SLOTS * 8), SLOTS, "<i8", "slots", "n long, slots array<long>").withColumnRenamed("n", "src")
     to = F.posexplode(F.slice("slots", 2, F.col("slots")[0].cast("int")))
     return rows.where("slots[0] > 0").select("src", to.alias("rank", "dst")).select("src", (F.col("rank") + 1).cast("int").alias("rank"), "dst")
 
