@@ -223,26 +223,28 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Chain:
-    """Fit on SAMPLE labelled documents at most; rows with null labels or ids take no part, null texts are empty."""
+    """Fit on SAMPLE labelled documents at most; rows with null labels or ids take no part, null texts are empty.
+
+    Of several label rows of one doc_id the one of the largest quality, and of those of the largest toxic, counts.
+    """
     picked = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").select("doc_id", "quality", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(SAMPLE)
     )
-    label = {r["doc_id"]: (1 - r["quality"], r["toxic"]) for r in picked.collect()}
-    ids = docs.sparkSession.sparkContext.broadcast(frozenset(label))  # SAMPLE ids at most
+    rows = picked.collect()
+    label = {r["doc_id"]: (1 - r["quality"], r["toxic"]) for r in rows}
+    ids = docs.sparkSession.createDataFrame([(k,) for k in label], "doc_id long")  # SAMPLE ids at most
 
     def make():
-        wanted = pa.array(sorted(ids.value), pa.int64())
-
         def run(b: pa.RecordBatch):
-            b = b.filter(pa.compute.is_in(b.column(0), value_set=wanted))
-            if b.num_rows:
-                words = [hashed_words(t or "").astype(">i4").tobytes() for t in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.binary())], names=["doc_id", "words"])
+            words = [hashed_words(t or "").astype(">i4").tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.binary())], names=["doc_id", "words"])
 
         return run
 
+    # Only the texts that were picked leave the JVM.
+    own = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
     # Of rows of one doc_id the one whose features sort first, so that SAMPLE rows come back at most.
-    found = map_batches(docs.select("doc_id", "text"), make, "doc_id long, words binary").groupBy("doc_id").agg(F.min("words").alias("words"))
+    found = map_batches(own, make, "doc_id long, words binary").groupBy("doc_id").agg(F.min("words").alias("words"))
     seen = {r["doc_id"]: np.frombuffer(r["words"], ">i4").astype(np.int32) for r in found.toLocalIterator()}
     keys = sorted(seen, key=lambda k: (zlib.crc32(str(k).encode()), k))
     y = np.array([(q, t, q and t) for q, t in map(label.get, keys)], float).reshape(-1, len(CATEGORIES))

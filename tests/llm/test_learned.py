@@ -168,6 +168,9 @@ def test_toxicity_of_odd_rows(spark):
     labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(60)] + [(None, 1, 1), (61, None, 1), (3, 1, 1)], "doc_id long, quality int, toxic int")
     got = {(r["doc_id"], r["toxic"]) for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
     assert {(0, True), (1, False), (63, True), (61, False)} <= got
+    twice = labels.unionByName(spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(i, 0, 1) for i in range(60)], labels.schema))
+    again = {(r["doc_id"], r["toxic"]) for r in toxicity.score(docs, toxicity.train(docs, twice)).collect()}
+    assert {(0, True), (1, False)} <= again  # of labels that differ the largest counts
     for chain in (toxicity.train(docs, labels.limit(0)), toxicity.train(docs.limit(0), labels)):
         assert toxicity.score(docs, chain).count() == 65 and toxicity.score(docs, chain).where("toxic").count() == 0
 
