@@ -83,6 +83,13 @@ def keys_of(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.n
     return np.concatenate([word, pair]), np.concatenate([owner, owner]), n + 1
 
 
+def _among(x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are among the sorted ids."""
+    if not len(ids):
+        return np.zeros(len(x), bool)
+    return ids[np.minimum(np.searchsorted(ids, x), len(ids) - 1)] == x
+
+
 def _packs(batches: Iterator[pa.RecordBatch], marked, bits: int) -> Iterator[tuple]:
     """Of some thousand documents at a time: doc_ids, marks, tokens, and the postings key, doc, count in order of key."""
     ids, marks, texts, size = [], [], [], 0
@@ -96,9 +103,9 @@ def _packs(batches: Iterator[pa.RecordBatch], marked, bits: int) -> Iterator[tup
         return np.array(ids, np.int64), np.array(marks, bool), tokens, key[at], doc[at], count
 
     for b in batches:
-        i = b.column(0).fill_null(_NONE).to_pylist()
-        m = b.column(2).to_pylist() if marked is None else np.isin(i, marked).tolist()
-        for d, t, x in zip(i, utf8(b.column(1)), m, strict=True):
+        i = b.column(0).fill_null(_NONE).to_numpy()
+        m = b.column(2).to_pylist() if marked is None else _among(i, marked).tolist()
+        for d, t, x in zip(i.tolist(), utf8(b.column(1)), m, strict=True):
             ids.append(d)
             marks.append(x)
             texts.append(t)
@@ -325,7 +332,7 @@ def _scored(docs: DataFrame, target: DataFrame, s: Scratch) -> DataFrame:
     ids = target.where("doc_id IS NOT NULL").select("doc_id").distinct()
     shared = None
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        shared = spark.sparkContext.broadcast(ids.toArrow()["doc_id"].to_numpy())
+        shared = spark.sparkContext.broadcast(np.sort(ids.toArrow()["doc_id"].to_numpy()))  # sorted once
         rows = docs.select("doc_id", "text", F.lit(False).alias("marked"))
     else:
         marked = ids.withColumn("m", F.lit(True)).hint("shuffle_hash")
