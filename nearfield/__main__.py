@@ -61,7 +61,7 @@ def main(args: list[str]) -> int:
     spark = SparkSession.builder.appName("nearfield").getOrCreate()
     began = perf_counter()
     if o.command == "tune":
-        r = autotune(spark, [o.pq]).first()
+        r = autotune(spark.createDataFrame([(o.pq,)], "topk long")).first()
         print(f"bit {r['words']} {r['power']} hash {r['hashes']} p {r['p']:.6f}")
     elif o.command == "build":
         VectorIndex.build(_read(spark, o.data, o), o.metric, shards=o.shards, bulk=o.bulk, bits=o.bits).save(o.index)

@@ -201,6 +201,22 @@ def bridged(vectors: DataFrame, edges: DataFrame, metric: str = "l2", degree: in
             edges = s.write(room.withColumn("rank", rank).select("src", "rank", "dst", "dist"), "edges")
 
 
+def without(vectors: DataFrame, edges: DataFrame, gone: DataFrame, metric: str = "l2", degree: int = DEGREE, vector: str = "embedding") -> DataFrame:
+    """``edges`` (shard, src, rank, dst, dist) without the vertices ``gone`` (vec_id); ``vectors`` are those that stay.
+
+    Whoever had a neighbour that goes is offered that one's own neighbours in its place, by their distances. Each lost
+    edge brings at most as many offers as a vertex has edges.
+    """
+    left = edges.join(gone.withColumnRenamed("vec_id", "src"), "src", "left_anti")
+    lost = left.join(gone.withColumnRenamed("vec_id", "dst"), "dst", "left_semi").select("shard", "src", F.col("dst").alias("via"))
+    own = edges.join(gone.withColumnRenamed("vec_id", "src"), "src", "left_semi").join(gone.withColumnRenamed("vec_id", "dst"), "dst", "left_anti").select(F.col("src").alias("via"), "dst")
+    kept = left.join(gone.withColumnRenamed("vec_id", "dst"), "dst", "left_anti").select("shard", "src", "dst", "dist")
+    offers = lost.join(own, "via").where("src <> dst").select("shard", "src", "dst").distinct().join(kept.select("src", "dst"), ["src", "dst"], "left_anti")
+    offers = offers.join(edge_distances(offers, vectors, metric, vector), ["src", "dst"]).select("shard", "src", "dst", "dist")
+    rank = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
+    return kept.unionByName(offers).withColumn("rank", rank).where(F.col("rank") <= 2 * degree + 1).select("shard", "src", "rank", "dst", "dist")
+
+
 def head(edges: DataFrame, first: int = 10) -> DataFrame:
     """Edges of the vertices under an id."""
     return edges.where(F.col("src") < first)

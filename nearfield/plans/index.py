@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from nearfield.functions.distance import checked
 from nearfield.functions.hashing import codes
 from nearfield.operators import graph
+from nearfield.operators.knn import knn, ranked
 from nearfield.operators.search import Options, bounded, greedy_walk, search, unbounded
 from nearfield.shared import materialize
 from nearfield.sources.vectors import read_raw_graph, read_raw_vectors
@@ -71,6 +72,55 @@ class VectorIndex:
         vectors = self.vectors.unionByName(more.withColumn("shard", F.lit(self.shards)))
         return replace(self, vectors=vectors, edges=materialize(self.edges.unionByName(edges), "edges"), shards=self.shards + 1)
 
+    def delete(self, ids: DataFrame) -> VectorIndex:
+        """The index without the vectors of ``ids`` (vec_id); ids that it doesn't have do nothing.
+
+        Lists that lose a neighbour are repaired from its own neighbours, and in an index of one graph vertices that are
+        no longer reached are bridged. Vectors and edges are written anew, so nothing of what goes is kept.
+        """
+        gone = ids.select("vec_id").where("vec_id IS NOT NULL").distinct()
+        vectors = materialize(self.vectors.join(gone, "vec_id", "left_anti").select(*self.vectors.columns), "vectors")
+        edges = materialize(graph.without(vectors, self.edges, gone, self.metric), "edges")
+        if self.shards == 1:
+            edges = graph.bridged(vectors, edges.drop("shard"), self.metric).withColumn("shard", F.lit(0))
+        return replace(self, vectors=vectors, edges=edges)
+
+    def update(self, more: DataFrame) -> VectorIndex:
+        """The index with these vectors in place of those of the same ids, or beside them where an id is new."""
+        return self.delete(more).add(more)
+
+    def compact(self, least: int) -> VectorIndex:
+        """The index with all shards of fewer than ``least`` vectors, such as additions leave, as one, built anew."""
+        size = self.vectors.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+        small = sorted(r["shard"] for r in size.where(F.col("n") < least).collect())  # a row for each shard at most
+        if len(small) < 2:
+            return self
+        some = F.col("shard").isin(small)
+        own = self.vectors.where(some).select("vec_id", "embedding")
+        edges = graph.build_sequential(own, self.metric).withColumn("shard", F.lit(small[0]))
+        vectors = self.vectors.withColumn("shard", F.when(some, F.lit(small[0])).otherwise(F.col("shard")))
+        return replace(self, vectors=vectors, edges=materialize(self.edges.where(~some).unionByName(edges), "edges"))
+
+    def search_where(self, queries: DataFrame, allowed: DataFrame, k: int = 100, query_key: str = "vec_id", few: float = 0.02) -> DataFrame:
+        """(query_id, rank, vec_id, dist) among the vectors of ``allowed`` (vec_id), such as metadata that pass a filter.
+
+        Where no more than the part ``few`` of all vectors is allowed, they are all compared. Else the graph is searched,
+        through vectors that are not allowed as well, with so much more room as there are of these; queries that end
+        with too few rows are compared with all that is allowed.
+        """
+        allowed = allowed.select("vec_id").distinct()
+        own = self.vectors.join(allowed, "vec_id", "left_semi")
+        n, every = own.count(), self.vectors.count()
+        asked = _coded(queries, self.bits, query_key)
+        if n <= max(k, few * every):
+            return knn(asked, own, k, self.metric, query_key)
+        room = -(-2 * k * every // n)
+        found = self.search_batch(queries, room, query_key=query_key).join(allowed, "vec_id", "left_semi")
+        found = materialize(ranked(found.select("query_id", "vec_id", "dist"), k), "filtered")
+        whole = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias(query_key))
+        rest = knn(asked.join(whole, query_key, "left_anti"), own, k, self.metric, query_key)
+        return found.join(whole.withColumnRenamed(query_key, "query_id"), "query_id", "left_semi").select("query_id", "rank", "vec_id", "dist").unionByName(rest)
+
     def _shard(self) -> str | None:
         return "shard" if self.shards > 1 else None
 

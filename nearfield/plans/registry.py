@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions import bloom, distance, hashing
-from nearfield.operators import descent, graph, knn, search
+from nearfield.operators import descent, graph, knn, search, tables
+from nearfield.plans.index import VectorIndex
 from nearfield.shared import materialize, passing_path, version
 from nearfield.sources import vectors as files
 
@@ -209,10 +210,45 @@ def knn_hamming(spark, sf_dir):
     return knn.knn(c, c, 10, "hamming", vector="words")
 
 
+_TABLES, _BAND, _PROBES = 4, 8, 3
+_BUCKETS = f"""{_weights(_TABLES * _BAND)},
+sums AS (SELECT vec_id, bit, sum(c * w) AS m FROM parts JOIN w USING (j) GROUP BY vec_id, bit),
+margins AS (SELECT vec_id, (bit // {_BAND})::INT AS "table", bit % {_BAND} AS j, m FROM sums),
+own AS (SELECT vec_id, "table", bit_or((m >= 0)::BIGINT << j)::BIGINT AS bucket FROM margins GROUP BY ALL),
+near AS (SELECT vec_id, "table", j, row_number() OVER (PARTITION BY vec_id, "table" ORDER BY abs(m), j) AS probe FROM margins),
+probes AS (SELECT vec_id, "table", 0 AS probe, bucket FROM own UNION ALL SELECT vec_id, "table", probe, xor(bucket, 1::BIGINT << j) FROM own JOIN near USING (vec_id, "table") WHERE probe < {_PROBES}),
+pairs AS (SELECT DISTINCT p.vec_id AS query_id, o.vec_id FROM probes p JOIN own o USING ("table", bucket))"""
+
+
+@query(f'WITH {_BUCKETS} SELECT vec_id AS key, "table", probe::INT AS probe, bucket FROM probes')
+def code_tables(spark, sf_dir):
+    """Buckets of each vector in four tables, its own and the two next by margin."""
+    return tables.buckets(_vectors(spark, sf_dir), _TABLES, _BAND, _PROBES)
+
+
+@query(f"WITH {_BUCKETS} SELECT * FROM pairs")
+def code_table_candidates(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return tables.candidates(v, v, _TABLES, _BAND, _PROBES)
+
+
+@query(f"""WITH {_BUCKETS}, plain AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+d AS (SELECT p.query_id, p.vec_id, {SQL_DISTANCE["l2"]} AS dist FROM pairs p JOIN plain a ON a.vec_id = p.query_id JOIN plain b ON b.vec_id = p.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id)::INT AS rank FROM d) SELECT query_id, rank, vec_id, round(dist, 6) AS dist FROM r WHERE rank <= 10""")
+def ann_search_tables(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return _rounded(tables.search_tables(v, v, 10, "l2", _TABLES, _BAND, _PROBES))
+
+
 # --- filter sizes --------------------------------------------------------------------------------
 
-TOPKS = [1, 10, 50, 100, 200, 500, 1000, 20000, 30000]
-_TOPKS = f"unnest({TOPKS}) t(topk)"
+#: Searches for all vectors of a label and of those with lower labels: so many results.
+_TOPKS = "(SELECT DISTINCT (sum(count(*)) OVER (ORDER BY label))::BIGINT AS topk FROM embeddings GROUP BY label) t"
+
+
+def _topks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = _vectors(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"))  # a row for each label
+    return size.select(F.sum("n").over(Window.orderBy("label")).alias("topk")).distinct()
 
 
 @query(f"""WITH e AS (SELECT topk, i, 64 * pow(2, i) / (topk * 12.897) AS r FROM {_TOPKS}, range(1, 16) g(i)),
@@ -220,14 +256,14 @@ k AS (SELECT *, floor(ln(2) * r + 0.5) AS k FROM e), p AS (SELECT *, pow(1 - exp
 b AS (SELECT topk, min(i) AS i FROM p WHERE p < 0.03 OR i = 15 GROUP BY topk)
 SELECT topk::BIGINT AS topk, pow(2, i)::INT AS words, i::INT AS power, k::INT AS hashes, round(p, 6) AS p FROM p JOIN b USING (topk, i)""")
 def bloom_autotune(spark, sf_dir):
-    return bloom.autotune(spark, TOPKS)
+    return bloom.autotune(_topks(spark, sf_dir))
 
 
 @query(f"""WITH e AS (SELECT topk::BIGINT AS topk, topk * 12.897 AS keys, 256.0 * topk AS bits FROM {_TOPKS})
 SELECT topk, ceil(keys * log2(1 / 0.01) / ln(2))::DOUBLE AS bits_needed, ceil(bits * ln(2) / log2(100))::DOUBLE AS room, round(pow(1 - 1 / exp(5 * keys / bits), 5), 9) AS error_rate,
 ceil(bits * ln(1 / (1 - pow(0.01, 0.2))) / 5)::DOUBLE AS room_of_five, ceil(5 * keys / ln(1 / (1 - pow(0.01, 0.2))))::DOUBLE AS bits_of_five, round(bits / keys * ln(2))::DOUBLE AS best_hashes FROM e""")
 def bloom_solvers(spark, sf_dir):
-    t = spark.createDataFrame([(k,) for k in TOPKS], "topk long")
+    t = _topks(spark, sf_dir)
     keys, bits, rate, five = F.col("topk") * 12.897, F.col("topk") * 256.0, F.lit(0.01), F.lit(5.0)
     out = {
         "bits_needed": bloom.bits_needed(keys, rate), "room": bloom.room(bits, rate), "error_rate": F.round(bloom.error_rate(keys, bits, five), 9),
@@ -482,6 +518,22 @@ def explored_sharded(spark, sf_dir):
     return search.explored(v, v, edges, search.bounded("l2", ALL), shard="shard")
 
 
+@query(_knn_sql("l2", 10, "b.vec_id % 50 = 3", PLAIN, "plain"))
+def ann_search_where_few(spark, sf_dir):
+    """Few rows pass the filter: all of them are compared."""
+    v = _vectors(spark, sf_dir)
+    index = VectorIndex(v.withColumn("shard", F.lit(0)), _bulk(spark, sf_dir).withColumn("shard", F.lit(0)), "l2")
+    return _rounded(index.search_where(v, v.where("vec_id % 50 = 3"), 10))
+
+
+@query(_knn_sql("l2", 10, "b.label < 5", "plain AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)", "plain"))
+def ann_search_where_half(spark, sf_dir):
+    """Half of the rows pass: the graph is searched with room for the neighbours that the filter leaves out."""
+    v = _vectors(spark, sf_dir)
+    index = VectorIndex(v.withColumn("shard", F.lit(0)), _bulk(spark, sf_dir).withColumn("shard", F.lit(0)), "l2")
+    return _rounded(index.search_where(v, v.where("label < 5"), 10, few=0.0))
+
+
 def _descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "descent", lambda: descent.descend(_vectors(spark, sf_dir), 15)[0])
 

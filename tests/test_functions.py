@@ -32,7 +32,7 @@ def test_hamming_and_metric_names(spark):
     "topk,words,power,hashes,p", [(1, 2, 1, 7, 0.008498), (10, 16, 4, 6, 0.022242), (50, 128, 7, 9, 0.002237), (100, 256, 8, 9, 0.002237), (500, 1024, 10, 7, 0.007576), (20000, 32768, 15, 6, 0.020212), (30000, 32768, 15, 4, 0.074201)]
 )
 def test_autotune(spark, topk, words, power, hashes, p):
-    assert tuple(bloom.autotune(spark, [topk]).first()) == (topk, words, power, hashes, p)
+    assert tuple(bloom.autotune(spark.createDataFrame([(topk,)], "topk long")).first()) == (topk, words, power, hashes, p)
 
 
 @pytest.mark.parametrize(
