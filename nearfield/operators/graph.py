@@ -77,14 +77,15 @@ def _nearest(vectors: np.ndarray, lists: list, v: int, metric: str, budget: int)
 EDGES = "src long, rank int, dst long, dist double"
 
 
-def build_sequential(vectors: DataFrame, metric: str = "l2", degree: int = DEGREE, budget: int = BUDGET, shards: int = 1, vector: str = "embedding") -> DataFrame:
+def build_sequential(vectors: DataFrame, metric: str = "l2", degree: int = DEGREE, budget: int = BUDGET, shards: int = 1, vector: str = "embedding", shard: str | None = None) -> DataFrame:
     """(shard, src, rank, dst, dist), inserted in order of vec_id.
 
-    Insertion is one after the other, so a shard is one task's work: more rows take more shards
-    (pmod(xxhash64(vec_id), shards)), each a graph of its own, whose search results are merged.
+    Insertion is one after the other, so a shard is one task's work: more rows take more shards, by the column ``shard``
+    or pmod(xxhash64(vec_id), shards), each a graph of its own, whose search results are merged.
     """
     checked(metric)
-    rows = prepared(vectors, metric, "vec_id", vector, F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"))
+    of = F.col(shard) if shard else F.pmod(F.xxhash64("vec_id"), F.lit(shards))
+    rows = prepared(vectors, metric, "vec_id", vector, of.cast("int").alias("shard"))
 
     def run(key, group):
         group = group.sort_by("key").combine_chunks()

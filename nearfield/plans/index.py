@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.distance import checked
 from nearfield.functions.hashing import codes
-from nearfield.operators import graph
+from nearfield.operators import graph, route
 from nearfield.operators.knn import knn, ranked
 from nearfield.operators.search import Options, bounded, greedy_walk, search, unbounded
 from nearfield.shared import materialize
@@ -32,6 +32,7 @@ class VectorIndex:
     metric: str
     shards: int = 1
     bits: int | None = None
+    routes: route.Routes | None = None
 
     @classmethod
     def build(cls, vectors: DataFrame, metric: str = "l2", degree: int = graph.DEGREE, budget: int = graph.BUDGET, shards: int | None = None, bulk: bool = False, bits: int | None = None, descent: bool = False) -> VectorIndex:
@@ -56,6 +57,15 @@ class VectorIndex:
         edges = graph.build_bulk_shards(vectors, metric, degree, shards) if bulk else graph.build_sequential(vectors, metric, degree, budget, shards)
         return cls(own, materialize(edges, "edges"), metric, shards, bits)
 
+    @classmethod
+    def routed(cls, vectors: DataFrame, centroids: int, capacity: int, metric: str = "l2", degree: int = graph.DEGREE, budget: int = graph.BUDGET) -> VectorIndex:
+        """An index in shards of near vectors, none of more than ``capacity``; ``search_batch`` sends a query to the shards of
+        the ``visit`` nearest of so many centroids. The routes are not saved with the index."""
+        own, routes = route.deal(vectors, centroids, capacity, metric)
+        own = materialize(own, "vectors")
+        edges = graph.build_sequential(own, metric, degree, budget, shard="shard")
+        return cls(own, materialize(edges, "edges"), metric, int(routes.count.sum()), None, routes)
+
     @classmethod
     def from_raw(cls, spark: SparkSession, data: str, edges: str, dim: int, metric: str = "l2") -> VectorIndex:
         """An index of a user's own raw files: ``data`` of n x dim float32, ``edges`` of 32 ids of eight bytes a vertex."""
@@ -70,7 +80,7 @@ class VectorIndex:
         more = _coded(more.select("vec_id", "embedding"), self.bits)
         edges = graph.build_sequential(more, self.metric).withColumn("shard", F.lit(self.shards))
         vectors = self.vectors.unionByName(more.withColumn("shard", F.lit(self.shards)))
-        return replace(self, vectors=vectors, edges=materialize(self.edges.unionByName(edges), "edges"), shards=self.shards + 1)
+        return replace(self, routes=None, vectors=vectors, edges=materialize(self.edges.unionByName(edges), "edges"), shards=self.shards + 1)
 
     def delete(self, ids: DataFrame) -> VectorIndex:
         """The index without the vectors of ``ids`` (vec_id); ids that it doesn't have do nothing.
@@ -99,7 +109,7 @@ class VectorIndex:
         own = self.vectors.where(some).select("vec_id", "embedding")
         edges = graph.build_sequential(own, self.metric).withColumn("shard", F.lit(small[0]))
         vectors = self.vectors.withColumn("shard", F.when(some, F.lit(small[0])).otherwise(F.col("shard")))
-        return replace(self, vectors=vectors, edges=materialize(self.edges.where(~some).unionByName(edges), "edges"))
+        return replace(self, routes=None, vectors=vectors, edges=materialize(self.edges.where(~some).unionByName(edges), "edges"))
 
     def search_where(self, queries: DataFrame, allowed: DataFrame, k: int = 100, query_key: str = "vec_id", few: float = 0.02) -> DataFrame:
         """(query_id, rank, vec_id, dist) among the vectors of ``allowed`` (vec_id), such as metadata that pass a filter.
@@ -124,10 +134,17 @@ class VectorIndex:
     def _shard(self) -> str | None:
         return "shard" if self.shards > 1 else None
 
-    def search_batch(self, queries: DataFrame, k: int = 100, options: Options | None = None, query_key: str = "vec_id", metric: str | None = None) -> DataFrame:
-        """(query_id, rank, vec_id, dist) of all queries, by a bounded search unless ``options`` say otherwise."""
+    def search_batch(self, queries: DataFrame, k: int = 100, options: Options | None = None, query_key: str = "vec_id", metric: str | None = None, visit: int | None = None) -> DataFrame:
+        """(query_id, rank, vec_id, dist) of all queries, by a bounded search unless ``options`` say otherwise.
+
+        With ``visit`` a routed index is searched in the shards of so many centroids only.
+        """
         if (metric or self.metric) != self.metric or options and options.metric != self.metric:
             raise ValueError(f"the index was built for {self.metric}")
+        if visit:
+            if not self.routes:
+                raise ValueError("only an index of routed shards can be visited in part")
+            return route.search_routed(queries, self.vectors, self.edges, self.routes, options or bounded(self.metric, k), visit, k, query_key)
         return search(_coded(queries, self.bits, query_key), self.vectors, self.edges, options or bounded(self.metric, k), k, query_key, shard=self._shard())
 
     def search(self, vector: list[float], k: int = 100, options: Options | None = None) -> list[tuple[int, float]]:
