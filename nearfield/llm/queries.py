@@ -111,6 +111,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts and responses of ``conversations`` under limits on tokens, segments and loss-bearing tokens at once."""
+    pairs = packing.instructions(table(spark, sf_dir, "conversations"))
+    return packing.pack_instructions(pairs, public_tokenizers.path("word_bpe_49k.json"), ["conv_id", "turn"])
+
+
 @query
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_manifest(table(spark, sf_dir, "documents"))

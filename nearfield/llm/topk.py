@@ -14,15 +14,20 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.base import Scratch, materialize
 
+#: Components are held at this value at most, so that products of 64 of them fit 64 bits.
+MOST = 1 << 28
 #: Candidates that are scored at once, and bytes of queries that are sent to the executors at a time.
 BLOCK, QUERY_BYTES = 8192, 16 << 20
 
 
 def integer_components(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = 1024) -> DataFrame:
-    """(key, v array<long>): floor(scale * x) of every component; rows without a key, a vector, or with a null or non-finite component go."""
+    """(key, v array<long>): floor(scale * x) of every component; rows without a key, a vector, or with a null or non-finite component go.
+
+    Values beyond plus or minus MOST are held there: scores of larger ones are no 64-bit integers.
+    """
     x = F.col(vector).cast("array<double>")
     whole = F.col(vector).isNotNull() & F.col(key).isNotNull() & F.forall(x, lambda c: F.coalesce(c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
-    return vectors.where(whole).select(F.col(key).alias("key"), F.transform(x, lambda c: F.floor(c * F.lit(float(scale)))).alias("v"))
+    return vectors.where(whole).select(F.col(key).alias("key"), F.transform(x, lambda c: F.greatest(F.lit(-MOST), F.least(F.lit(MOST), F.floor(c * F.lit(float(scale))))).cast("long")).alias("v"))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -68,7 +73,8 @@ class Best:
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score) of integer vectors (key, v).
 
-    A query's own key is no candidate. Ties go to the smaller vec_id; repeated rows are candidates each for itself;
+    A query's own key is no candidate. Query rows of one key are one query, whose list has the best scores that any of
+    them gives, a candidate once for each row and vector. Ties go to the smaller vec_id; repeated rows are candidates each for itself;
     with fewer than k candidates all are returned; without queries or candidates there are no rows. Products are of
     64 bits. Queries are sent QUERY_BYTES at a time, each batch as a job of its own if there are several.
     """

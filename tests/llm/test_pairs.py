@@ -173,6 +173,19 @@ def test_top_k_of_odd_rows(spark, monkeypatch, size):
     assert topk.top_k(v.limit(0), v).count() == 0 and topk.top_k(v, v.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components_and_of_queries_that_come_twice(spark):
+    """Components are held at a bound; rows of one key are one query with the best of all their scores."""
+    m = topk.MOST
+    rows = [(100, [1e30, -1e30]), (7, [3e38, 0.0]), (8, [-1.0, 1.0])]
+    v = topk.integer_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = [(r["vec_id"], r["score"]) for r in topk.top_k(v.where("key = 100"), v, 5).orderBy("rank").collect()]
+    assert got == [(7, m * m), (8, -2 * 1024 * m)]
+    twice = topk.integer_components(spark.createDataFrame([(100, [1.0, 0.0]), (100, [0.0, 1.0])], "vec_id long, embedding array<double>"), scale=1)
+    others = topk.integer_components(spark.createDataFrame([(7, [2.0, 1.0]), (8, [0.0, 5.0])], "vec_id long, embedding array<double>"), scale=1)
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(twice, others, 3).orderBy("rank").collect()]
+    assert got == [(1, 8, 5), (2, 7, 2), (3, 7, 1)]
+
+
 PAGE = """<html><head><title>T</title><script>var x="<p>no</p>";</script></head><body><div id=top>My site</div>
 <div class="menu"><a href=/>Home</a></div><div class=body><h2>Title {0}</h2><div>Text &amp; more {0}<br>line &lt;{0}&gt;
 <ul><li>item {0}<li>second {0}</ul></div><p>Thanks for reading our site</p></div><form><input name=q>Search</form>
