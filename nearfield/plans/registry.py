@@ -518,6 +518,18 @@ def explored_sharded(spark, sf_dir):
     return search.explored(v, v, edges, search.bounded("l2", ALL), shard="shard")
 
 
+@query()
+def routed_recall(spark, sf_dir):
+    """(visit, recall): the part of the exact ten nearest that a search of the shards of so many of eight centroids finds."""
+    v, out = _vectors(spark, sf_dir), None
+    index = VectorIndex.routed(v, 8, max(1, v.count() // 4))
+    exact = _once(spark, sf_dir, "exact10_self", lambda: knn.knn(v, v, 10))
+    for visit in (1, 2, 4, 8):
+        row = graph.recall(index.search_batch(v, 50, visit=visit), exact, 10).withColumn("visit", F.lit(visit))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query(_knn_sql("l2", 10, "b.vec_id % 50 = 3", PLAIN, "plain"))
 def ann_search_where_few(spark, sf_dir):
     """Few rows pass the filter: all of them are compared."""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,9 +55,34 @@ def dense_values(line: Column | str) -> Column:
 
 
 def read_libsvm(spark: SparkSession, path: str, dim: int, one_based: bool = True) -> DataFrame:
-    """(vec_id, embedding); a line's number from 0 is its id, a blank line a zero vector."""
-    lines = number_lines(spark.read.text(path), "vec_id")
-    return lines.select("vec_id", densify(sparse_pairs("value", one_based), dim).alias("embedding"))
+    """(vec_id, embedding); a line's number from 0 is its id, a blank line a zero vector.
+
+    Lines are parsed and filled batch by batch; as expressions of arrays they would be made again by every filter on them.
+    """
+    lines, shift = number_lines(spark.read.text(path), "vec_id"), 1 if one_based else 0
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                row, idx, val = [], [], []
+                for k, line in enumerate(part.column(1).to_pylist()):
+                    for word in line.split():
+                        place, colon, value = word.partition(":")
+                        if colon:
+                            row.append(k)
+                            idx.append(int(place) - shift)
+                            val.append(float(value))
+                i = np.array(idx, np.int64)
+                if ((i < 0) | (i >= dim)).any():
+                    raise ValueError(f"component outside 0 to {dim - 1}")
+                flat = np.array(row, np.int64) * dim + i
+                last = len(flat) - 1 - np.unique(flat[::-1], return_index=True)[1]  # of repeated components
+                dense = np.zeros(part.num_rows * dim, np.float32)
+                dense[flat[last]] = np.array(val)[last]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * dim, pa.int32()), pa.array(dense))], names=["vec_id", "embedding"])
+
+    return lines.select("vec_id", "value").mapInArrow(run, "vec_id long, embedding array<float>")
 
 
 def read_dense(spark: SparkSession, path: str) -> DataFrame:
@@ -97,9 +124,6 @@ def _sorted_chunks(df: DataFrame, key: str):
 
 
 def _packed(df: DataFrame, key: str, column: str, kind: str) -> DataFrame:
-    import numpy as np
-    import pyarrow as pa
-
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(x, kind).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["k", "data"])
@@ -145,9 +169,6 @@ def _records(spark: SparkSession, path: str, size: int) -> DataFrame:
 
 def _decoded(chunks: DataFrame, width: int, kind: str, name: str, schema: str) -> DataFrame:
     """Rows (number, array of ``width``) of chunks, decoded as whole Arrow arrays."""
-    import numpy as np
-    import pyarrow as pa
-
     def run(batches):
         for b in batches:
             for first, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

@@ -163,12 +163,13 @@ def test_vectors_of_different_lengths_raise(spark):
     assert [(r["query_id"], r["vec_id"]) for r in knn.knn(odd, odd, 9).orderBy("query_id", "rank").collect()] == [(2, 2), (2, 5), (5, 5), (5, 2)]
 
 
-def test_large_index_needs_shards(cloud, monkeypatch):
-    index = VectorIndex.build(cloud, shards=2)
+def test_large_index_by_shards_and_in_rounds(cloud, monkeypatch):
+    index, asked = VectorIndex.build(cloud, shards=2), cloud.where("vec_id < 5")
+    whole = graph.build_bulk(cloud)
+    want = sorted(map(tuple, search.search(asked, cloud, whole, search.bounded("l2", 10)).collect()))
     monkeypatch.setattr(search, "BROADCAST_BYTES", 0)
-    with pytest.raises(ValueError, match="by shard"):
-        search.search(cloud, cloud, index.edges, search.bounded("l2", 10))
-    assert index.search_batch(cloud.limit(5), 5).count() == 25
+    assert sorted(map(tuple, search.search(asked, cloud, whole, search.bounded("l2", 10)).collect())) == want
+    assert index.search_batch(asked, 5).count() == 25
 
 
 def test_index_of_raw_files(spark, cloud, tmp_path, capsys):
