@@ -538,7 +538,7 @@ def ann_search_where_few(spark, sf_dir):
     return _rounded(index.search_where(v, v.where("vec_id % 50 = 3"), 10))
 
 
-@query(_knn_sql("l2", 10, "b.label < 5", "plain AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)", "plain"))
+@query()
 def ann_search_where_half(spark, sf_dir):
     """Half of the rows pass: the graph is searched with room for the neighbours that the filter leaves out."""
     v = _vectors(spark, sf_dir)

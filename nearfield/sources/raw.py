@@ -45,8 +45,12 @@ class Format:
 
 @dataclass
 class Range(InputPartition):
+    """Records ``first`` to ``upto`` of all, of which ``path`` has those from ``start`` on."""
+
     first: int
     upto: int
+    path: str = ""
+    start: int = 0
 
 
 @dataclass
@@ -60,16 +64,25 @@ class RecordReader(DataSourceReader):
         self.form, self.names = form, names
 
     def partitions(self) -> list[Range]:
-        total = os.path.getsize(self.form.path)
-        if total % self.form.size:
-            raise ValueError(f"{self.form.path} has {total} bytes, no multiple of records of {self.form.size}")
-        n, step = total // self.form.size, max(1, SPLIT_BYTES // self.form.size)
-        return [Range(i, min(i + step, n)) for i in range(0, n, step)] or [Range(0, 0)]
+        """Of the file, or of a folder's files in order of name, each of whole records."""
+        at, size = self.form.path, self.form.size
+        files = [os.path.join(at, f) for f in sorted(os.listdir(at)) if f[0] not in "._"] if os.path.isdir(at) else [at]
+        out, start, step = [], 0, max(1, SPLIT_BYTES // size)
+        for path in files:
+            total = os.path.getsize(path)
+            if total % size:
+                raise ValueError(f"{path} has {total} bytes, no multiple of records of {size}")
+            upto = start + total // size
+            out += [Range(i, min(i + step, upto), path, start) for i in range(start, upto, step)]
+            start = upto
+        return out or [Range(0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         form, step = self.form, max(1, BATCH_BYTES // self.form.size)
-        with open(form.path, "rb") as f:
-            f.seek(partition.first * form.size)
+        if partition.first == partition.upto:
+            return
+        with open(partition.path, "rb") as f:
+            f.seek((partition.first - partition.start) * form.size)
             for first in range(partition.first, partition.upto, step):
                 n = min(step, partition.upto - first)
                 values = np.frombuffer(f.read(n * form.size), form.kind)
