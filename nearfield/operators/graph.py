@@ -29,15 +29,23 @@ def insert_all(vectors: np.ndarray, metric: str = "l2", degree: int = DEGREE, bu
     neighbours, and it is offered to each of them: appended while there is room, else put in place of the farthest if
     it is nearer. A list that has just become full is sorted.
     """
-    cap = 2 * degree + 1
     out: list[list[tuple[float, int]]] = []
-    for v in range(len(vectors)):
+    insert_more(vectors, out, metric, degree, budget)
+    return out
+
+
+def insert_more(vectors: np.ndarray, out: list[list[tuple[float, int]]], metric: str = "l2", degree: int = DEGREE, budget: int = BUDGET) -> set[int]:
+    """Insert the rows that ``out`` has no list of yet, in place; the places of the lists that are new or have changed."""
+    cap, changed = 2 * degree + 1, set()
+    for v in range(len(out), len(vectors)):
         near = _nearest(vectors, out, v, metric, budget)[:degree]
         out.append(list(near))
+        changed.add(v)
         for d, u in near:
             own = out[u]
             if len(own) < cap:
                 own.append((d, v))
+                changed.add(u)
                 if len(own) == cap:
                     own.sort(key=lambda e: e[0])
             elif d < own[-1][0]:
@@ -46,7 +54,8 @@ def insert_all(vectors: np.ndarray, metric: str = "l2", degree: int = DEGREE, bu
                 while at < len(own) and own[at][0] == d:  # equal ones stay in front
                     at += 1
                 own.insert(at, (d, v))
-    return out
+                changed.add(u)
+    return changed
 
 
 def _nearest(vectors: np.ndarray, lists: list, v: int, metric: str, budget: int) -> list[tuple[float, int]]:

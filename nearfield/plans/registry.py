@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions import bloom, distance, hashing
-from nearfield.operators import descent, graph, knn, search, tables
+from nearfield.operators import descent, graph, knn, radius, search, tables
+from nearfield.operators.asof import asof_join
 from nearfield.plans.index import VectorIndex
 from nearfield.shared import materialize, passing_path, version
 from nearfield.sources import vectors as files
+from nearfield.streaming import insert
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -546,6 +548,64 @@ def ann_search_where_half(spark, sf_dir):
     return _rounded(index.search_where(v, v.where("label < 5"), 10, few=0.0))
 
 
+#: Vectors at most so far apart: about one pair of two thousand in tables of random directions.
+RADIUS = 1.1
+
+
+def _within(spark: SparkSession, sf_dir: str) -> radius.Within:
+    key = (spark.sparkContext.applicationId, sf_dir, "within", version(spark, f"{sf_dir}/embeddings.parquet"))
+    if key not in _built:
+        _built[key] = radius.within(_vectors(spark, sf_dir), RADIUS)
+    return _built[key]
+
+
+_CLASSES = f"WITH {PLAIN}, members AS (SELECT vec_id, v, min(vec_id) OVER (PARTITION BY v) AS class_id FROM plain)"
+
+
+@query(f"""{_CLASSES}, a AS (SELECT * FROM members WHERE vec_id = class_id) SELECT a.vec_id, b.vec_id AS other_id, round(pow(list_distance(a.v, b.v), 2), 6) AS dist
+FROM a JOIN a b ON a.vec_id < b.vec_id WHERE list_distance(a.v, b.v) <= {RADIUS}""")
+def radius_pairs(spark, sf_dir):
+    """Pairs of different vectors within a radius, by the smallest id of each vector."""
+    return _rounded(_within(spark, sf_dir).pairs)
+
+
+@query(f"""{_CLASSES} SELECT a.vec_id, any_value(a.class_id) AS class_id, count(b.vec_id) AS n_links FROM members a
+LEFT JOIN members b ON a.vec_id <> b.vec_id AND list_distance(a.v, b.v) <= {RADIUS} GROUP BY a.vec_id""")
+def radius_links(spark, sf_dir):
+    """How many other vectors are within a radius of each."""
+    return _within(spark, sf_dir).links()
+
+
+@query("""SELECT p.event_id, p.user_id, p.ts, p.value, v.ts AS ts_right, v.event_id AS event_id_right FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY ALL) v ON p.user_id = v.user_id AND p.ts >= v.ts""")
+def asof_last_view(spark, sf_dir):
+    """Each purchase with the user's last view before it."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    purchases, views = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts", "value"), e.where("event_type = 'view'").select("user_id", "ts", "event_id")
+    return asof_join(purchases, views, ["user_id"], "ts", "event_id")
+
+
+@query("""SELECT a.event_id, a.user_id, a.ts, CASE WHEN b.ts <= a.ts + INTERVAL 1 DAY THEN b.ts END AS ts_next, CASE WHEN b.ts <= a.ts + INTERVAL 1 DAY THEN b.event_id END AS event_id_next
+FROM events a ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events GROUP BY ALL) b ON a.user_id = b.user_id AND a.ts < b.ts""")
+def asof_next_event(spark, sf_dir):
+    """Each event with the user's next one, if it comes within a day."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts")
+    return asof_join(e, e, ["user_id"], "ts", "event_id", strict=True, forward=True, tolerance=F.expr("INTERVAL 1 DAY"), suffix="_next")
+
+
+@query()
+def stream_insert_edges(spark, sf_dir):
+    """The graphs of SHARDS shards after four files of vectors, in order of vec_id, have gone through a stream."""
+    v, path = _vectors(spark, sf_dir), passing_path(spark, "stream")
+    ends = v.agg(F.min("vec_id").alias("a"), F.max("vec_id").alias("b")).first()
+    width = (ends["b"] - ends["a"]) // 4 + 1
+    for i in range(4):
+        v.where(F.floor((F.col("vec_id") - ends["a"]) / width) == i).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    arriving = spark.readStream.schema(v.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    changes = insert.run(insert.insert_stream(arriving, shards=SHARDS), f"{path}/changes", f"{path}/checkpoint")
+    return _rounded(insert.latest(changes)[1])
+
+
 def _descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "descent", lambda: descent.descend(_vectors(spark, sf_dir), 15)[0])
 
