@@ -13,8 +13,10 @@ from nearfield.functions.distance import between, norm2, pairwise
 from nearfield.operators.knn import matrix, prepared
 from nearfield.shared import Scratch, materialize
 
-#: Bytes of pivots that are sent to all executors, vectors of a block, visitors of a block that one task takes, rows at a time.
-PIVOT_BYTES, BLOCK, VISITORS, ROWS = 8 << 20, 4096, 32 * 4096, 2048
+#: Pivots and their bytes at most (all executors have them, tasks their distances from each other), vectors of a block, visitors of a block that one task takes, rows at a time.
+PIVOTS, PIVOT_BYTES, BLOCK, VISITORS, ROWS = 2048, 8 << 20, 4096, 32 * 4096, 2048
+#: Sampled vectors by which the number of pivots is chosen, and how many comparisons cost as much as sending a vector once more.
+PROBES, SENDING = 1024, 2000
 
 
 @dataclass
@@ -45,6 +47,9 @@ def within(vectors: DataFrame, radius: float, key: str = "vec_id", vector: str =
     A vector lives in the cell of its nearest pivot, in a ring by its distance from it. It visits other cells and rings that
     the triangle inequality and the plane between two pivots do not rule out, one of two cells visiting the other. Rings of
     many vectors are split into blocks, their visitors into turns, so a task holds a block and reads visitors in batches.
+
+    The number of pivots is that of the least estimated work, the root of n and PIVOTS at most; the pairs are the same with any. Where
+    vectors have no structure pivots rule nothing out: there are few, and nearly all pairs are compared, block by block.
     """
     if not radius >= 0 or radius == float("inf"):
         raise ValueError("the radius must be a finite number of at least 0")
@@ -60,9 +65,11 @@ def within(vectors: DataFrame, radius: float, key: str = "vec_id", vector: str =
         n, most = size["n"], size["most"] or 0.0
         if not n:
             return Within(spark.createDataFrame([], "vec_id long, other_id long, dist double"), members, 0, 0)
-        count = max(1, min(int(n**0.5), PIVOT_BYTES // (8 * max(1, size["w"]))))
-        sample = classes.orderBy(F.xxhash64("class_id"), "class_id").limit(count).select("v").toArrow().combine_chunks()
-        pivots = spark.sparkContext.broadcast(matrix(sample["v"].chunk(0), "l2"))
+        count = max(1, min(int(n**0.5), PIVOTS, PIVOT_BYTES // (8 * max(1, size["w"]))))
+        sample = classes.orderBy(F.xxhash64("class_id"), "class_id").limit(min(n, count + PROBES)).select("v").toArrow().combine_chunks()
+        sample = matrix(sample["v"].chunk(0), "l2")
+        count = _pivots(sample[:count], sample[count:], n, radius)
+        pivots = spark.sparkContext.broadcast(sample[:count])
         homes = s.write(classes.mapInArrow(_homes(pivots), "class_id long, v array<double>, cell int, far double"), "homes")
         reach, blocks = np.zeros(count), np.ones(count)
         for r in homes.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect():  # a row for each pivot
@@ -89,6 +96,30 @@ def within(vectors: DataFrame, radius: float, key: str = "vec_id", vector: str =
         return Within(materialize(pairs, "pairs"), members, compared, n)
 
 
+def _pivots(pivots: np.ndarray, probes: np.ndarray, n: int, radius: float) -> int:
+    """How many of the pivots to use, by the visits that the probes would make."""
+    if len(probes) < 2:
+        return len(pivots)
+    d = np.sqrt(np.maximum(between("l2", probes, pivots)[0], 0))
+    best, least = len(pivots), np.inf
+    count = len(pivots)
+    while count:
+        some = d[:, :count]
+        home = some.argmin(1)
+        far = some[np.arange(len(d)), home]
+        reach = np.zeros(count)
+        np.maximum.at(reach, home, far)
+        apart = np.sqrt(np.maximum(between("l2", pivots[:count], pivots[:count])[0], 0))
+        met = (some - reach[None] <= radius) & (some**2 - (far**2)[:, None] <= 2 * apart[home] * radius)
+        visits = met.sum(1).mean() / 2  # one of two cells visits the other, or itself
+        sent = 1 + visits * max(1, n / count / BLOCK)
+        work = SENDING * sent + visits * n / count
+        if work < least:
+            best, least = count, work
+        count //= 4
+    return best
+
+
 def _homes(pivots):
     """Each vector's nearest pivot and about its distance."""
 

@@ -111,3 +111,12 @@ def test_radius_join_of_odd_rows(spark):
         radius.within(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<double>"), 1.0).pairs.count()
     with pytest.raises(ValueError, match="radius"):
         radius.within(df, -1.0)
+
+
+def test_pivots_are_many_where_they_rule_cells_out_and_few_where_not(spark):
+    g = np.random.default_rng(6)
+    plane = g.normal(size=(1200, 2)) @ g.normal(size=(2, 16))
+    loose = g.normal(size=(1200, 64))
+    loose /= np.linalg.norm(loose, axis=1)[:, None]
+    assert radius._pivots(plane[:200], plane[200:], 40_000, 0.05) >= 50
+    assert radius._pivots(loose[:200], loose[200:], 40_000, 1.1) <= 3
