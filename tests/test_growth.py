@@ -6,7 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearfield.operators import graph, search
+from nearfield.functions import distance
+from nearfield.operators import graph, search, tables
+from nearfield.plans import registry
+from nearfield.plans.index import VectorIndex
 
 
 def _cloud(spark, n=300, dim=6, seed=3):
@@ -35,3 +38,34 @@ def test_room_for_all_takes_no_search_of_each_query(spark, monkeypatch, shard):
     monkeypatch.setattr(search, "_run", no)
     assert _rows(search.search(few, v, edges, o, 10, shard=shard)) == plain
     assert sorted(map(tuple, search.explored(few, v, edges, o, shard=shard).collect())) == counts
+
+
+def test_few_rows_are_compared_just_over_the_part_that_is_few(spark, tmp_path, monkeypatch):
+    """14 of 654 rows pass, over a part of 0.02; the search of the graph is not exact."""
+    _cloud(spark, 654).withColumn("label", F.lit(1)).write.parquet(str(tmp_path / "embeddings.parquet"))
+
+    def no(*_, **__):
+        raise AssertionError("the graph was searched")
+
+    monkeypatch.setattr(VectorIndex, "search_batch", no)
+    found = registry.QUERIES["ann_search_where_few"](spark, str(tmp_path))
+    assert found.count() == 654 * 10
+
+
+def test_pairs_of_tables_are_not_written_nor_told_twice(spark, monkeypatch):
+    """Each pair once without a distinct, and the nearest of the buckets without a table of pairs."""
+    monkeypatch.setattr(tables, "SALT_ROWS", 16)
+    monkeypatch.setattr(tables, "TURN_ROWS", 24)
+    v = _cloud(spark, 400, 5).unionByName(_cloud(spark, 1, 5).select(F.explode(F.sequence(F.lit(500).cast("long"), F.lit(560).cast("long"))).alias("vec_id"), "embedding"))
+    pairs = tables.candidates(v, v, 3, 4, 2)
+    got = [tuple(r) for r in pairs.collect()]
+    b = tables.buckets(v, 3, 4, 2)
+    own = b.where("probe = 0").select(F.col("key").alias("vec_id"), "table", "bucket")
+    want = b.select(F.col("key").alias("query_id"), "table", "bucket").join(own, ["table", "bucket"]).select("query_id", "vec_id").distinct()
+    assert len(got) == len(set(got)) and set(got) == set(map(tuple, want.collect()))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "query_id" not in "".join(x for x in plan.splitlines() if "Aggregate" in x)
+    monkeypatch.setattr(tables, "candidates", None)
+    x, y = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a")), v.select("vec_id", F.col("embedding").alias("b"))
+    exact = search.ranked(want.join(x, "query_id").join(y, "vec_id").select("query_id", "vec_id", distance.l2("a", "b").alias("dist")), 5)
+    assert _rows(tables.search_tables(v, v, 5, "l2", 3, 4, 2)) == _rows(exact)
