@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.distance import checked
 from nearfield.functions.hashing import hyperplanes
-from nearfield.operators.knn import matrix, nearest_in_task, prepared, ranked
+from nearfield.operators.knn import NEAR, matrix, nearest_in_task, prepared, ranked
 from nearfield.shared import materialize
 
 #: Vectors of a bucket that meet queries in one task, and queries that they meet at a time.
@@ -95,19 +95,16 @@ def candidates(queries: DataFrame, vectors: DataFrame, tables: int = 8, bits: in
 
 def _nearest_of_bucket(k: int, metric: str):
     def run(left, right):
-        near = pa.Table.from_batches([], _NEAR)
+        near = pa.Table.from_batches([], NEAR)
         if left.num_rows and right.num_rows:
             left, right = left.select(["vec_id", "v"]).combine_chunks(), right.combine_chunks()
             asked = SimpleNamespace(value=(right["query_id"].to_numpy(), matrix(right["v"].chunk(0), metric)))
-            near = pa.Table.from_batches(nearest_in_task(asked, k, metric, True)(left.to_batches()), _NEAR)
+            near = pa.Table.from_batches(nearest_in_task(asked, k, metric, True)(left.to_batches()), NEAR)
         return near
 
     return run
 
 
-_NEAR = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("dist", pa.float64())])
-
-
 def search_tables(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", tables: int = 8, bits: int = 12, probes: int = 3, query_key: str = "vec_id", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, dist): the nearest of the candidates by their exact distances; fewer where there are fewer.
 

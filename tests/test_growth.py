@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from nearfield.functions import distance
-from nearfield.operators import graph, search, tables
+from nearfield.operators import graph, knn, search, tables
 from nearfield.plans import registry
 from nearfield.plans.index import VectorIndex
 
@@ -69,3 +72,40 @@ def test_pairs_of_tables_are_not_written_nor_told_twice(spark, monkeypatch):
     x, y = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a")), v.select("vec_id", F.col("embedding").alias("b"))
     exact = search.ranked(want.join(x, "query_id").join(y, "vec_id").select("query_id", "vec_id", distance.l2("a", "b").alias("dist")), 5)
     assert _rows(tables.search_tables(v, v, 5, "l2", 3, 4, 2)) == _rows(exact)
+
+
+def test_many_queries_do_not_pass_through_the_driver(spark, monkeypatch):
+    v = _cloud(spark, 500)
+    want = _rows(knn.knn(v, v, 7, with_self=False))
+    monkeypatch.setattr(knn, "QUERY_BYTES", 8000)
+
+    def no(*_):
+        raise AssertionError("queries were sent")
+
+    monkeypatch.setattr(knn, "query_batches", no)
+    assert _rows(knn.knn(v, v, 7, with_self=False)) == want
+
+
+def test_later_vectors_that_are_all_nearer(spark, monkeypatch):
+    """Where a block has a crowd within the bound of the blocks before."""
+    monkeypatch.setattr(knn, "VECTORS", 50)
+    x = np.array([[1000.0 - i, 0.0] for i in range(400)])
+    shared = SimpleNamespace(value=(np.arange(3), x[-3:]))
+    b = pa.RecordBatch.from_arrays([pa.array(np.arange(400)), pa.array(x.tolist())], names=["key", "v"])
+    (out,) = knn.nearest_in_task(shared, 2, "l2", True)([b])
+    assert out["vec_id"].to_pylist() == [397, 396, 398, 397, 399, 398]
+
+
+def test_insertion_in_more_shards_where_there_are_more_rows(spark, tmp_path, monkeypatch):
+    """And no query builds one graph of all rows vertex by vertex."""
+    _cloud(spark, 300).withColumn("label", F.lit(1)).write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(registry, "SHARD_ROWS", 50)
+
+    def no(*_):
+        raise AssertionError("one task has built the whole graph")
+
+    monkeypatch.setattr(registry, "_sequential", no)
+    edges = registry.QUERIES["graph_build_seq"](spark, str(tmp_path))
+    assert edges.select("shard").distinct().count() == 6
+    assert {r["n"] for r in registry.QUERIES["graph_build_seq_violations"](spark, str(tmp_path)).collect()} == {0}
+    assert registry.QUERIES["ann_search_small_cuckoo"](spark, str(tmp_path)).count() == 3000
