@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from nearfield import shared
 from nearfield.functions import distance
 from nearfield.operators import graph, knn, search, tables
 from nearfield.plans import registry
@@ -90,9 +91,9 @@ def test_later_vectors_that_are_all_nearer(spark, monkeypatch):
     """Where a block has a crowd within the bound of the blocks before."""
     monkeypatch.setattr(knn, "VECTORS", 50)
     x = np.array([[1000.0 - i, 0.0] for i in range(400)])
-    shared = SimpleNamespace(value=(np.arange(3), x[-3:]))
+    sent = SimpleNamespace(value=(np.arange(3), x[-3:]))
     b = pa.RecordBatch.from_arrays([pa.array(np.arange(400)), pa.array(x.tolist())], names=["key", "v"])
-    (out,) = knn.nearest_in_task(shared, 2, "l2", True)([b])
+    (out,) = knn.nearest_in_task(sent, 2, "l2", True)([b])
     assert out["vec_id"].to_pylist() == [397, 396, 398, 397, 399, 398]
 
 
@@ -109,3 +110,20 @@ def test_insertion_in_more_shards_where_there_are_more_rows(spark, tmp_path, mon
     assert edges.select("shard").distinct().count() == 6
     assert {r["n"] for r in registry.QUERIES["graph_build_seq_violations"](spark, str(tmp_path)).collect()} == {0}
     assert registry.QUERIES["ann_search_small_cuckoo"](spark, str(tmp_path)).count() == 3000
+
+
+def test_rounds_do_not_send_what_queries_have_visited(spark, monkeypatch):
+    v, plans = _cloud(spark, 60), []
+    written = shared._written
+
+    def noted(df, path):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, path)
+
+    monkeypatch.setattr(shared, "_written", noted)
+    edges, o = graph.build_bulk(v, degree=4), search.bounded("l2", 8)
+    few = v.where("vec_id < 5")
+    got = _rows(search.search(few, v, edges, o, 5, rounds=True))
+    anti = [x for p in plans for x in p.splitlines() if "LeftAnti" in x]
+    assert anti and not any("BroadcastHashJoin" in x for x in anti)
+    assert got == _rows(search.search(few, v, edges, o, 5))
