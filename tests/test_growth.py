@@ -127,3 +127,43 @@ def test_rounds_do_not_send_what_queries_have_visited(spark, monkeypatch):
     anti = [x for p in plans for x in p.splitlines() if "LeftAnti" in x]
     assert anti and not any("BroadcastHashJoin" in x for x in anti)
     assert got == _rows(search.search(few, v, edges, o, 5))
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip", "cos"])
+@pytest.mark.parametrize("with_self", [True, False])
+def test_blocks_are_compared_in_single_precision_and_the_rows_stay_exact(monkeypatch, metric, with_self):
+    """Near copies that single precision can't tell apart, zeros, repeated ids and lengths of many magnitudes; the double
+    way is for what single precision says nothing of."""
+    rng, calls = np.random.default_rng(5), []
+    x = np.concatenate((rng.normal(size=(600, 7)), rng.normal(size=(90, 7)) * 1e-9 + 3, np.zeros((5, 7)), rng.normal(size=(200, 7)) * 10.0 ** rng.integers(-6, 7, (200, 1))))
+    ids = rng.integers(0, 800, len(x))
+    b = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(x.tolist())], names=["key", "v"])
+    monkeypatch.setattr(knn, "FIRST", 32)
+    between = knn.between
+    monkeypatch.setattr(knn, "between", lambda *a: calls.append(len(a[1]) * len(a[2])) or between(*a))
+    keys, q = np.arange(300), x[500:800]
+    (out,) = knn.nearest_in_task(SimpleNamespace(value=(keys, q)), 6, metric, with_self)([b])
+    got = sorted(zip(*(c.to_pylist() for c in out.columns), strict=True), key=lambda r: (r[0], r[2], r[1]))
+    want = []
+    for key, row in zip(keys.tolist(), q, strict=True):
+        d = distance.pairwise(metric, np.repeat(row[None], len(x), 0), x)
+        want += sorted(((key, i, e) for i, e in zip(ids.tolist(), d.tolist(), strict=True) if with_self or i != key), key=lambda r: (r[2], r[1]))[:6]
+    assert got == want
+    calls.clear()
+    (out,) = knn.nearest_in_task(SimpleNamespace(value=(keys, x[:300])), 6, metric, with_self)([b.slice(0, 600)])
+    assert len(out) == 1800 and not calls
+
+
+def test_reach_makes_its_edges_once(spark):
+    """Rounds read what the first one wrote: an edge table that counts its rows is read once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(6)], "src long, dst long").mapInArrow(count, "src long, dst long")
+    v = spark.range(7).withColumnRenamed("id", "vec_id")
+    assert {r["vec_id"]: r["steps"] for r in graph.reach(v, edges).collect()} == {i: i for i in range(7)}
+    assert seen.value == 6
