@@ -21,7 +21,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,7 +54,8 @@ LEAST_PAGES = 3
 #: A box of a layout that is links for the most part is beside the content if it holds less than this part of what varies
 #: in the largest box next to it.
 SMALL = 0.1
-#: Elements open at once; deeper ones become children of the last one. Nodes of a template; beyond, those of one page go.
+#: Elements open at once; deeper ones become children of the last one. Nodes of a template; one with more is handed on
+#: by its task, and is kept without those of one page once it has been decided on.
 DEEPEST, MOST_NODES = 100, 20_000
 #: Templates that a task holds at once.
 MOST_HOSTS = 2000
@@ -183,6 +184,8 @@ class Node:
     main: bool = False
     named: bool = False
     readers: bool = False
+    # Of the root: nodes of a single page have gone.
+    pruned: bool = False
 
     def dump(self) -> list:
         return [self.name, self.text, self.pages, [c.dump() for c in self.children], self.filled, self.chars, self.linked]
@@ -304,15 +307,23 @@ def _merge(a: list[Node], b: list[Node], pages: int, memo: dict) -> list[Node]:
 
 
 def fold(a: Node, b: Node) -> Node:
-    """The template of two templates or pages of a host."""
-    out = _join(a, b, a.pages + b.pages, {})
-    return _without_rare(out) if out.pages % 64 < b.pages and out.size() > MOST_NODES else out
+    """The template of two templates or pages of a host; every node of either is in it."""
+    return _join(a, b, a.pages + b.pages, {})
 
 
-def _without_rare(t: Node) -> Node:
-    """The template without nodes of a single page: they tell nothing of other pages, and text in no node is content."""
-    t.children = [_without_rare(c) for c in t.children if c.pages > 1]
-    return t
+def fold_all(parts: Iterator[Node]) -> Node:
+    """The template of many, those of as many parts with each other, so that a large one is not gone through for every part."""
+    stack: list[tuple[int, Node]] = []
+    for t in parts:
+        n = 1
+        while stack and stack[-1][0] <= n:
+            m, last = stack.pop()
+            n, t = m + n, fold(last, t)
+        stack.append((n, t))
+    _, out = stack.pop()
+    while stack:
+        out = fold(stack.pop()[1], out)
+    return out
 
 
 def _varies(t: Node) -> bool:
@@ -339,9 +350,24 @@ def decide(t: Node) -> Node:
         return total
 
     settle(t)
+    if t.size() > MOST_NODES:
+        t.children = [_without_rare(c) for c in t.children if c.pages > 1]
+        t.pruned = True
+    return t
+
+
+def _without_rare(t: Node) -> Node:
+    """A node that has been decided on, without those of a single page: what is above counts them, and that page has them."""
+    t.children = [_without_rare(c) for c in t.children if c.pages > 1]
     return t
 
 
+def _with_own(t: Node, own: Node) -> Node:
+    """Of a template without nodes of a single page what a page has, with such nodes as the page itself tells them."""
+    of = {c.name: c for c in t.children}
+    return replace(t, children=[_with_own(of[c.name], c) if c.name in of else decide(c) for c in own.children])
+
+
 def _beside(t: Node, there: list[Node], inside: bool) -> tuple[set[str], bool]:
     """Of the nodes that one page has under ``t``, the names of those beside the content, and whether the text around them is."""
     boxes = sorted((c for c in there if c.tag not in TEXT and c.tag not in BESIDE), key=lambda c: -c.weight)
@@ -367,7 +393,8 @@ def extract(page: str, template: Node | None) -> str:
     """The content's blocks, one a line; ``template`` has been through ``decide``. Without one, all but markup, menus,
     forms and the like by their tags."""
     out: list[str] = []
-    _collect(parse(page), template, out, False)
+    root = parse(page)
+    _collect(root, _with_own(template, skeleton(root)) if template and template.pruned else template, out, False)
     return "\n".join(out)
 
 
@@ -424,19 +451,21 @@ def _spread(seen: dict[str, Node]) -> pa.RecordBatch:
 
 
 def _folded(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One template for each key; a key has as many rows as there were tasks at most."""
+    """One template for each key; a key has a row for each task and for each MOST_NODES nodes that the task has met."""
 
     def run(key, group):
-        first, *rest = map(_unpacked, group["template"].to_pylist())
-        for t in rest:
-            first = fold(first, t)
-        return pa.table({"host": [key[0].as_py()], "template": pa.array([_packed(first)], pa.binary())})
+        whole = fold_all(_unpacked(t.as_py()) for t in group["template"])
+        return pa.table({"host": [key[0].as_py()], "template": pa.array([_packed(whole)], pa.binary())})
 
     return rows.groupBy(*keys).applyInArrow(run, "host string, template binary")
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """(host, template) from all pages: folded in each task, MOST_HOSTS at a time, then over groups of tasks, then over all."""
+    """(host, template) from all pages: folded in each task, MOST_HOSTS at a time, then over groups of tasks, then over all.
+
+    A template over MOST_NODES nodes is handed on and the task begins another: nothing is left out, and a page is not folded
+    into a template much larger than that.
+    """
 
     def run(batches):
         seen: dict[str, Node] = {}
@@ -444,6 +473,8 @@ def induce(pages: DataFrame) -> DataFrame:
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 t = skeleton(parse(page or ""))
                 seen[host] = fold(seen[host], t) if host in seen else t
+                if seen[host].pages % 64 == 0 and seen[host].size() > MOST_NODES:
+                    yield _spread({host: seen.pop(host)})
                 if len(seen) >= MOST_HOSTS:
                     yield _spread(seen)
                     seen = {}

@@ -377,6 +377,26 @@ def test_many_hosts_and_names(spark, monkeypatch):
     assert t.size() < 150 and html.extract("<div id=new>New</div><p>Text</p><div>Shared</div>", t) == "New\nText"
 
 
+def test_large_templates_give_the_same_text(spark, monkeypatch):
+    """Boxes of a single page are weighed, and names that come again on later pages counted, however many there are."""
+    links = "".join(f"<a href=x>Link {i} of the menu</a> " for i in range(9))
+
+    def page(i):
+        own = f"<div id=only{'abcdefgh'[i % 8] * (1 + i // 8)}><div class=inner>Page {i} says much. {'More words. ' * (i % 9)}</div></div>" if i % 3 else ""
+        late = f"<div id=late{'xyz'[i % 3] * (1 + i % 130 // 3)}>The same note on two pages only</div>"
+        return f"<body><div class=a>Site</div><div class=w>{own}{late}<div class=rel{'pq'[i % 2] * (1 + i // 2)}>{links}</div></div><div class=z>Notes</div></body>"
+
+    rows = [(i, "http://h.example/", page(i)) for i in range(260)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    want = {tuple(r) for r in html.main_text(df).collect()}
+    whole = template([h for _, _, h in rows])
+    monkeypatch.setattr(html, "MOST_NODES", 40)
+    assert {tuple(r) for r in html.main_text(df).collect()} == want
+    few = template([h for _, _, h in rows])
+    assert few.size() < whole.size() // 2
+    assert [html.extract(h, few) for _, _, h in rows] == [html.extract(h, whole) for _, _, h in rows]
+
+
 @pytest.mark.parametrize("box", ["<div id='c'>{0}</div>", "<article>{0}</article>"])
 def test_comments_longer_than_the_text_go(box):
     page = "<body><div class=a>Site</div>" + box.format("<h1>Title {0}</h1><p>Short text {0}</p><section class='user-comments-list'><p>" + "Many words of a reader {0}. " * 30 + "</p></section>") + "</body>"
