@@ -15,6 +15,8 @@ from nearfield.shared import Scratch, materialize
 
 #: Pivots and their bytes at most (all executors have them, tasks their distances from each other), vectors of a block, visitors of a block that one task takes, rows at a time.
 PIVOTS, PIVOT_BYTES, BLOCK, VISITORS, ROWS = 2048, 8 << 20, 4096, 32 * 4096, 2048
+#: Distances that a task holds at once, and pairs of vectors gathered at once.
+VALUES, PAIRS = 1 << 19, 8192
 #: Sampled vectors by which the number of pivots is chosen, and how many comparisons cost as much as sending a vector once more.
 PROBES, SENDING = 1024, 2000
 
@@ -120,13 +122,19 @@ def _pivots(pivots: np.ndarray, probes: np.ndarray, n: int, radius: float) -> in
     return best
 
 
+def _step(others: np.ndarray) -> int:
+    """Rows whose distances from all ``others`` are VALUES at most."""
+    return max(1, min(ROWS, VALUES // max(1, len(others))))
+
+
 def _homes(pivots):
     """Each vector's nearest pivot and about its distance."""
 
     def run(batches):
+        step = _step(pivots.value)
         for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                part = b.select(["class_id", "v"]).slice(at, ROWS)
+            for at in range(0, b.num_rows, step):
+                part = b.select(["class_id", "v"]).slice(at, step)
                 m = matrix(part.column("v"), "l2")
                 if m.shape[1] != pivots.value.shape[1]:
                     raise ValueError(f"vectors have {m.shape[1]} and {pivots.value.shape[1]} components; all must have the same number")
@@ -144,10 +152,10 @@ def _visits(shared):
     def run(batches):
         pivots, reach, ring, radius, off = shared.value
         apart = np.sqrt(np.maximum(between("l2", pivots, pivots)[0], 0))
-        numbers = np.arange(len(pivots))
+        numbers, step = np.arange(len(pivots)), _step(pivots)
         for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                part = b.slice(at, ROWS)
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
                 home, far = part.column(2).to_numpy(), part.column(3).to_numpy()
                 d2 = np.maximum(between("l2", matrix(part.column(1), "l2"), pivots)[0], 0)
                 d = np.sqrt(d2)
@@ -179,14 +187,18 @@ def _compare(most: float):
     """Pairs within reach, from rows in order of their groups in which residents come before visitors."""
 
     def pairs(a_ids, a, b_ids, b, own: bool):
-        about, off = between("l2", a, b)
-        x, y = np.nonzero(about <= (most + 2 * off)[:, None])
-        if own:
-            x, y = x[x < y], y[x < y]
-        d = pairwise("l2", a[x], b[y])
-        near = d <= most
-        i, j = a_ids[x[near]], b_ids[y[near]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(d[near])], names=["vec_id", "other_id", "dist"])
+        for at in range(0, len(a), step := _step(b)):
+            about, off = between("l2", a[at : at + step], b)
+            x, y = np.nonzero(about <= (most + 2 * off)[:, None])
+            x += at
+            if own:
+                x, y = x[x < y], y[x < y]
+            for i in range(0, len(x), PAIRS):
+                p, q = x[i : i + PAIRS], y[i : i + PAIRS]
+                d = pairwise("l2", a[p], b[q])
+                near = d <= most
+                one, other = a_ids[p[near]], b_ids[q[near]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other)), pa.array(d[near])], names=["vec_id", "other_id", "dist"])
 
     def run(batches):
         now, ids, rows, turn = None, [], [], 0
@@ -201,9 +213,9 @@ def _compare(most: float):
             if ids and turn == 0:  # every turn has the residents; the first compares them with each other
                 i, m = (x[0] for x in residents())
                 for at in range(0, len(i), ROWS):
-                    yield pairs(i[at : at + ROWS], m[at : at + ROWS], i[at : at + ROWS], m[at : at + ROWS], True)
+                    yield from pairs(i[at : at + ROWS], m[at : at + ROWS], i[at : at + ROWS], m[at : at + ROWS], True)
                     for to in range(at + ROWS, len(i), ROWS):
-                        yield pairs(i[at : at + ROWS], m[at : at + ROWS], i[to : to + ROWS], m[to : to + ROWS], False)
+                        yield from pairs(i[at : at + ROWS], m[at : at + ROWS], i[to : to + ROWS], m[to : to + ROWS], False)
 
         for b in batches:
             group = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)], 1)
@@ -222,7 +234,7 @@ def _compare(most: float):
                     elif ids:
                         own_ids, own = (x[0] for x in residents())
                         for j in range(0, len(own), ROWS):
-                            yield pairs(key, m, own_ids[j : j + ROWS], own[j : j + ROWS], False)
+                            yield from pairs(key, m, own_ids[j : j + ROWS], own[j : j + ROWS], False)
         yield from among()
 
     return run

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from nearfield import shared
 from nearfield.functions import distance
-from nearfield.operators import graph, knn, search, tables
+from nearfield.operators import graph, knn, radius, rounds, search, tables
 from nearfield.plans import registry
 from nearfield.plans.index import VectorIndex
 
@@ -167,3 +167,34 @@ def test_reach_makes_its_edges_once(spark):
     v = spark.range(7).withColumnRenamed("id", "vec_id")
     assert {r["vec_id"]: r["steps"] for r in graph.reach(v, edges).collect()} == {i: i for i in range(7)}
     assert seen.value == 6
+
+
+def test_walks_at_one_vertex_are_dealt_out(spark, monkeypatch):
+    """All start at one: no join has all of them, with their vectors, for a single key."""
+    v, plans = _cloud(spark, 200), []
+    edges = graph.build_bulk(v, degree=4)
+    rows = lambda df: sorted((r["query_id"], r["vec_id"], round(r["dist"], 9), r["moves"]) for r in df.collect())
+    want = rows(search.greedy_walk(v, v, edges))
+    written = shared._written
+
+    def noted(df, path):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, path)
+
+    monkeypatch.setattr(shared, "_written", noted)
+    monkeypatch.setattr(rounds, "WALKS", 16, raising=False)
+    assert rows(search.greedy_walk(v, v, edges, rounds=True)) == want
+    assert any("turn" in x for p in plans for x in p.splitlines() if "Join" in x)
+
+
+def test_pairs_of_a_dense_ball_are_gathered_in_part(monkeypatch):
+    """All vectors are within the radius of each other: their vectors are not all gathered at once."""
+    x, most = np.random.default_rng(3).normal(size=(700, 5)) * 1e-3, [0]
+    pairwise = radius.pairwise
+    monkeypatch.setattr(radius, "pairwise", lambda m, a, b: most.append(len(a)) or pairwise(m, a, b))
+    none = np.zeros(700, np.int64)
+    columns = [*(pa.array(none) for _ in range(4)), pa.array(none.astype(bool)), pa.array(np.arange(700)), pa.array(x.tolist())]
+    b = pa.RecordBatch.from_arrays(columns, names=["cell", "ring", "block", "turn", "visitor", "class_id", "v"])
+    got = [tuple(r) for o in radius._compare(1.0)([b]) for r in zip(o["vec_id"].to_pylist(), o["other_id"].to_pylist(), strict=True)]
+    assert len(got) == len(set(got)) == 700 * 699 // 2 and all(i < j for i, j in got)
+    assert max(most) <= 1 << 16
