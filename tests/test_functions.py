@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearfield.functions import bloom, distance, hashing
-from nearfield.operators.visited import FORGETTING, KINDS
+from nearfield.operators.visited import FORGETTING, KINDS, Listed
 from nearfield.sources import vectors as files
 
 A, B, ZERO = [1.0, 2.0, 3.0], [4.0, -5.0, 6.0], [0.0, 0.0, 0.0]
@@ -94,3 +94,22 @@ def test_solvers_invert_each_other(spark):
     r = one.select(bits.alias("bits"), bloom.error_rate(keys, bits, five).alias("p"), bloom.room(bits, rate, five).alias("n"), bloom.bits_needed(keys, rate).alias("least")).first()
     assert r["p"] == pytest.approx(0.01, rel=0.01) and abs(r["n"] - 1000) <= 1 and r["least"] == 9586
     assert one.select(bloom.best_hashes(keys, F.lit(r["least"]))).first()[0] == 7
+
+
+def test_list_is_looked_up_by_hash():
+    """A full list compares a vertex with hardly any of its own, takes no more, and a vertex added twice takes two places."""
+
+    class Counted(int):
+        met = 0
+
+        def __eq__(self, other):
+            Counted.met += 1
+            return int(self) == int(other)
+
+        __hash__ = int.__hash__
+
+    s = Listed(1000)
+    for x in (0, 0, *range(1, 2000)):
+        s.add(x)
+    assert [x for x in map(Counted, range(2000)) if s.test(x)] == list(range(999))
+    assert Counted.met < 10_000
