@@ -19,6 +19,8 @@ from nearfield.operators.search import Graph, Options
 
 #: Sampled vectors for each centroid, bytes of the sample at most, rounds of fitting.
 SAMPLE, SAMPLE_BYTES, ROUNDS = 64, 64 << 20, 8
+#: Queries that meet a shard in one task, give or take a hash's unevenness, and tasks for each core if there are fewer shards.
+TURN, TASKS = 1 << 18, 2
 
 
 @dataclass
@@ -95,11 +97,17 @@ def deal(vectors: DataFrame, n: int, capacity: int, metric: str = "l2") -> tuple
 
 
 def search_routed(queries: DataFrame, vectors: DataFrame, edges: DataFrame, routes: Routes, options: Options, visit: int = 3, k: int | None = None, query_key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, dist): the best of the shards of each query's ``visit`` nearest centroids.
+    """(query_id, rank, vec_id, dist): the best of the shards of each query's ``visit`` nearest centroids."""
+    return ranked(found_routed(queries, vectors, edges, routes, options, visit, k, query_key, vector), k or options.pq)
 
-    Queries are dealt out to shards like vectors and edges, so a shard's task has its own queries only.
+
+def found_routed(queries: DataFrame, vectors: DataFrame, edges: DataFrame, routes: Routes, options: Options, visit: int = 3, k: int | None = None, query_key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, vec_id, dist, nth): the ``k`` best of each shard of the query's ``visit`` nearest centroids, of which it is the nth.
+
+    So a search of fewer centroids is the rows up to their number. Queries are dealt out to shards like vectors and edges,
+    so a shard's task has its own queries only; many queries, or those of few shards, meet a shard in turns.
     """
-    metric = options.metric
+    metric, k = options.metric, k or options.pq
     shared = queries.sparkSession.sparkContext.broadcast(routes)
 
     def sent(batches):
@@ -111,23 +119,28 @@ def search_routed(queries: DataFrame, vectors: DataFrame, edges: DataFrame, rout
                 row = np.repeat(np.arange(len(near)), n.sum(1))
                 flat, of = n.ravel(), np.repeat(r.first[near].ravel(), n.ravel())
                 shard = of + np.arange(len(of)) - np.repeat(np.cumsum(flat) - flat, flat)
-                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), *(c.take(pa.array(row)) for c in part.columns)], names=["shard", "query_id", "q"])
+                nth = np.repeat(np.tile(np.arange(1, near.shape[1] + 1, dtype=np.int32), len(near)), n.ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(nth), *(c.take(pa.array(row)) for c in part.columns)], names=["shard", "nth", "query_id", "q"])
 
-    asked = prepared(queries, metric, query_key, vector).mapInArrow(sent, "shard int, query_id long, q array<double>")
+    asked = prepared(queries, metric, query_key, vector)
+    turns = max(-(-TASKS * queries.sparkSession.sparkContext.defaultParallelism // max(1, int(routes.count.sum()))), -(-asked.count() // TURN), 1)
+    every = F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn")
+    asked = asked.mapInArrow(sent, "shard int, nth int, query_id long, q array<double>").withColumn("turn", F.pmod(F.xxhash64("query_id"), F.lit(turns)).cast("int"))
     none = lambda t: F.lit(None).cast(t)
-    right = edges.select("shard", "src", "rank", "dst", none("long").alias("query_id"), none("array<double>").alias("q"))
-    right = right.unionByName(asked.select("shard", none("long").alias("src"), none("int").alias("rank"), none("long").alias("dst"), "query_id", "q"))
-    own = vectors.select("shard", "vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    right = edges.select("shard", every, "src", "rank", "dst", none("long").alias("query_id"), none("array<double>").alias("q"), none("int").alias("nth"))
+    right = right.unionByName(asked.select("shard", "turn", none("long").alias("src"), none("int").alias("rank"), none("long").alias("dst"), "query_id", "q", "nth"))
+    own = vectors.select("shard", every, "vec_id", F.col("embedding").cast("array<double>").alias("v"))
 
     def run(left, right):
         left, right = left.combine_chunks(), right.combine_chunks()
         ask = right.filter(pa.compute.is_valid(right["query_id"])).combine_chunks()
         near = right.filter(pa.compute.is_null(right["query_id"]))
         if not left.num_rows or not ask.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "dist": pa.array([], pa.float64()), "nth": pa.array([], pa.int32())})
         graph = Graph.of(left["vec_id"].to_numpy(), matrix(left["v"].chunk(0), metric), *(near[c].to_numpy() for c in ("src", "rank", "dst")))
-        found = [graph.search(q, options)[:2] for q in matrix(ask["q"].chunk(0), metric)]
+        found = [(i[:k], d[:k]) for i, d, _ in graph.search_all(matrix(ask["q"].chunk(0), metric), options)]
         ids, dist = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pa.table({"query_id": np.repeat(ask["query_id"].to_numpy(), [len(i) for i, _ in found]), "vec_id": ids.astype(np.int64), "dist": dist})
+        size = [len(i) for i, _ in found]
+        return pa.table({"query_id": np.repeat(ask["query_id"].to_numpy(), size), "vec_id": ids.astype(np.int64), "dist": dist, "nth": np.repeat(ask["nth"].to_numpy(), size)})
 
-    return ranked(own.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(run, "query_id long, vec_id long, dist double"), k or options.pq)
+    return own.groupBy("shard", "turn").cogroup(right.groupBy("shard", "turn")).applyInArrow(run, "query_id long, vec_id long, dist double, nth int")

@@ -52,3 +52,36 @@ def test_copies_and_few_rows(spark):
     assert none.count() == 0
     with pytest.raises(ValueError):
         route.deal(v, 3, 50, "hamming")
+
+
+def test_each_shard_is_searched_once(spark, groups, monkeypatch):
+    """A search of eight centroids holds those of fewer; queries that meet a shard in turns find the same."""
+    dealt, routes = route.deal(groups, 10, 150)
+    edges = graph.build_sequential(dealt, budget=60, shard="shard").cache()
+    asked, o = groups.where("vec_id % 15 = 0"), search.bounded("l2", 40)
+    monkeypatch.setattr(route, "TURN", 9)
+    found = route.found_routed(asked, dealt, edges, routes, o, 8, 10).cache()
+    monkeypatch.undo()
+    for visit in (1, 2, 8):
+        want = route.search_routed(asked, dealt, edges, routes, o, visit, 10)
+        assert sorted(map(tuple, knn.ranked(found.where(F.col("nth") <= visit), 10).collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("metric", ["l2", "hamming", "ip"])
+def test_searches_abreast_are_those_of_one_query(metric):
+    """Ids, distances to the last bit and counts; with ties, repeated edges and vertices that nothing reaches."""
+    rnd = np.random.default_rng(5)
+    for n, degree in ((1, 0), (60, 3), (400, 12)):
+        v = rnd.integers(0, 3, (n, 4)).astype(np.int64 if metric == "hamming" else float)
+        v = v if metric == "hamming" or n == 60 else v + rnd.normal(size=v.shape)
+        ends = rnd.integers(0, n, (2, n * degree)) * 3 + 1
+        g = search.Graph.of(np.arange(n) * 3 + 1, v, ends[0], np.arange(n * degree), ends[1])
+        for pq in (1, 2, 50, 500):
+            o, q = search.bounded(metric, pq), v[rnd.integers(0, n, 300)]
+            for (i, d, e), (ids, dist, expanded) in zip(g.search_all(q, o), map(lambda x: g.search(x, o), q), strict=True):
+                assert i.tolist() == ids.tolist() and d.tolist() == dist.tolist() and e == expanded
+    odd = v.astype(float)
+    odd[3] = np.nan
+    g = search.Graph.of(np.arange(n), odd, rnd.integers(0, n, 900), np.arange(900), rnd.integers(0, n, 900))
+    if metric != "hamming":
+        assert [x[0].tolist() for x in g.search_all(odd[:20], search.bounded(metric, 9))] == [g.search(x, search.bounded(metric, 9))[0].tolist() for x in odd[:20]]
