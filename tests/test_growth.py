@@ -198,3 +198,17 @@ def test_pairs_of_a_dense_ball_are_gathered_in_part(monkeypatch):
     got = [tuple(r) for o in radius._compare(1.0)([b]) for r in zip(o["vec_id"].to_pylist(), o["other_id"].to_pylist(), strict=True)]
     assert len(got) == len(set(got)) == 700 * 699 // 2 and all(i < j for i, j in got)
     assert max(most) <= 1 << 16
+
+
+def test_parts_are_sent_as_floats(spark, monkeypatch):
+    """Queries and vectors in parts are sent in the type they were given in, no oftener than tasks ask for; the rows are the same."""
+    from nearfield.operators import knn
+
+    rnd = np.random.default_rng(2)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rnd.normal(size=(600, 8)))], "vec_id long, embedding array<float>").cache()
+    want, sent, whole = sorted(map(tuple, knn.knn(v, v, 5).collect())), [], knn._in_parts
+    monkeypatch.setattr(knn, "_in_parts", lambda *a: sent.append(a[:2]) or whole(*a))
+    monkeypatch.setattr(knn, "QUERY_BYTES", 24_000)
+    found = knn.knn(v, v, 5)
+    assert sorted(map(tuple, found.collect())) == want
+    assert [x.schema["v"].dataType.simpleString() for x in sent[0]] == ["array<float>"] * 2
