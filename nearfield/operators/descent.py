@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.distance import checked, pairwise
 from nearfield.functions.hashing import hyperplanes
-from nearfield.operators.knn import matrix, prepared
+from nearfield.operators.knn import as_given, matrix, prepared
 from nearfield.shared import Scratch, materialize
 
 #: Trees, vectors of a leaf, neighbours of each kind that a vertex brings together, changed part of all lists at which it ends.
@@ -68,7 +68,7 @@ def _leaves(vectors: DataFrame, metric: str, n: int, trees: int, leaf: int, s: S
     kind = vectors.schema["v"].dataType.simpleString()
     split = vectors.mapInArrow(run, f"tree int, leaf long, key long, v {kind}")
     chance = vectors.select(F.lit(trees).alias("tree"), F.pmod(F.xxhash64("key", F.lit(5)), F.lit(max(1, 4 * n // leaf))).alias("leaf"), "key", "v")
-    rows = s.write(split.unionByName(chance), "leaves")
+    rows = split.unionByName(chance)  # made twice, which costs less than writing every vector once a tree
     size = s.write(rows.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / (2 * leaf)).cast("int").alias("cells")).where("cells > 1"), "sizes")
     cell = F.pmod(F.xxhash64("key", F.lit(11)), F.coalesce("cells", F.lit(1)))
     return rows.join(size, ["tree", "leaf"], "left").select(F.xxhash64("tree", "leaf", cell).alias("leaf"), "key", "v")
@@ -145,7 +145,7 @@ def descend(vectors: DataFrame, k: int, metric: str = "l2", vector: str = "embed
     checked(metric)
     compared = vectors.sparkSession.sparkContext.accumulator(0)
     with Scratch(vectors.sparkSession, "descent") as s:
-        rows = s.write(prepared(vectors, metric, "vec_id", vector), "vectors")
+        rows = s.write(as_given(prepared(vectors, metric, "vec_id", vector), vectors, vector), "vectors")
         n, changes = rows.count(), []
         first = _first_lists(_leaves(rows, metric, n, trees, leaf, s), metric, k, n, compared)
         near = s.next(_lists(first.withColumns({"fresh": F.lit(True), "was": F.lit(False)}), k, sample), "near")
@@ -154,7 +154,10 @@ def descend(vectors: DataFrame, k: int, metric: str = "l2", vector: str = "embed
             back = near.where("use").select(F.col("dst").alias("u"), F.col("src").alias("key"), "fresh")
             turn = F.row_number().over(Window.partitionBy("u", "fresh").orderBy(F.xxhash64("u", "key", F.lit(r))))
             back = back.withColumn("turn", turn).where(F.col("turn") <= sample).drop("turn")
-            members = s.next(both.unionByName(back).groupBy("u", "key").agg(F.max("fresh").alias("fresh")), "members")
+            members = both.unionByName(back).groupBy("u", "key").agg(F.max("fresh").alias("fresh"))
+            # Where nobody is new, nobody is brought together.
+            some = F.max("fresh").over(Window.partitionBy("u"))
+            members = s.next(members.withColumn("some", some).where("some").drop("some"), "members")
             far = near.groupBy("src").agg(F.max("far").alias("far")).withColumnRenamed("src", "key")
             own = rows.join(far, "key", "left").withColumn("far", F.coalesce("far", F.lit(float("inf"))))
             offers = _offers(_parts(members.join(own, "key"), n, "u"), metric, k, compared)

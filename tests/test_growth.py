@@ -212,3 +212,21 @@ def test_parts_are_sent_as_floats(spark, monkeypatch):
     found = knn.knn(v, v, 5)
     assert sorted(map(tuple, found.collect())) == want
     assert [x.schema["v"].dataType.simpleString() for x in sent[0]] == ["array<float>"] * 2
+
+
+def test_descent_sends_only_what_may_bring_news(spark, monkeypatch):
+    """Vectors go out in the type they were given in, and only to vertices that have somebody new."""
+    from nearfield.operators import descent
+
+    rnd = np.random.default_rng(3)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rnd.normal(size=(400, 6)))], "vec_id long, embedding array<float>").cache()
+    offers, kinds, idle = descent._offers, set(), []
+
+    def seen(members, *more):
+        kinds.add(members.schema["v"].dataType.simpleString())
+        idle.append(members.groupBy("u").agg(F.max("fresh").alias("some")).where("NOT some").count())
+        return offers(members, *more)
+
+    monkeypatch.setattr(descent, "_offers", seen)
+    _, about = descent.descend(v, 5, leaf=16, trees=2)
+    assert about["rounds"] > 2 and kinds == {"array<float>"} and not any(idle)
