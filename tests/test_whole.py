@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from nearfield.operators import graph, knn
+from nearfield.operators import graph, knn, mapped, search
 from nearfield.plans import registry
 
 
@@ -27,3 +29,33 @@ def test_rows_are_linked_with_the_nearest_before_them_in_all_shards(spark, tmp_p
     got = registry.QUERIES["graph_build_seq"](spark, str(tmp_path)).collect()
     assert len({r["shard"] for r in got}) == 6
     assert {(r["src"], r["rank"], r["dst"], r["dist"]) for r in got} == want and len(got) == len(want)
+
+
+KINDS = [*registry.SMALL.values(), search.unbounded("cos", 9), search.bounded("ip", 5, finish=3)]
+
+
+@pytest.mark.parametrize("o", KINDS)
+def test_an_index_too_large_to_be_sent_is_mapped_by_all_kinds_of_searches(spark, monkeypatch, o):
+    """Those with inexact sets or several probes used to raise; nothing of the index passes through the driver."""
+    v = _cloud(spark).select((F.col("vec_id") * 3 + 1).alias("vec_id"), (F.expr("transform(embedding, x -> x / 7)").cast("array<float>")).alias("embedding")).cache()
+    e = graph.build_bulk(v, degree=4).cache()
+    q = v.where("vec_id % 31 = 1")
+    found = lambda: sorted(map(tuple, search._run(q, v, e, o, "vec_id", "embedding", None, False).collect()))
+    want, walks = found(), sorted(map(tuple, search.greedy_walk(q, v, e, o.metric).collect()))
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 1000)
+    monkeypatch.setattr(DataFrame, "toArrow", None)
+    assert found() == want and len(want) > 0
+    assert sorted(map(tuple, search.greedy_walk(q, v, e, o.metric).collect())) == walks
+
+
+def test_mapped_edges_to_nowhere_and_vertices_without_edges(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i)]) for i in range(20)], "vec_id long, embedding array<double>")
+    e = spark.createDataFrame([(i, r, d) for i in [*range(15), 98] for r, d in enumerate([99, i + 1, i], 1)], "src long, rank int, dst long")
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 10)
+    monkeypatch.setattr(mapped, "STEP", 7)
+    found = search._run(v.where("vec_id = 7"), v, e, search.unbounded("l2", 15), "vec_id", "embedding", None, False)
+    assert sorted(r["vec_id"] for r in found.collect()) == list(range(15))
+    assert search.greedy_walk(v, v.limit(0), e).count() == 0
+    ragged = v.unionByName(spark.createDataFrame([(50, [1.0, 2.0])], v.schema))
+    with pytest.raises(ValueError, match="1 to 2 components"):
+        search._run(v, ragged, e, search.unbounded("l2", 15), "vec_id", "embedding", None, False)
