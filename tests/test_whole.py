@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.operators import graph, knn, mapped, search
+from nearfield import shared
+from nearfield.operators import graph, knn, mapped, rounds, search
 from nearfield.plans import registry
 
 
@@ -59,3 +60,22 @@ def test_mapped_edges_to_nowhere_and_vertices_without_edges(spark, monkeypatch):
     ragged = v.unionByName(spark.createDataFrame([(50, [1.0, 2.0])], v.schema))
     with pytest.raises(ValueError, match="1 to 2 components"):
         search._run(v, ragged, e, search.unbounded("l2", 15), "vec_id", "embedding", None, False)
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_rounds_send_nothing_that_is_exploded(spark, monkeypatch, local):
+    """Rows of a table that looks small may be many once exploded: all joins of a round are merges, whatever may be sent."""
+    v, plans, written = _cloud(spark), [], shared._written
+    e, q = graph.build_bulk(v, degree=4).cache(), v.where("vec_id % 31 = 1")
+    want = sorted(map(tuple, search.search(q, v, e, search.bounded("l2", 8)).collect()))
+
+    def noted(df, path):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, path)
+
+    monkeypatch.setattr(shared, "_written", noted)
+    if not local:
+        monkeypatch.setattr(rounds, "mapped", lambda *_: None)
+    assert sorted(map(tuple, search.search(q, v, e, search.bounded("l2", 8), rounds=True).collect())) == want
+    joins = [x for p in plans for x in p.splitlines() if "Join" in x and "src" in x + p]
+    assert any("LeftAnti" in x for x in joins) and not any("BroadcastHashJoin" in x and "_start" not in p for p in plans for x in p.splitlines())
