@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,3 +82,26 @@ def test_rounds_send_nothing_that_is_exploded(spark, monkeypatch, local):
     assert sorted(map(tuple, search.search(q, v, e, search.bounded("l2", 8), rounds=True).collect())) == want
     joins = [x for p in plans for x in p.splitlines() if "Join" in x and "src" in x + p]
     assert any("LeftAnti" in x for x in joins) and not any("BroadcastHashJoin" in x and "_start" not in p for p in plans for x in p.splitlines())
+
+
+@pytest.mark.parametrize("words", [1, 3, 8])
+def test_codes_are_compared_in_words_of_64_bits(monkeypatch, words):
+    """Copies and near copies, so that very many distances tie; longer words take the way of before, and the rows are the same."""
+    rng, calls = np.random.default_rng(5), []
+    x = rng.integers(0, 1 << 32, (900, words))
+    x[300:420] = x[:120] ^ (1 << rng.integers(0, 32, (120, words)))
+    x[600:640], x[700:740], x[0], x[1] = x[5], x[100:140], 0, (1 << 32) - 1
+    between = knn.between
+    monkeypatch.setattr(knn, "between", lambda *a: calls.append(1) or between(*a))
+    monkeypatch.setattr(knn, "VECTORS", 250)
+    b = lambda m: pa.RecordBatch.from_arrays([pa.array(np.arange(900)), pa.array(m.tolist(), pa.list_(pa.int64()))], names=["key", "v"])
+    for m in (x, x << 8):
+        (out,) = knn.nearest_in_task(SimpleNamespace(value=(np.arange(200), m[:200])), 6, "hamming", False)([b(m)])
+        got = {}
+        for q, v, d in sorted(zip(out["query_id"].to_pylist(), out["vec_id"].to_pylist(), out["dist"].to_pylist(), strict=True), key=lambda r: (r[0], r[2], r[1])):
+            got.setdefault(q, []).append((d, v))
+        for q in range(200):
+            assert got[q] == sorted((float(sum((a ^ c).bit_count() for a, c in zip(m[q].tolist(), m[v].tolist(), strict=True))), v) for v in range(900) if v != q)[:6]
+        if m is x:
+            assert not calls
+    assert calls
